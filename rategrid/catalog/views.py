@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.catalog.base import Tables
+from rategrid.operators.ranks import ordered_index
 
 # ---------------------------------------------------------------- samples and analyses
 
@@ -77,3 +78,67 @@ def timings(t: Tables) -> DataFrame:
         F.floor(F.col("l_quantity") / 10).cast("int").alias("k"),
         ((F.col("l_suppkey") % 40).cast("double") / 4).alias("abar"),
     )
+
+# ---------------------------------------------------------------- curves over a rate grid
+
+GRID_SQL = """grid_samples AS (
+  SELECT o_orderpriority AS run_id, CAST(o_custkey % 3 AS INTEGER) + 1 AS n,
+         CASE WHEN o_custkey % 3 = 2 THEN month(o_orderdate) + 0.5 ELSE month(o_orderdate) END / 100 AS p,
+         CASE WHEN o_totalprice > 245000 THEN 1 ELSE 0 END AS k
+  FROM orders)"""
+
+
+def grid_samples(t: Tables) -> DataFrame:
+    """``orders`` as samples on a monthly rate grid; the largest size has a shifted grid."""
+    month = F.month("o_orderdate").cast("double")
+    size = (F.col("o_custkey") % 3).cast("int")
+    return t.orders.select(
+        F.col("o_orderpriority").alias("run_id"),
+        (size + 1).alias("n"),
+        (F.when(size == 2, month + 0.5).otherwise(month) / 100).alias("p"),
+        F.when(F.col("o_totalprice") > 245000, 1).otherwise(0).alias("k"),
+    )
+
+
+# ---------------------------------------------------------------- time series
+
+TRACE_SQL = """trace AS (
+  SELECT CAST(user_id % 4 AS INTEGER) + 1 AS n, CAST(user_id % 5 AS DOUBLE) / 10 AS p, user_id AS sample_seed,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
+         CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS s
+  FROM events)"""
+
+
+def event_trace(t: Tables) -> DataFrame:
+    """``events`` as one time series per user: the t-th event, zero where it is an error."""
+    rows = t.events.select(
+        ((F.col("user_id") % 4).cast("int") + 1).alias("n"),
+        ((F.col("user_id") % 5).cast("double") / 10).alias("p"),
+        F.col("user_id").alias("sample_seed"),
+        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("s"),
+        "ts",
+        "event_id",
+    )
+    placed = ordered_index(rows, ["sample_seed"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "t")
+    return placed.select("n", "p", "sample_seed", "t", "s")
+
+
+BITS_SQL = """bit_traces AS (
+  SELECT CAST(o_custkey % 3 AS INTEGER) + 1 AS n, month(o_orderdate) / 100 AS p, o_orderkey AS sample_seed,
+         4 + o_custkey % 4 AS last_t, o_orderkey AS bits FROM orders),
+bit_rows AS (
+  SELECT n, p, sample_seed, t, CASE WHEN t > last_t THEN 0 ELSE (bits >> t) & 1 END AS s
+  FROM bit_traces, (SELECT unnest(range(0, 9)) AS t) AS steps)"""
+
+
+def bit_traces(t: Tables) -> DataFrame:
+    """``orders`` as early-stopped traces in array form: the low bits of the order key."""
+    last = 4 + (F.col("o_custkey") % 4)
+    return t.orders.select(
+        ((F.col("o_custkey") % 3).cast("int") + 1).alias("n"),
+        (F.month("o_orderdate") / 100).alias("p"),
+        F.col("o_orderkey").alias("sample_seed"),
+        F.transform(
+            F.sequence(F.lit(0), last.cast("int")), lambda i: F.getbit(F.col("o_orderkey"), i).cast("int")
+        ).alias("s"),
+    )

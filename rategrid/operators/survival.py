@@ -48,8 +48,8 @@ def survival_band(trace: DataFrame, keys: Sequence[str] = CELL, padded: bool = T
     mean = F.col("_s1") / m
     variance = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / m, F.lit(0.0)) / (m - 1)
     sem = F.when(F.col("_m") > 1, F.sqrt(variance) / F.sqrt(m)).otherwise(F.lit(0.0))
-    return sums.select(*keys, "t", mean.alias("P"), sem.alias("sem"), F.col("_m").alias("n_samples")).select(
-        "*", clip(F.col("P") - F.col("sem"), 0.0, 1.0).alias("low"), clip(F.col("P") + F.col("sem"), 0.0, 1.0).alias("high")
+    return sums.select(*keys, "t", mean.alias("mean_s"), sem.alias("sem"), F.col("_m").alias("n_samples")).select(
+        "*", clip(F.col("mean_s") - F.col("sem"), 0.0, 1.0).alias("low"), clip(F.col("mean_s") + F.col("sem"), 0.0, 1.0).alias("high")
     )
 
 
@@ -58,7 +58,7 @@ def rescaled(curve: DataFrame, size: str = "n") -> DataFrame:
     return curve.withColumn("t_over_n", F.col("t") / F.col(size))
 
 
-def crossing_time(curve: DataFrame, threshold: float = 0.5, keys: Sequence[str] = CELL, value: str = "P") -> DataFrame:
+def crossing_time(curve: DataFrame, threshold: float = 0.5, keys: Sequence[str] = CELL, value: str = "mean_s") -> DataFrame:
     """First time each cell's curve is at or below ``threshold``, interpolated; null if never.
 
     Times are consecutive layer indices, so the point before the first hit is found by an
