@@ -142,3 +142,54 @@ def bit_traces(t: Tables) -> DataFrame:
             F.sequence(F.lit(0), last.cast("int")), lambda i: F.getbit(F.col("o_orderkey"), i).cast("int")
         ).alias("s"),
     )
+
+# ---------------------------------------------------------------- binary matrices
+
+N_COLS, N_ROWS = 32, 64
+
+MATRIX_SQL = f"""dims AS (SELECT s_suppkey AS sample_seed, {N_COLS} AS n_cols, {N_ROWS} AS n_rows FROM supplier),
+entries AS (SELECT l_suppkey AS sample_seed, CAST(l_orderkey % {N_ROWS} AS INTEGER) AS r, CAST(l_partkey % {N_COLS} AS INTEGER) AS q,
+    max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS x, max(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS z
+  FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3)"""
+
+
+def matrix_dims(t: Tables) -> DataFrame:
+    """One 64 x 32 matrix per supplier."""
+    return t.supplier.select(
+        F.col("s_suppkey").alias("sample_seed"), F.lit(N_COLS).alias("n_cols"), F.lit(N_ROWS).alias("n_rows")
+    )
+
+
+def matrix_entries(t: Tables) -> DataFrame:
+    """Line items as non-zero entries: x for returned ones, z for the others."""
+    returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    return (
+        t.lineitem.where("l_linestatus = 'F'")
+        .groupBy(
+            F.col("l_suppkey").alias("sample_seed"),
+            (F.col("l_orderkey") % N_ROWS).cast("int").alias("r"),
+            (F.col("l_partkey") % N_COLS).cast("int").alias("q"),
+        )
+        .agg(F.max(returned).alias("x"), F.max(1 - returned).alias("z"))
+    )
+
+
+SIGNS_SQL = """vectors AS (
+  SELECT label AS sample_seed, vec_id AS r,
+         list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS HUGEINT) ELSE 0 END)) AS w
+  FROM embeddings)"""
+
+
+def sign_rows(t: Tables) -> DataFrame:
+    """Embedding signs as packed rows: dimensions 0-31 are x bits, 32-63 are z bits."""
+
+    def word(first: int):
+        return F.expr(
+            f"aggregate(sequence(0, 31), 0L, (w, i) -> w | if(embedding[i + {first}] > 0, shiftleft(1L, i), 0L))"
+        )
+
+    return t.embeddings.select(F.col("label").alias("sample_seed"), F.array(word(0), word(32)).alias("words"))
+
+
+def sign_dims(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("label").alias("sample_seed")).distinct().select("sample_seed", F.lit(32).alias("n_cols"))

@@ -71,7 +71,7 @@ def attach_summary(
     max_broadcast_rows: int = 100_000,
     salts: int = 32,
 ) -> DataFrame:
-    """Join per-group ``summary`` rows onto ``big`` without shuffling a hot group whole.
+    """Join ``summary`` rows onto ``big`` without sending all rows of a hot key to one task.
 
     The summary is materialised and counted.  Up to ``max_broadcast_rows`` rows it is
     broadcast; beyond that both sides shuffle on ``keys`` plus a salt, so the rows of one
