@@ -121,10 +121,13 @@ def entropies(rref: Column | str, n_cols: Column | str, subsets: Column) -> Colu
 
 
 def arc(start: Column, length: Column, n_cols: Column) -> Column:
-    """Columns of an arc on the ring, in order; empty for length 0."""
-    empty = F.array().cast("array<int>")
-    members = F.transform(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda j: F.pmod(start + j, n_cols).cast("int"))
-    return F.when(length > 0, members).otherwise(empty)
+    """Columns of an arc on the ring, in order; empty for length 0.
+
+    A slice of the doubled ring: no lambda, so a Python result may stand in for the start.
+    """
+    ring = F.sequence(F.lit(0), n_cols - 1)
+    return F.slice(F.concat(ring, ring), start.cast("int") + 1, length.cast("int"))
+
 
 
 def _with_lists(spaces: DataFrame, items: DataFrame, name: str, value: str, alias: str) -> DataFrame:
