@@ -36,7 +36,7 @@ def edges(sizes: DataFrame, graph: str) -> DataFrame:
         checked = sizes.select(F.when(n >= 3, n).otherwise(small.cast("int")).cast("int").alias("n"))
         steps = checked.select("n", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
         return canonical_edges(steps.withColumn("b", F.pmod(F.col("a") + 1, n)), ["n"])
-    first = sizes.select(n.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("u"))
+    first = sizes.where(n >= 2).select(n.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("u"))
     # one row per first vertex before fanning out, so a large size spreads over tasks
     spread = first.repartition("n", "u")
     return spread.select("n", F.col("u").cast("int").alias("u"), F.explode(F.sequence(F.col("u") + 1, n - 1)).alias("v"))

@@ -2,7 +2,7 @@
 
 A run folder holds ``data/n=<size>/p=<rate>/samples.parquet`` and, per cell,
 ``analysis/<name>.parquet``.  Tables written by this package use one dataset per kind,
-``<run>/<kind>/n=<size>/p=<rate>/``, so that nothing mixes schemas.
+``<kind>/run=<run>/n=<size>/p=<rate>/``, so that nothing mixes schemas.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -114,17 +114,30 @@ def cell_index(
     return cell_flags(counted, {"has_tableau": matrices, "has_realization": realizations}, keys)
 
 
-def write_cells(df: DataFrame, path: str, mode: str = "append", layout: Column | None = None) -> None:
-    """Write a table partitioned by cell.
+def write_cells(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a table partitioned by run and cell; ``overwrite`` replaces only the cells in ``df``.
 
-    Rows of one cell go to a bounded number of files: the shuffle key is the cell plus a
-    salt, so a cell with a large share of all rows is still written by many tasks.
+    The shuffle key is the cell plus a salt, so a cell with a large share of all rows is
+    still written by many tasks.  The run folder carries a prefix, so that Spark never
+    takes a run id for a number.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(16)) if layout is None else layout
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    parts = ["run", "n", "p"]
     (
-        df.repartition("n", "p", salt)
-        .write.partitionBy("n", "p")
+        df.withColumn("run", F.concat(F.lit("run-"), F.col("run_id")))
+        .repartition(*parts, salt)
+        .write.partitionBy(*parts)
         .option("partitionOverwriteMode", "dynamic")
         .mode(mode)
         .parquet(path)
     )
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table written by :func:`write_cells`; None if there is none yet."""
+    try:
+        return spark.read.parquet(path).drop("run")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
