@@ -200,6 +200,21 @@ def gates_round_robin(t: Tables) -> DataFrame:
     return _summary(schedule.gate_pairs(_layers(t), KEYS, engine="md5"))
 
 
+@query(
+    "gates_default_draws",
+    f"""WITH {RUNS_SQL} SELECT n, phase, t, sum(n // 2) AS gates, CAST(count(*) * n * (n - 1) // 2 AS BIGINT) AS ends, TRUE AS labels_in_range
+        FROM layers GROUP BY n, phase, t""",
+)
+def gates_default_draws(t: Tables) -> DataFrame:
+    """The fast draws: pairs of a round meet every column once, labels stay in range."""
+    gates = schedule.gate_pairs(_layers(t), KEYS, matching="palette")
+    return gates.groupBy("n", "phase", "t").agg(
+        F.count(F.lit(1)).alias("gates"),
+        F.sum(F.col("u") + F.col("v")).cast("bigint").alias("ends"),
+        (F.max("c") < 11520).alias("labels_in_range"),
+    )
+
+
 @query(
     "gates_palette",
     _label_sql(

@@ -241,8 +241,10 @@ def stream_running_cells(t: Tables) -> DataFrame:
     ("S_mean", "S_std", "S_sem"),
 )
 def stream_windowed_cells(t: Tables) -> DataFrame:
-    sums = running.windowed_cells(_event_stream(t), "ts", "value", ["event_type"], "1 day")
-    return running.finish(ingest.drain(sums, "windowed", "complete"))
+    events = _event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    sums = running.windowed_cells(events, "ts", "value", ["event_type"], "1 day")
+    done = running.finish(ingest.drain(sums, "windowed", "complete"))
+    return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(

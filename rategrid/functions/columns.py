@@ -70,14 +70,15 @@ def attach_summary(
     how: str = "inner",
     max_broadcast_rows: int = 100_000,
     salts: int = 32,
+    ready: bool = False,
 ) -> DataFrame:
     """Join ``summary`` rows onto ``big`` without sending all rows of a hot key to one task.
 
-    The summary is materialised and counted.  Up to ``max_broadcast_rows`` rows it is
+    The summary is materialised (unless ``ready`` says it is) and counted.  Up to ``max_broadcast_rows`` rows it is
     broadcast; beyond that both sides shuffle on ``keys`` plus a salt, so the rows of one
     heavy group spread over ``salts`` tasks.
     """
-    summary = cut_lineage(summary)
+    summary = summary if ready else cut_lineage(summary)
     if summary.count() <= max_broadcast_rows:
         return big.join(F.broadcast(summary), list(keys), how)
     width = F.lit(salts).cast("int")

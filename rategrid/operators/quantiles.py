@@ -1,8 +1,9 @@
 """Exact quantiles per group that never hold a whole group in one task.
 
-A sketch only decides where to cut each group's value range; the rows between cuts are
-counted exactly, and only the narrow interval that holds a wanted rank is sorted.  A poor
-sketch costs time but never changes a result.
+A sketch only decides where to cut each group's value range.  One pass then counts the
+rows between cuts exactly and keeps the values close to a wanted rank; only those are
+sorted.  If the sketch was off for some group, a further pass reads that group's interval:
+a poor sketch costs time but never changes a result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rategrid.functions.columns import attach_summary
 from rategrid.functions.numeric import finite
+from rategrid.session import cut_lineage
 
 
 def exact_quantiles(
@@ -21,7 +23,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     qs: Sequence[float],
-    accuracy: int = 2000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per group with ``n_finite`` and ``quantiles`` (array, order of ``qs``).
 
@@ -37,60 +39,59 @@ def exact_quantiles(
         F.percentile_approx("_v", [float(m) for m in marks], accuracy).alias("_cuts"),
     )
     placed = attach_summary(rows, cuts, keys)
-    interval = sum((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(marks)))
-    placed = placed.withColumn("_part", interval)
+    # even parts lie between cuts, odd parts are the values equal to a cut
+    above = sum((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(marks)))
+    equal = F.array_contains(F.col("_cuts"), F.col("_v")).cast("int")
+    placed = placed.select(*keys, "n_finite", "_v", (2 * above + equal).alias("_part"))
+    near = [2 * i for i in range(1, len(marks)) if any(abs((marks[i - 1] + marks[i]) / 2 - q) < slack for q in qs)]
+    keep = (F.col("_part") % 2 == 1) | F.col("_part").isin(near)
+    kept_value = F.when(keep, F.col("_v")).alias("_v")
 
-    # how many values lie before each interval: at most len(marks)+1 rows per group
-    sizes = placed.groupBy(*keys, "_part").agg(
-        F.first("n_finite").alias("n_finite"), F.count(F.lit(1)).alias("_size")
+    # one row per interval, and one per distinct value next to a wanted rank
+    merged = cut_lineage(
+        placed.groupBy(*keys, "_part", kept_value).agg(
+            F.count(F.lit(1)).alias("_copies"), F.first("n_finite").alias("n_finite")
+        )
     )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), rank.cast("bigint").alias("rank"))
-            for i, q in enumerate(qs)
-            for rank in (
-                F.floor(F.lit(float(q)) * (F.col("n_finite") - 1)),
-                F.ceil(F.lit(float(q)) * (F.col("n_finite") - 1)),
-            )
-        ]
-    )
-    targets = sizes.withColumn("_want", F.explode(F.array_distinct(wanted))).where(
-        (F.col("_want.rank") >= F.col("_before")) & (F.col("_want.rank") < F.col("_before") + F.col("_size"))
+    parts = merged.groupBy(*keys, "_part").agg(
+        F.first("n_finite").alias("n_finite"), F.sum("_copies").alias("_size"), F.first("_v").isNotNull().alias("_kept")
     )
-    chosen = targets.groupBy(*keys, "_part").agg(
-        F.first("_before").alias("_before"), F.collect_list("_want").alias("_wants")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    last = F.col("n_finite") - 1
+    ranks = [end(F.lit(float(q)) * last).cast("bigint") for q in qs for end in (F.floor, F.ceil)]
+    targets = parts.withColumn("_wants", F.array_distinct(F.array(*ranks))).withColumn(
+        "_wants", F.filter("_wants", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
     )
+    chosen = cut_lineage(targets.where(F.size("_wants") > 0).select(*keys, "_part", "n_finite", "_kept", "_before", "_wants"))
 
-    # only the chosen intervals are sorted, after equal values are merged
-    inside = attach_summary(placed.select(*keys, "_part", "_v"), chosen, [*keys, "_part"])
-    merged = inside.groupBy(*keys, "_part", "_v").agg(
-        F.count(F.lit(1)).alias("_copies"), F.first("_before").alias("_before"), F.first("_wants").alias("_wants")
+    on = [*keys, "_part"]
+    wanted = chosen.select(*on, "_before", "_wants")
+    detail = attach_summary(merged.where("_v is not null").select(*on, "_v", "_copies"), wanted, on, ready=True)
+    missed = chosen.where(~F.col("_kept")).select(*on, "_before", "_wants")
+    if not missed.isEmpty():
+        late = attach_summary(placed.select(*on, "_v"), missed, on, ready=True)
+        counted = late.groupBy(*on, "_v").agg(
+            F.count(F.lit(1)).alias("_copies"), F.first("_before").alias("_before"), F.first("_wants").alias("_wants")
+        )
+        detail = detail.unionByName(counted)
+    upto = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = detail.withColumn("_end", F.col("_before") + F.sum("_copies").over(upto))
+    hits = ranked.select(*keys, "_v", "_end", "_copies", F.explode("_wants").alias("_rank")).where(
+        (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_copies"))
     )
-    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn("_end", F.col("_before") + F.sum("_copies").over(upto))
-    hits = merged.select(*keys, "_v", "_end", "_copies", F.explode("_wants").alias("_want")).where(
-        (F.col("_want.rank") < F.col("_end")) & (F.col("_want.rank") >= F.col("_end") - F.col("_copies"))
-    )
-    found = hits.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.struct(F.col("_want.i"), F.col("_want.rank")), F.col("_v")))
-        ).alias("_found")
-    )
-    totals = sizes.groupBy(*keys).agg(F.first("n_finite").alias("n_finite"))
+    # at most two ranks per quantile
+    found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_found"))
+    totals = chosen.groupBy(*keys).agg(F.first("n_finite").alias("n_finite"))
     joined = found.join(totals, keys)
 
-    def interpolated(i: int, q: float):
-        position = F.lit(float(q)) * (F.col("n_finite") - 1)
-        low_rank, high_rank = F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")
-        low = F.col("_found")[F.struct(F.lit(i).alias("i"), low_rank.alias("rank"))]
-        high = F.col("_found")[F.struct(F.lit(i).alias("i"), high_rank.alias("rank"))]
-        return low + (high - low) * (position - low_rank)
+    def interpolated(q: float):
+        position = F.lit(float(q)) * last
+        low = F.col("_found")[F.floor(position).cast("bigint")]
+        high = F.col("_found")[F.ceil(position).cast("bigint")]
+        return low + (high - low) * (position - F.floor(position))
 
-    return joined.select(
-        *keys, "n_finite", F.array(*[interpolated(i, q) for i, q in enumerate(qs)]).alias("quantiles")
-    )
+    return joined.select(*keys, "n_finite", F.array(*[interpolated(q) for q in qs]).alias("quantiles"))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median") -> DataFrame:

@@ -80,14 +80,23 @@ def warmup_layers(scale: Column, n: Column) -> Column:
 
 
 def layers(samples: DataFrame, keys: Sequence[str], warmup: str | None = None, depth: str = "total_layers") -> DataFrame:
-    """Warm-up and main layers of each sample; each phase starts at t = 0."""
+    """Warm-up and main layers of each sample; each phase starts at t = 0.
 
-    def phase(name: str, count: Column) -> DataFrame:
-        rows = samples.where(count > 0)
-        return rows.select(*keys, F.lit(name).alias("phase"), F.explode(F.sequence(F.lit(0), count - 1)).alias("t"))
-
-    main = phase("main", F.col(depth))
-    return main if warmup is None else phase("warmup", F.col(warmup)).unionByName(main)
+    The samples are spread by key before they fan out into layers and gates, so later
+    groupings by sample find their rows in place.
+    """
+    first = F.lit(0) if warmup is None else -F.col(warmup)
+    spark = samples.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a fixed number: adaptive coalescing looks at the small rows before they fan out
+    spread = samples.repartition(tasks, *keys).where(F.col(depth) > 0)
+    steps = spread.select(*keys, first.alias("_first"), F.explode(F.sequence(first, F.col(depth) - 1)).alias("_t"))
+    early = F.col("_t") < 0
+    return steps.select(
+        *keys,
+        F.when(early, "warmup").otherwise("main").alias("phase"),
+        F.when(early, F.col("_t") - F.col("_first")).otherwise(F.col("_t")).alias("t"),
+    )
 
 
 def _even(n: Column) -> Column:

@@ -10,15 +10,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "n int, p double, sample_seed bigint, tau bigint, censored boolean"
 STATE = "done boolean"
-TTL_MS = 24 * 3600 * 1000
 
 
-def first_zeros(trace: DataFrame, cap: int, ttl_ms: int = TTL_MS) -> DataFrame:
+def first_zeros(trace: DataFrame, cap: int, ttl_ms: int | None = None) -> DataFrame:
     """Emit each sample once: at its first row with s = 0, or as censored at t = ``cap``.
 
-    Rows of one sample arrive in time order.  The state is one flag per sample and is
-    dropped ``ttl_ms`` after the sample's last row.
+    Rows of one sample arrive in time order.  The state is one flag per sample.  In a
+    continuous query set ``ttl_ms`` to drop it that long after the sample's last row; a
+    query that stops by itself (``availableNow``) must not set it, since processing-time
+    timeouts keep asking for another batch.
     """
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,8 +38,9 @@ def first_zeros(trace: DataFrame, cap: int, ttl_ms: int = TTL_MS) -> DataFrame:
             tau = pd.array([zero], dtype="Int64")
             yield pd.DataFrame({"n": [key[0]], "p": [key[1]], "sample_seed": [key[2]], "tau": tau, "censored": [zero is None]})
         state.update((done,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
 
     return trace.groupBy("n", "p", "sample_seed").applyInPandasWithState(
-        watch, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        watch, OUTPUT, STATE, "append", timeout
     )
