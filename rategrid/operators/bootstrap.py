@@ -23,20 +23,19 @@ from rategrid.operators.quantiles import exact_quantiles
 RESAMPLES = 1000
 SEED = 42
 CHUNK_VALUES = 50_000
+MAX_CHUNKS = 1024  # parallel tasks per group; larger groups get larger chunks
 
 
-def _resampled_sums(pdf: pd.DataFrame, resamples: int, seed: int) -> np.ndarray:
+def _resampled_sums(rows: pd.DataFrame, place: pd.Series, resamples: int, seed: int) -> np.ndarray:
     """Sum of the resampled values of one chunk, for every resample."""
-    first = pdf.iloc[0]
-    chunk_counts = np.asarray(first["_chunk_counts"], dtype=np.int64)
-    total = int(chunk_counts.sum())
-    group_seed = int(first["_group_hash"]) % (1 << 63)
+    masses = np.asarray(place["_masses"], dtype=np.int64)
+    slot, group_seed = int(place["_slot"]), int(place["_group_hash"]) % (1 << 63)
     across = np.random.default_rng([seed, group_seed])
-    shares = across.multinomial(total, chunk_counts / total, size=resamples)[:, int(first["_slot"])]
-    ordered = pdf.sort_values("_v")
+    shares = across.multinomial(int(masses.sum()), masses / masses.sum(), size=resamples)[:, slot]
+    ordered = rows.sort_values("_v")
     values = ordered["_v"].to_numpy(dtype=np.float64)
     weights = ordered["_copies"].to_numpy(dtype=np.float64)
-    inside = np.random.default_rng([seed, group_seed, 1 + int(first["_slot"])])
+    inside = np.random.default_rng([seed, group_seed, 1 + slot])
     sums = np.empty(resamples)
     step = max(1, 2_000_000 // len(values))
     for start in range(0, resamples, step):
@@ -62,37 +61,37 @@ def bootstrap_interval(
     rows = df.select(*keys, finite(F.col(value)).alias("_v"))
     counted = rows.where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_copies"))
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    chunks = F.ceil(F.col("_distinct") / F.lit(chunk_values)).cast("bigint")
+    chunks = F.least(F.ceil(F.col("_distinct") / F.lit(chunk_values)), F.lit(MAX_CHUNKS)).cast("bigint")
     placed = attach_summary(counted, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("_v"), chunks).cast("int"))
+    # one small row per chunk tells its task how the group is divided
     masses = placed.groupBy(*keys, "_chunk").agg(F.sum("_copies").alias("_mass"))
-    layout = masses.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_mass"))).alias("_layout"),
-        F.sum("_mass").alias("_total"),
+    listed = masses.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "_mass"))).alias("_layout"), F.sum("_mass").alias("_total")
     )
-    layout = layout.where("_total > 1").select(
-        *keys,
-        F.col("_layout._chunk").alias("_chunks"),
-        F.col("_layout._mass").alias("_chunk_counts"),
+    # own names for the keys: both sides of the cogroup stem from the same rows
+    own = [f"_{k}" for k in keys]
+    layout = listed.where("_total > 1").select(
+        *[F.col(k).alias(name) for k, name in zip(keys, own)],
+        F.posexplode("_layout._chunk").alias("_slot", "_place"),
+        F.col("_layout._mass").alias("_masses"),
         F.xxhash64(*keys).alias("_group_hash"),
     )
-    ready = attach_summary(placed.select(*keys, "_chunk", "_v", "_copies"), layout, keys).withColumn(
-        "_slot", F.array_position("_chunks", F.col("_chunk")) - 1
-    )
-    key_fields = [rows.schema[k] for k in keys]
     out_schema = T.StructType(
-        key_fields
+        [rows.schema[k] for k in keys]
         + [T.StructField("resample", T.IntegerType()), T.StructField("_sum", T.DoubleType()), T.StructField("_n", T.LongType())]
     )
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = _resampled_sums(pdf, resamples, seed)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * resamples for k in keys})
+    def draw(values: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        if values.empty or places.empty:  # a group with a single value has no place
+            return pd.DataFrame(columns=out_schema.names)
+        place = places.iloc[0]
+        out = pd.DataFrame({k: [place[name]] * resamples for k, name in zip(keys, own)})
         out["resample"] = np.arange(resamples, dtype=np.int32)
-        out["_sum"] = sums
-        out["_n"] = int(np.sum(pdf["_chunk_counts"].iloc[0]))
+        out["_sum"] = _resampled_sums(values, place, resamples, seed)
+        out["_n"] = int(np.sum(place["_masses"]))
         return out
 
-    sums = ready.groupBy(*keys, "_chunk").applyInPandas(draw, out_schema)
+    sums = placed.groupBy(*keys, "_chunk").cogroup(layout.groupBy(*own, "_place")).applyInPandas(draw, out_schema)
     means = sums.groupBy(*keys, "resample").agg((F.sum("_sum") / F.first("_n")).alias("_mean"))
     tail = (1.0 - level) / 2.0
     bounds = means.groupBy(*keys).agg(

@@ -13,6 +13,7 @@ from rategrid.functions.intervals import ERROR_METRICS, check_error_metric, grou
 from rategrid.functions.numeric import NAN, skip_nan
 from rategrid.functions.predicates import rate_in, size_in, where_text
 from rategrid.operators.bootstrap import bootstrap_interval
+from rategrid.session import cut_lineage
 
 
 def pick_metric_flag(cells: DataFrame) -> Column:
@@ -27,8 +28,8 @@ def aggregate_curve(
     """Per (n, x): mean without NaN, error half-widths, number of rows.
 
     ``auto`` uses Wilson intervals if every finite value of the whole input is 0 or 1,
-    else the standard error.  That decision is read from the aggregated cells, so the
-    input is scanned once.
+    else the standard error.  The decision is read from the aggregated cells, which are
+    materialised for it, so the input is scanned once.
     """
     check_error_metric(error_metric)
     df = ensure_column(df, y)
@@ -46,13 +47,14 @@ def aggregate_curve(
     if error_metric == "auto":
         seen, other = group_is_binary(value)
         options = {name: ERROR_METRICS[name](value) for name in ("wilson", "sem")}
-        cells = rows.groupBy(*keys).agg(
+        aggregated = rows.groupBy(*keys).agg(
             *base,
             *[side.alias(f"_{name}_{i}") for name, sides in options.items() for i, side in enumerate(sides)],
             F.count(F.lit(1)).alias("n_samples"),
             seen.alias("_seen"),
             other.alias("_other"),
         )
+        cells = cut_lineage(aggregated)
         binary = pick_metric_flag(cells)
         low, high = (F.when(binary, F.col(f"_wilson_{i}")).otherwise(F.col(f"_sem_{i}")) for i in (0, 1))
         cells = cells.select(*keys, "mean", low.alias("err_low"), high.alias("err_high"), "n_samples")

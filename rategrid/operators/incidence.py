@@ -41,15 +41,24 @@ def marginal(incidence: DataFrame, keys: Sequence[str], axis: str) -> DataFrame:
     )
 
 
-def _power_sums(prefix: str) -> list[Column]:
-    w = F.col("weight").cast("double")
+def marginals(incidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row and column marginals in one pass: ``axis`` is ``r`` or ``q``, ``member`` the index."""
+    ends = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("member")) for a in ("q", "r")])
+    entries = incidence.select(*keys, "x", F.explode(ends).alias("_e"))
+    return entries.groupBy(*keys, F.col("_e.axis").alias("axis"), F.col("_e.member").alias("member")).agg(
+        F.count(F.lit(1)).alias("weight"), F.sum(F.col("x").cast("bigint")).alias("x_weight")
+    )
+
+
+def _power_sums(prefix: str, axis: str) -> list[Column]:
+    w = F.when(F.col("axis") == axis, F.col("weight").cast("double"))
     return [
-        F.count(F.lit(1)).alias(f"_{prefix}m"),
+        F.count(w).alias(f"_{prefix}m"),
         F.sum(w).alias(f"_{prefix}1"),
         F.sum(w * w).alias(f"_{prefix}2"),
         F.sum(w * w * w).alias(f"_{prefix}3"),
-        F.max("weight").alias(f"_{prefix}max"),
-        F.min("weight").alias(f"_{prefix}min"),
+        F.max(w).alias(f"_{prefix}max"),
+        F.min(w).alias(f"_{prefix}min"),
     ]
 
 
@@ -76,19 +85,21 @@ def _moments(prefix: str, members: Column, mean_name: str, tag: str) -> list[Col
 def weight_stats(incidence: DataFrame, dims: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All scalar weight observables, one row per matrix."""
     keys = list(keys)
-    by_q = marginal(incidence, keys, "q").groupBy(*keys).agg(*_power_sums("a"))
-    by_r = (
-        marginal(incidence, keys, "r")
+    is_row = F.col("axis") == "r"
+    lower = F.col("member") >= F.col("n_cols")
+    sums = (
+        marginals(incidence, keys)
         .join(dims.select(*keys, "n_cols"), keys)
         .groupBy(*keys)
         .agg(
-            *_power_sums("w"),
-            F.sum(F.when(F.col("r") >= F.col("n_cols"), F.col("weight"))).alias("_stab"),
-            F.sum(F.when(F.col("r") < F.col("n_cols"), F.col("weight"))).alias("_destab"),
-            F.sum("x_weight").alias("_x"),
+            *_power_sums("a", "q"),
+            *_power_sums("w", "r"),
+            F.sum(F.when(is_row & lower, F.col("weight"))).alias("_stab"),
+            F.sum(F.when(is_row & ~lower, F.col("weight"))).alias("_destab"),
+            F.sum(F.when(is_row, F.col("x_weight"))).alias("_x"),
         )
     )
-    joined = dims.join(by_q, keys, "left").join(by_r, keys, "left")
+    joined = dims.join(sums, keys, "left")
     n, rows = F.col("n_cols"), F.col("n_rows")
     zero = F.lit(0)
     stats = joined.select(
@@ -107,11 +118,11 @@ def weight_stats(incidence: DataFrame, dims: DataFrame, keys: Sequence[str]) ->
 def pivot_effectiveness(incidence: DataFrame, dims: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lightest and heaviest X row per column, averaged over columns, and their ratio."""
     keys = list(keys)
-    weights = marginal(incidence, keys, "r").select(*keys, "r", "weight")
+    # at most n_cols entries share a row, so the window partitions are small
+    row = Window.partitionBy(*keys, "r")
+    weighted = incidence.select(*keys, "q", "x", F.count(F.lit(1)).over(row).alias("weight"))
     per_column = (
-        incidence.where("x = 1")
-        .select(*keys, "r", "q")
-        .join(weights, [*keys, "r"])
+        weighted.where("x = 1")
         .groupBy(*keys, "q")
         .agg(F.min("weight").alias("_light"), F.max("weight").alias("_heavy"))
     )
