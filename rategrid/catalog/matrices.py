@@ -382,14 +382,33 @@ STRIDE_MASKS = f"""SELECT m * 32 + o AS id, len(qs) AS size, {_both("list_sum(li
 )
 def subset_entropy(t: Tables) -> DataFrame:
     """Entropy of strided column sets of every label's matrix."""
+    return gf2.subset_entropy(_sign_spaces(t), _strided(t), KEY)
+
+
+def _strided(t: Tables) -> DataFrame:
+    """Every m-th column from o on, with m * 32 + o as the set's id."""
     strides = V.sign_dims(t).select("n_cols").distinct().select("n_cols", F.explode(F.array(*[F.lit(m) for m in (2, 3, 5, 8)])).alias("m"))
     offsets = strides.select("n_cols", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-    subsets = offsets.select("n_cols", (F.col("m") * 32 + F.col("o")).alias("subset_id"), F.sequence("o", F.col("n_cols") - 1, "m").alias("members"))
-    return gf2.subset_entropy(_sign_spaces(t), subsets, KEY)
+    ident = (F.col("m") * 32 + F.col("o")).alias("subset_id")
+    return offsets.select("n_cols", ident, F.sequence("o", F.col("n_cols") - 1, "m").alias("members"))
 
 
 # ---------------------------------------------------------------- distances
 
+# id + 1000 marks the complement of a set
+SPLIT_MASKS = f"""SELECT id, size, mask FROM ({STRIDE_MASKS}) UNION ALL SELECT id + 1000, 32 - size, {_both(_bits("0", "32"))} - mask FROM ({STRIDE_MASKS})"""
+
+
+@query(
+    "subset_information",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_rank_sql('vectors').replace('elim', 'elim0').replace('ranks', 'ranks0')}, {_masked_sql(SPLIT_MASKS)}
+        SELECT a.sample_seed, a.id AS subset_id, a.s + r.rank - 32 - b.s > 0 AS informative FROM entropy a
+        JOIN entropy b ON b.sample_seed = a.sample_seed AND b.id = a.id + 1000 JOIN ranks0 r ON r.key = a.sample_seed WHERE a.id < 1000""",
+)
+def subset_information(t: Tables) -> DataFrame:
+    return dist.subset_information(_sign_spaces(t), _strided(t), KEY)
+
+
 ARC_MASKS = f"""SELECT start * 100 + len AS id, len AS size, {_both("list_sum(list_transform(range(0, len), lambda j: CAST(1 AS HUGEINT) << CAST((start + j) % 32 AS HUGEINT)))")} AS mask
   FROM (SELECT unnest([0, 8, 16, 24]) AS start), (SELECT unnest(range(1, 32)) AS len)"""
 DCONT_SQL = f"""
@@ -415,6 +434,32 @@ def contiguous_distance(t: Tables) -> DataFrame:
     return dist.contiguous_distance(_sign_spaces(t), KEY).select("sample_seed", "k", "d_cont")
 
 
+# A set carries information exactly if more vectors on it lie in the row space than are
+# orthogonal to it (plain dot product).
+SMALL_SETS_SQL = """places AS (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS q),
+small_sets AS (SELECT 1 AS size, a.q AS qa, a.q AS qb FROM places a UNION ALL SELECT 2, a.q, b.q FROM places a, places b WHERE a.q < b.q),
+codes AS (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS code),
+on_set AS (SELECT size, qa, qb, (CAST(code & 1 AS HUGEINT) << CAST(qa AS HUGEINT)) + (CAST((code >> 1) & 1 AS HUGEINT) << CAST(qa + 32 AS HUGEINT))
+    + (CAST((code >> 2) & 1 AS HUGEINT) << CAST(qb AS HUGEINT)) + (CAST((code >> 3) & 1 AS HUGEINT) << CAST(qb + 32 AS HUGEINT)) AS w
+  FROM small_sets, codes WHERE size = 2 OR code < 4),
+judged AS (SELECT sample_seed, size, qa, qb, on_set.w, bit_xor(CASE WHEN (on_set.w >> CAST(piv AS HUGEINT)) & 1 = 1 THEN rref.w ELSE CAST(0 AS HUGEINT) END) = on_set.w AS in_span,
+    max(bit_count(on_set.w & rref.w) % 2) = 0 AS orthogonal FROM rref, on_set GROUP BY sample_seed, size, qa, qb, on_set.w),
+carriers AS (SELECT sample_seed, size FROM (SELECT sample_seed, size, qa, qb, count(*) FILTER (in_span) AS s, count(*) FILTER (orthogonal) AS o FROM judged GROUP BY 1, 2, 3, 4) WHERE s > o),
+smallest AS (SELECT sample_seed, min(size) AS size FROM carriers GROUP BY 1)"""
+
+
+@query(
+    "distances_up_to_pairs",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_rank_sql('vectors').replace('elim', 'elim0').replace('ranks', 'ranks0')}, {_arc_pairs_sql()},
+        best AS (SELECT sample_seed, min(len) AS d FROM info WHERE start IN (0, 8, 16, 24) GROUP BY 1), {RREF_SQL}, {SMALL_SETS_SQL},
+        arcs AS (SELECT sample_seed, k, CASE WHEN k = 0 THEN 0 ELSE coalesce(d, 32) END AS d_cont FROM total LEFT JOIN best USING (sample_seed))
+        SELECT sample_seed, CAST(d_cont AS INTEGER) AS d_cont, CAST(CASE WHEN k = 0 THEN 0 WHEN size = 1 THEN 1 WHEN d_cont <= 1 THEN d_cont
+          WHEN size = 2 THEN 2 ELSE d_cont END AS INTEGER) AS d_min FROM arcs LEFT JOIN smallest USING (sample_seed)""",
+)
+def distances_up_to_pairs(t: Tables) -> DataFrame:
+    return dist.distances(_sign_spaces(t), KEY, max_exhaustive=2).select("sample_seed", "d_cont", "d_min")
+
+
 @query("distances_signs")
 def distances_signs(t: Tables) -> DataFrame:
     return dist.distances(_sign_spaces(t), KEY)

@@ -130,7 +130,7 @@ def arc(start: Column, length: Column, n_cols: Column) -> Column:
 
 
 
-def _with_lists(spaces: DataFrame, items: DataFrame, name: str, value: str, alias: str) -> DataFrame:
+def with_lists(spaces: DataFrame, items: DataFrame, name: str, value: str, alias: str) -> DataFrame:
     """Pair each matrix with the lists of items for its size, by a size-checked join."""
     parts = -(-items.count() // LIST_LENGTH) or 1
     part = F.pmod(F.xxhash64(name), F.lit(parts)).alias("_part")
@@ -144,7 +144,7 @@ def subset_entropy(spaces: DataFrame, subsets: DataFrame, keys: Sequence[str]) -
     The subsets depend on the size only.  They are gathered into lists of about
     ``LIST_LENGTH``, and each matrix is unpacked once per list.
     """
-    joined = _with_lists(spaces, subsets, "subset_id", "members", "_s")
+    joined = with_lists(spaces, subsets, "subset_id", "members", "_s")
     values = entropies("rref", "n_cols", F.col("_s.members"))
     zipped = joined.select(*keys, F.arrays_zip(F.col("_s.subset_id").alias("subset_id"), values.alias("entropy")).alias("_z"))
     return zipped.select(*keys, F.inline("_z"))
@@ -214,7 +214,7 @@ def contained(rref: pd.Series, n_cols: pd.Series, vectors: pd.Series) -> pd.Seri
 
 def row_span_members(spaces: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per matrix and vector of ``vectors(n_cols, v, words)``: is it in the row span?"""
-    joined = _with_lists(spaces, vectors, "v", "words", "_v")
+    joined = with_lists(spaces, vectors, "v", "words", "_v")
     flags = contained("rref", "n_cols", F.col("_v.words"))
     zipped = joined.select(*keys, F.arrays_zip(F.col("_v.v").alias("v"), flags.alias("in_span")).alias("_z"))
     return zipped.select(*keys, F.inline("_z"))

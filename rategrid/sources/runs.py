@@ -117,15 +117,14 @@ def cell_index(
 def write_cells(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write a table partitioned by run and cell; ``overwrite`` replaces only the cells in ``df``.
 
-    The shuffle key is the cell plus a salt, so a cell with a large share of all rows is
-    still written by many tasks.  The run folder carries a prefix, so that Spark never
-    takes a run id for a number.
+    Rows are rebalanced by cell: adaptive execution splits a cell with a large share of all
+    rows over several tasks and keeps small cells in one file.  The run folder carries a
+    prefix, so that Spark never takes a run id for a number.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     parts = ["run", "n", "p"]
     (
         df.withColumn("run", F.concat(F.lit("run-"), F.col("run_id")))
-        .repartition(*parts, salt)
+        .hint("rebalance", *[F.col(c) for c in parts])
         .write.partitionBy(*parts)
         .option("partitionOverwriteMode", "dynamic")
         .mode(mode)
