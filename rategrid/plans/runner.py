@@ -16,9 +16,11 @@ from rategrid.functions.predicates import rate_in, size_in
 from rategrid.plans.analyses import Context
 from rategrid.plans.registry import CELL, Analysis, latest_entries, merged_params, missing_work, select_analyses, work_plan
 from rategrid.session import cut_lineage
+from rategrid.sources.manifest import analysis_summary
 from rategrid.sources.runs import read_cells, write_cells
 
 REGISTRY = "_registry"
+SUMMARY = "_summary"
 REGISTRY_SCHEMA = (
     "run_id string, n int, p double, analysis string, computed_utc string, package_version string,"
     " git_hash string, git_dirty boolean, params map<string,string>, runtime_s double, n_samples bigint"
@@ -125,12 +127,20 @@ def run_analyses(
             failed = [(*row, analysis.name, "error", _text(error)) for row in cells.collect()]
         whole = cells.select(*CELL, F.lit(analysis.name).alias("analysis"), F.lit("compute").alias("action"))
         reports.append(_with_status(whole, failed))
+    _write_summary(spark, known.select(*CELL).distinct(), [a.name for a in chosen if not a.per_cell], out)
     report = reports[0]
     for part in reports[1:]:
         report = report.unionByName(part)
     return report
 
 
+def _write_summary(spark: SparkSession, cells: DataFrame, run_level: Sequence[str], out: str) -> None:
+    """Per run, the finished analyses of every cell as JSON, next to the outputs."""
+    names = F.explode(F.array(*[F.lit(a) for a in run_level]).cast("array<string>")).alias("analysis")
+    summary = analysis_summary(cells, read_registry(spark, out), cells.select("run_id").distinct().select("run_id", names))
+    summary.write.mode("overwrite").json(f"{out}/{SUMMARY}")
+
+
 def _attempt(context: Context, analysis: Analysis, params: Mapping[str, Any], own: DataFrame, out: str) -> list[tuple]:
     try:
         _compute(context, analysis, params, own, out)

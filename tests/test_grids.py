@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from rategrid.functions.columns import attach_summary
 from rategrid.operators import crossing, graphs, ranks, schedule, survival
 
 
@@ -152,3 +153,13 @@ def test_ordered_index_of_a_heavy_group(spark):
     got = ranks.ordered_index(df, ["g"], ["v"], F.floor(F.col("v") / 500), "t")
     wrong = got.join(got.withColumnsRenamed({"v": "w"}).withColumn("t", F.col("t") - 1), ["g", "t"]).where("w <= v")
     assert wrong.isEmpty() and got.groupBy("g").agg(F.max("t") + 1 == F.count("*"), F.min("t")).where("min(t) <> 0").isEmpty()
+
+
+def test_salted_join_equals_plain_join(spark):
+    big = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).cast("int").alias("g"), "id")
+    summary = spark.createDataFrame([(g, f"s{g}") for g in range(6)], "g int, s string")
+    for how in ("inner", "left"):
+        plain = big.join(summary, "g", how)
+        for limit in (0, 100):
+            got = attach_summary(big, summary, ["g"], how, max_broadcast_rows=limit, salts=4).select(*plain.columns)
+            assert got.exceptAll(plain).isEmpty() and got.count() == plain.count()

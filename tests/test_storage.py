@@ -120,6 +120,8 @@ def test_runner_skips_fills_and_forces(spark):
     assert {(r["d_logical_x"], r["d_logical_y"], r["d_logical_z"]) for r in logical} == {(1, 1, 1)}
     cells = {r["n"]: r for r in spark.read.parquet(f"{out}/aggregates").collect()}
     assert cells[4]["distances.d_min_mean"] == 1.0 and cells[6]["k_over_n_mean"] == 1.0
+    summary = json.loads(spark.read.json(f"{out}/{runner.SUMMARY}").first()["analysis_summary"])
+    assert summary["run_level"] == ["aggregates"] and summary["per_cell"]["n=0006/p=0.1500"] == ["distances", "logical_weights"]
     entries_read = runner.read_registry(spark, out)
     assert entries_read.where("analysis = 'distances'").agg(F.sum("n_samples")).first()[0] == 4
 
