@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import attach_summary
@@ -18,6 +18,33 @@ from rategrid.functions.numeric import finite
 from rategrid.session import cut_lineage
 
 
+class Cuts:
+    """Where to cut the value range of a group so that the wanted ranks lie between close cuts."""
+
+    def __init__(self, qs: Sequence[float], accuracy: int = 10_000) -> None:
+        self.qs, self.accuracy = [float(q) for q in qs], accuracy
+        slack = 2.0 / accuracy
+        self.marks = sorted({min(max(q + d, 0.0), 1.0) for q in self.qs for d in (-slack, slack)})
+        # even parts lie between cuts, odd parts are the values equal to a cut
+        self.near = [
+            2 * i
+            for i in range(1, len(self.marks))
+            if any(abs((self.marks[i - 1] + self.marks[i]) / 2 - q) < slack for q in self.qs)
+        ]
+
+    def sketch(self, value: Column) -> Column:
+        """Aggregate: the cut points of a column of finite values, null without any."""
+        return F.percentile_approx(value, self.marks, self.accuracy)
+
+    def part(self, value: Column, cuts: Column) -> Column:
+        above = sum((value > F.get(cuts, F.lit(i))).cast("int") for i in range(len(self.marks)))
+        return 2 * above + F.array_contains(cuts, value).cast("int")
+
+    def kept(self, value: Column, part: Column) -> Column:
+        """The value itself where it equals a cut or lies next to a wanted rank, else null."""
+        return F.when((part % 2 == 1) | part.isin(self.near), value)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -30,36 +57,27 @@ def exact_quantiles(
     Linear interpolation between neighbouring order statistics; only finite values count,
     and groups without any are left out.
     """
-    keys = list(keys)
-    slack = 2.0 / accuracy
-    marks = sorted({min(max(q + d, 0.0), 1.0) for q in qs for d in (-slack, slack)})
+    keys, plan = list(keys), Cuts(qs, accuracy)
     rows = df.select(*keys, finite(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-    cuts = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_finite"),
-        F.percentile_approx("_v", [float(m) for m in marks], accuracy).alias("_cuts"),
-    )
-    placed = attach_summary(rows, cuts, keys)
-    # even parts lie between cuts, odd parts are the values equal to a cut
-    above = sum((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(marks)))
-    equal = F.array_contains(F.col("_cuts"), F.col("_v")).cast("int")
-    placed = placed.select(*keys, "n_finite", "_v", (2 * above + equal).alias("_part"))
-    near = [2 * i for i in range(1, len(marks)) if any(abs((marks[i - 1] + marks[i]) / 2 - q) < slack for q in qs)]
-    keep = (F.col("_part") % 2 == 1) | F.col("_part").isin(near)
-    kept_value = F.when(keep, F.col("_v")).alias("_v")
+    placed = attach_summary(rows, rows.groupBy(*keys).agg(plan.sketch(F.col("_v")).alias("_cuts")), keys)
+    parted = placed.select(*keys, "_v", plan.part(F.col("_v"), F.col("_cuts")).alias("_part"))
+    return quantiles_of_parts(parted, keys, plan)
+
 
+def quantiles_of_parts(parted: DataFrame, keys: Sequence[str], plan: Cuts) -> DataFrame:
+    """Quantiles per group from ``(keys, _v, _part)``, one row per finite value."""
+    keys = list(keys)
+    kept = plan.kept(F.col("_v"), F.col("_part")).alias("_v")
     # one row per interval, and one per distinct value next to a wanted rank
-    merged = cut_lineage(
-        placed.groupBy(*keys, "_part", kept_value).agg(
-            F.count(F.lit(1)).alias("_copies"), F.first("n_finite").alias("n_finite")
-        )
-    )
-    parts = merged.groupBy(*keys, "_part").agg(
-        F.first("n_finite").alias("n_finite"), F.sum("_copies").alias("_size"), F.first("_v").isNotNull().alias("_kept")
+    merged = cut_lineage(parted.groupBy(*keys, "_part", kept).agg(F.count(F.lit(1)).alias("_copies")))
+    parts = merged.groupBy(*keys, "_part").agg(F.sum("_copies").alias("_size"), F.first("_v").isNotNull().alias("_kept"))
+    whole = Window.partitionBy(*keys)  # the parts of one group: two per mark at most
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn(
+        "n_finite", F.sum("_size").over(whole)
     )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     last = F.col("n_finite") - 1
-    ranks = [end(F.lit(float(q)) * last).cast("bigint") for q in qs for end in (F.floor, F.ceil)]
+    ranks = [end(F.lit(q) * last).cast("bigint") for q in plan.qs for end in (F.floor, F.ceil)]
     targets = parts.withColumn("_wants", F.array_distinct(F.array(*ranks))).withColumn(
         "_wants", F.filter("_wants", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
     )
@@ -70,7 +88,7 @@ def exact_quantiles(
     detail = attach_summary(merged.where("_v is not null").select(*on, "_v", "_copies"), wanted, on, ready=True)
     missed = chosen.where(~F.col("_kept")).select(*on, "_before", "_wants")
     if not missed.isEmpty():
-        late = attach_summary(placed.select(*on, "_v"), missed, on, ready=True)
+        late = attach_summary(parted.select(*on, "_v"), missed, on, ready=True)
         counted = late.groupBy(*on, "_v").agg(
             F.count(F.lit(1)).alias("_copies"), F.first("_before").alias("_before"), F.first("_wants").alias("_wants")
         )
@@ -85,13 +103,13 @@ def exact_quantiles(
     totals = chosen.groupBy(*keys).agg(F.first("n_finite").alias("n_finite"))
     joined = found.join(totals, keys)
 
-    def interpolated(q: float):
-        position = F.lit(float(q)) * last
+    def interpolated(q: float) -> Column:
+        position = F.lit(q) * last
         low = F.col("_found")[F.floor(position).cast("bigint")]
         high = F.col("_found")[F.ceil(position).cast("bigint")]
         return low + (high - low) * (position - F.floor(position))
 
-    return joined.select(*keys, "n_finite", F.array(*[interpolated(q) for q in qs]).alias("quantiles"))
+    return joined.select(*keys, "n_finite", F.array(*[interpolated(q) for q in plan.qs]).alias("quantiles"))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median") -> DataFrame:

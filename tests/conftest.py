@@ -12,7 +12,7 @@ from rategrid.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "rategrid-tests", memory="8g")
+    session = local_session(8, "rategrid-tests", memory="8g", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
