@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rategrid.llm.storage import stage
 from rategrid.llm.text import BLANK_CHARS, ascii_lower, lines, whole
 
 
@@ -44,11 +45,13 @@ def dedup_lines(
     )
     # one row per line and document first: a repeated line inside a document counts once
     once = exploded.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    shared = (
+    # written first, so that the join below has two shuffles and a hot line's partition can be split
+    shared = stage(
         once.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "shared-lines",
     )
     gone = (
         exploded.join(shared, ["h1", "h2"])
