@@ -7,22 +7,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rategrid.llm.decontaminate import contamination
+from rategrid.llm.language import UNKNOWN, fit_language, held_out, identify_language
 from rategrid.llm.lines import dedup_lines
+from rategrid.llm.neardup import near_duplicates
+from rategrid.llm.packing import pack_documents
+from rategrid.llm.queries import word_tokenizer
 from rategrid.llm.storage import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.4  # below it no language holds a document together
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without a letter and those that no language dominates go.
+
+    The model learns from labelled documents outside the held-out fifth; without any label every document stays.
+    """
+    model = fit_language(docs.filter(~held_out()))
+    if not model.labels:
+        return docs.select(*COLUMNS)
+    found = identify_language(docs, model, keep=COLUMNS[1:])
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; every document stays, with its new length."""
-    kept = dedup_lines(docs).select("doc_id", "text").distinct()
-    rest = docs.select("doc_id", "lang", "source").distinct()
-    joined = rest.join(kept, "doc_id")
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    kept = dedup_lines(docs, keep=("lang", "source"))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; of repeated rows one stays."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    mine = docs.select(*COLUMNS)
+    return mine.join(kept, mine["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
+    mine = docs.select(*COLUMNS)
+    return mine.join(bad, mine["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents in windows of 2048 tokens."""
+    return pack_documents(docs, word_tokenizer())
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", drop_shared_lines)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", keep_identified),
+    ("line_dedup", drop_shared_lines),
+    ("near_duplicates", keep_first_of_group),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 #: No SQL: language ID is a trained model and packing reads a tokenizer.
 ORACLE_SQL = None

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRAIN_DOCS = 400  # labelled rows per label in the sample
 TRAIN_WORDS = 120_000  # words per label that training sequences are spliced from
@@ -289,26 +290,23 @@ class Tagger:
 
 def _tagging(model: Model):
     labels = [*model.labels, UNKNOWN]
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.float64()))])
+    k = len(model.labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                shares = tagger.documents(part.column(1).to_pylist())
-                found = shares.sum(axis=1) > 0 if shares.shape[1] else np.zeros(len(shares), dtype=bool)
-                best = np.where(found, shares.argmax(axis=1), len(model.labels)) if shares.shape[1] else np.zeros(len(shares), dtype=int)
-                top = shares.max(axis=1) if shares.shape[1] else np.zeros(len(shares))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array([labels[i] for i in best]),
-                        pa.array(np.clip(top, 0.0, 1.0)),
-                        pa.array(list(shares), pa.list_(pa.float64())),
-                    ],
-                    schema=schema,
-                )
+                shares = tagger.documents(part.column(0).to_pylist()) if k else np.zeros((part.num_rows, 1))
+                found = shares.sum(axis=1) > 0
+                best = np.where(found, shares.argmax(axis=1), k)
+                made = [
+                    pa.array([labels[i] for i in best], pa.string()),
+                    pa.array(np.clip(shares.max(axis=1), 0.0, 1.0), pa.float64()),
+                    pa.array([list(x[:k]) for x in shares], pa.list_(pa.float64())),
+                ]
+                names = [*part.schema.names[1:], "lang_pred", "score", "shares"]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
 
     return run
 
@@ -332,14 +330,25 @@ def fit_language(docs: DataFrame, label: str = "lang", text: str = "text") -> Mo
     return train([t for _, t in sample], [x for x, _ in sample])
 
 
-def identify_language(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify_language(
+    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
     """``doc_id, lang_pred, score, shares`` for every input row; ``shares`` follow ``model.labels``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if the model knows no label.
-    Repeated rows and null ids return as they come; ties go to the first label in order.
+    Repeated rows and null ids return as they come; ties go to the first label in order.  Columns named in ``keep``
+    pass through beside the result.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_tagging(model), "doc_id long, lang_pred string, score double, shares array<double>")
+    rows = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep])
+    schema = T.StructType(
+        [
+            *rows.schema.fields[1:],
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("shares", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    return rows.mapInArrow(_tagging(model), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +30,24 @@ def _keyed(text: str, min_chars: int) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_chars: int = 40,
+    min_docs: int = 5,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Drop lines whose key (``min_chars`` code points or more) is in ``min_docs`` documents or more.
 
     Such lines stay in the largest id that holds them.  Returns per input row: ``doc_id, text`` (the kept lines joined),
     ``n_lines, n_dropped``.  A null or empty text is one empty line.  Rows with one id are one document; a row without
-    an id belongs to a document without an id, which counts as one and never is the largest.  Repeated rows all return.
+    an id belongs to a document without an id, which counts as none and never is the largest.  Repeated rows all return.
+    Columns named in ``keep`` pass through.
 
     Lines are exploded as hashes, counted with partial aggregation on both levels (so a line of every document is no
     hot key), and the dropped hashes return as one short list per document.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
     exploded = base.select("doc_id", F.explode(_keyed("text", min_chars)).alias("l")).select(
         "doc_id", "l.h1", "l.h2"
     )
@@ -48,7 +56,7 @@ def dedup_lines(
     # written first, so that the join below has two shuffles and a hot line's partition can be split
     shared = stage(
         once.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        .agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper"),
         "shared-lines",
@@ -68,9 +76,10 @@ def dedup_lines(
         return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("gone"), mark)
 
     kept = F.when(F.col("gone").isNull(), all_lines).otherwise(F.filter(all_lines, stays))
-    split = both.select("doc_id", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    split = both.select("doc_id", *keep, F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
     return split.select(
         "doc_id",
+        *keep,
         F.array_join("kept", "\n").alias("text"),
         "n_lines",
         (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
