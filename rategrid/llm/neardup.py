@@ -6,7 +6,8 @@ of retained values propose pairs, the sketch of the union estimates their simila
 Lists stay short without a cap.  Documents with equal sets are one class.  If two sketches share at least c values, they
 share one among the (size - c + 1) rarest of each, so only those enter the lists (see :func:`least_overlap`); what is
 left of a frequent value are documents made of it.  In a long list members are compared with one of them first; members
-that then belong together need no comparison among each other, and only the rest meet pair by pair.
+that then belong together need no comparison among each other.  The rest meet pair by pair over lists of larger
+sketches, mostly whole sets, whose exact overlap bounds leave out documents that only share a passage.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from rategrid.llm.text import let
 
 SHINGLE = 5
 SKETCH = 64
+LARGE = 1024  # retained values where few-value sketches leave a pair open
 DEVIATIONS = 4.0  # a pair at the threshold shares fewer values than allowed for with probability 3e-5
 HUB_ROUNDS = 3
 
@@ -101,20 +103,30 @@ def least_overlap(n: Column, percent: int, k: int) -> Column:
     return F.greatest(F.least(F.ceil(n * t), drawn), F.lit(1)).cast("int")
 
 
+def pair_overlap(n: Column, m: Column, percent: int, k: int) -> Column:
+    """Like :func:`least_overlap` for two sets: exact where both are kept whole, which both sizes then decide."""
+    whole = F.ceil((n + m) * percent / (100 + percent)).cast("int")
+    return F.when(F.greatest(n, m) <= k, whole).otherwise(least_overlap(F.greatest(n, m), percent, k))
+
+
 def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """``v, node, n, band``: the rarest retained values of each class that another class retains too."""
+    """``v, node, n, band, rank, weight``: the rarest retained values of each class that another class retains too.
+
+    ``rank`` counts from 1 over all retained values, rarest first; ``weight`` is how often the class's values occur.
+    """
     rows = classes.select("node", "n", F.explode("sketch").alias("v"))
     shared = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = rows.join(shared, "v").groupBy("node").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values")
+        F.first("n").alias("n"), F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values")
     )
     held = F.least(F.col("n"), F.lit(k)).cast("int")
     rare = held - F.size("values")  # values that no other class has come first
     room = held - least_overlap(F.col("n"), percent, k) + 1 - rare
-    kept = own.filter(room > 0).select("node", "n", F.explode(F.slice("values", 1, room)).alias("x"))
+    kept = own.filter(room > 0).select("node", "n", "weight", rare.alias("rare"), F.posexplode(F.slice("values", 1, room)).alias("at", "x"))
     # sets of linked documents differ in size by less than 100 / percent: the same or the next band
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
-    return kept.select(F.col("x.v").alias("v"), "node", "n", band.alias("band"))
+    rank = F.col("rare") + F.col("at") + 1
+    return kept.select(F.col("x.v").alias("v"), "node", "n", band.alias("band"), rank.alias("rank"), "weight")
 
 
 def _passes(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) -> Column:
@@ -157,31 +169,72 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(labels.join(merged, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "neardup-labels")
 
 
+def _main(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The most frequent component of each list (``main``) where it has several."""
+    sizes = rows.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy(*keys).agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("kinds"))
+    return main.filter("kinds > 1").select(*keys, F.col("x.comp").alias("main"))
+
+
+def _hub_pairs(lists: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
+    """Each list's members beside its hub, if they are still apart.
+
+    The hub is the member whose values are the most frequent: the origin of many copies, rather than one of them.  After
+    the first round it is taken from outside the largest component.
+    """
+    named = lists.join(labels, "node")
+    able = named
+    if not first:
+        able = named.join(_main(named, ["v", "band"]), ["v", "band"]).filter("comp <> main")
+    hubs = able.groupBy("v", "band").agg(F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node", "comp")).alias("h"))
+    hubs = stage(hubs.select("v", "band", F.col("h.node").alias("b"), F.col("h.comp").alias("c_b")), "neardup-hubs")
+    met = named.select("v", "band", F.col("node").alias("a"), F.col("comp").alias("c_a")).join(hubs, ["v", "band"])
+    return met.filter("c_a <> c_b").select("a", "b").distinct()
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
+    """All pairs ``a, b`` of a list in different components that the ranks of the shared value allow.
+
+    Linked sets share at least :func:`pair_overlap` values, so their rarest shared value stands early in both.  For the
+    smaller set that is early by both sizes (``brief``), which leaves few members in the list of a frequent value.
+    """
+    named = lists.join(labels, "node")
+    spread = named.withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    split = stage(spread.join(_main(spread, ["v", "block"]), ["v", "block"]), "neardup-open")
+    held = F.least(F.col("n"), F.lit(k)).cast("int")
+    brief = split.filter(F.col("rank") <= held - pair_overlap(F.col("n"), F.col("n"), percent, k) + 1)
+    a = brief.select("v", "block", "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "rank", "comp")])
+    b = split.select("v", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "rank", "comp")])
+    # the smaller set stands on the left; of equal ones the smaller number
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    sized = F.col("n_a") * 100 >= F.col("n_b") * percent
+    least = pair_overlap(F.col("n_a"), F.col("n_b"), percent, k)
+    early = (F.col("rank_a") <= F.least(F.col("n_a"), F.lit(k)) - least + 1) & (F.col("rank_b") <= F.least(F.col("n_b"), F.lit(k)) - least + 1)
+    apart = ordered & sized & early & (F.col("comp_a") != F.col("comp_b"))
+    left = a.filter("comp_a <> main").drop("main").join(b, ["v", "block"]).filter(apart)
+    right = a.filter("comp_a = main").drop("main").join(
+        split.filter("comp <> main").select(*[F.col(c).alias(c if c in ("v", "block") else f"{c}_b") for c in ("v", "block", "node", "n", "rank", "comp")]),
+        ["v", "block"],
+    ).filter(apart)
+    both = left.select("node_a", "node_b").unionByName(right.select("node_a", "node_b"))
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def linked_classes(classes: DataFrame, sets_of, percent: int, k: int, rounds: int = HUB_ROUNDS) -> DataFrame:
     """``node, comp`` of every class that shares an indexed value with another."""
     lists = stage(inverted_lists(classes, percent, k), "neardup-lists")
     labels = stage(lists.select("node").distinct().withColumn("comp", F.col("node")), "neardup-labels")
     sets = sets_of(labels.select("node"))
     for turn in range(rounds):
-        order = F.xxhash64("node", F.lit(turn))
-        named = lists.join(labels, "node")
-        hubs = named.groupBy("v", "band").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("h"))
-        hubs = hubs.select("v", "band", F.col("h.node").alias("b"), F.col("h.comp").alias("c_b"))
-        met = named.select("v", "band", F.col("node").alias("a"), F.col("comp").alias("c_a")).join(hubs, ["v", "band"])
-        pairs = met.filter("c_a <> c_b").select("a", "b").distinct()
+        pairs = _hub_pairs(lists, labels, first=turn == 0)
         labels = _relabel(labels, _verified(pairs, classes, sets, percent, k, best=True))
-    # pairs that are still apart, between neighbouring size bands; a list of one component has none
-    named = lists.join(labels, "node")
-    spread = named.select("v", "node", "comp", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("block"))
-    sizes = spread.groupBy("v", "block", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("v", "block").agg(F.max(F.struct("m", "comp")).alias("x"), F.count(F.lit(1)).alias("kinds"))
-    main = main.filter("kinds > 1").select("v", "block", F.col("x.comp").alias("main"))
-    split = stage(spread.join(main, ["v", "block"]), "neardup-open")
-    others = split.filter("comp <> main").select("v", "block", F.col("node").alias("a"), F.col("comp").alias("c_a"))
-    every = split.select("v", "block", F.col("node").alias("b"), F.col("comp").alias("c_b"), "main")
-    twice = (F.col("c_b") != F.col("main")) & (F.col("b") < F.col("a"))  # two others meet once
-    met = others.join(every, ["v", "block"]).filter((F.col("c_a") != F.col("c_b")) & ~twice)
-    pairs = stage(met.select("a", "b").distinct(), "neardup-pairs")
+    # what is still apart meets pair by pair, over lists of larger sketches: nearly all of them whole sets
+    named = lists.join(labels, "node").withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    open_nodes = named.join(_main(named, ["v", "block"]), ["v", "block"]).select("node").distinct()
+    large = sets.join(open_nodes, "node", "left_semi")
+    large = large.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, LARGE).alias("sketch"))
+    longer = stage(inverted_lists(large, percent, LARGE), "neardup-lists")
+    pairs = stage(_open_pairs(longer, labels, percent, LARGE), "neardup-pairs")
     return _relabel(labels, _verified(pairs, classes, sets, percent, k, best=False))
 
 
