@@ -149,6 +149,8 @@ def _posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, sizes:
 def train(texts: Sequence[str], labels: Sequence[str], seed: int = 5) -> Model:
     """Fit on labelled texts by stochastic gradient ascent of the conditional likelihood."""
     names = sorted(set(labels))
+    if not names:
+        return Model([], np.zeros((FEATURES, 0)), {}, np.zeros((0, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     pools: list[list[str]] = [[] for _ in names]
     counts = [Counter() for _ in names]

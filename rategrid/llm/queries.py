@@ -154,3 +154,116 @@ kept AS (SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.p) AS text,
 SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op9_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, s, list_aggregate(w[s:s + 4], 'string_agg', ' ') AS span
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, span FROM win GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+          SELECT doc_id, unnest(range(s, s + 5)) AS p FROM win SEMI JOIN rep USING (doc_id, span)) GROUP BY 1),
+st AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines,
+         coalesce(hit.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM d) AS d
+  LEFT JOIN hit USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM st)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_symbols > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+                                OR 2 * n_dup_lines > n_lines) AS kept
+FROM f
+"""
+
+
+def found_sql(name: str, pattern: str, keep: str = "true") -> str:
+    """Matches of a pattern in column ``text`` as a list of structs (a, b, v); the pieces between them give positions."""
+    before = "list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""(SELECT doc_id, '{name}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i:
+      struct_pack(a := CAST({before} AS BIGINT), b := CAST({before} + length(m[i]) AS BIGINT), v := m[i])), lambda s: {keep})) AS s
+      FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM body))"""
+
+
+def _spans_sql(names: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {found_sql(k, p, keep)}" for k, (p, keep) in names.items())
+
+
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_STRONG_SQL = {
+    "assign": (_ASSIGN, f"length(regexp_extract(s.v, '{_ASSIGN}', 2)) >= 6"),
+    "access": (secrets.ACCESS, "length(s.v) >= 20"),
+    "hex": (secrets.HEX, "true"),
+}
+_WEAK_SQL = {k: (p.replace("'", "''"), "true") for k, p in secrets.WEAK.items()}
+_WEAK_SQL["material"] = (secrets.WEAK["material"], "length(s.v) <= 128 AND regexp_matches(s.v, '[0-9]') AND regexp_matches(s.v, '[A-Z]')")
+SQL["op1_secrets"] = f"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+st AS (SELECT doc_id, kind, s.a AS a, s.b AS b FROM ({_spans_sql(_STRONG_SQL)})),
+wk AS (SELECT doc_id, kind, s.a AS a, s.b AS b FROM ({_spans_sql(_WEAK_SQL)})),
+free AS (SELECT * FROM wk WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = wk.doc_id AND st.a < wk.b AND wk.a < st.b)),
+parts AS (SELECT *, CASE WHEN kind IN ('identifier', 'access') THEN 'who' WHEN kind = 'endpoint' THEN 'where' ELSE 'what' END AS part
+          FROM (SELECT * FROM st UNION ALL SELECT * FROM free)),
+linked AS (
+  SELECT x.doc_id, x.kind, x.a, x.b FROM parts AS x JOIN parts AS y
+    ON x.doc_id = y.doc_id AND y.a <= x.b + {secrets.SCOPE} AND x.a <= y.b + {secrets.SCOPE}
+  WHERE x.kind IN ('identifier', 'material', 'endpoint')
+  GROUP BY ALL HAVING bool_or(y.part = 'what') AND bool_or(y.part IN ('who', 'where'))),
+spans AS (SELECT doc_id, kind, a, b, true AS base FROM st UNION ALL SELECT doc_id, kind, a, b, false FROM linked),
+told AS (SELECT *, kind || ':' || a || ':' || b AS told,
+         list_position(['assign', 'access', 'hex', 'identifier', 'material', 'endpoint'], kind) AS o FROM spans)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(told, ',' ORDER BY a, o) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(told, ',' ORDER BY a, o), '') AS spans
+FROM documents AS d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
+"""
+
+_PII_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(s.v, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+    "card": (
+        r"[0-9](?:[\x20-]?[0-9])+",
+        "length(regexp_replace(s.v, '[^0-9]', '', 'g')) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse(regexp_replace(s.v, "
+        "'[^0-9]', '', 'g')), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN CAST(d AS INT) ELSE (2 * CAST(d AS INT)) % 10 + CAST(d AS INT) // 5 END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(s.v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+}
+
+
+def _beside_sql(part: str, shift: str, whole_word: str) -> str:
+    """Terms beside an entity; ``part`` is the context text, ``shift`` its place."""
+    return f"""SELECT doc_id, entity, s.a + base AS a, s.b + base AS b, term FROM (
+      SELECT doc_id, entity, base, s, translate(s.v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, far FROM (
+        SELECT doc_id, entity, {shift} AS base, length(full_text) AS far, unnest(list_transform(range(1, len(m) + 1), lambda i:
+          struct_pack(a := CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+                      b := CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT), v := m[i]))) AS s
+        FROM (SELECT *, regexp_extract_all({part}, '\\p{{L}}{{4,}}') AS m, regexp_split_to_array({part}, '\\p{{L}}{{4,}}') AS p FROM ent))
+      ) WHERE {whole_word}"""
+
+
+SQL["op7_pii"] = f"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({_spans_sql(_PII_SQL)}),
+base AS (SELECT doc_id, kind, s.a AS a, s.b AS b, kind || ':' || lower(s.v) AS entity FROM raw),
+ent AS (SELECT base.*, greatest(a - 60, 0) AS lo, text AS full_text, substring(text, greatest(a - 60, 0) + 1, a - greatest(a - 60, 0)) AS l,
+        substring(text, b + 1, 60) AS r FROM base JOIN body USING (doc_id)),
+near AS ({_beside_sql("l", "lo", "s.a > 0 OR base = 0")} UNION ALL {_beside_sql("r", "b", "s.b < 60 OR base + 60 >= far")}),
+co AS (SELECT entity, term, count(DISTINCT doc_id) AS co FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+dfe AS (SELECT entity, count(DISTINCT doc_id) AS n FROM near GROUP BY 1),
+dft AS (SELECT term, count(*) AS n FROM (
+          SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\p{{L}}{{4,}}')) AS term FROM body)
+        WHERE term IN (SELECT term FROM co) GROUP BY 1),
+share AS (SELECT entity, term, CASE WHEN ln((SELECT count(*) FROM body)::DOUBLE / dfe.n) > 0
+            THEN 1.0 - ln(dft.n / co.co::DOUBLE) / ln((SELECT count(*) FROM body)::DOUBLE / dfe.n) ELSE 0 END AS share
+          FROM co JOIN dfe USING (entity) JOIN dft USING (term)),
+terms AS (SELECT DISTINCT near.doc_id, 'term' AS kind, near.a, near.b FROM near JOIN share USING (entity, term) WHERE share >= {pii.GENERALISE_SHARE}),
+free AS (SELECT * FROM terms WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = terms.doc_id AND base.a < terms.b AND terms.a < base.b)),
+told AS (SELECT *, kind || ':' || a || ':' || b AS told, list_position(['email', 'ip', 'card', 'phone', 'term'], kind) AS o
+         FROM (SELECT doc_id, kind, a, b FROM base UNION ALL SELECT * FROM free))
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+       count(*) FILTER (kind = 'phone') AS n_phone, sha256(coalesce(string_agg(told, ',' ORDER BY a, o) FILTER (kind <> 'term'), '')) AS base_sha256,
+       coalesce(string_agg(told, ',' ORDER BY a, o), '') AS spans
+FROM documents AS d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
+"""
