@@ -59,9 +59,9 @@ def _tau_sql(source: str, table: str) -> str:
     return f"""
 WITH {source}, totals AS (SELECT n, p, count(DISTINCT sample_seed) AS m FROM {table} GROUP BY n, p),
 curve AS (SELECT n, p, t, sum(s) / any_value(m) AS ms FROM {table} JOIN totals USING (n, p) GROUP BY n, p, t),
-lagged AS (SELECT *, lag(ms) OVER (PARTITION BY n, p ORDER BY t) AS ms0, row_number() OVER (PARTITION BY n, p ORDER BY t) AS i FROM curve),
+lagged AS (SELECT *, lag(ms) OVER (PARTITION BY n, p ORDER BY t) AS ms0, lag(t) OVER (PARTITION BY n, p ORDER BY t) AS t0, row_number() OVER (PARTITION BY n, p ORDER BY t) AS i FROM curve),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY n, p ORDER BY t) AS hit FROM lagged WHERE ms <= 0.5),
-taus AS (SELECT n, p, CASE WHEN i = 1 THEN 0.0 WHEN ms0 = ms THEN t ELSE t - 1 + (ms0 - 0.5) / (ms0 - ms) END AS tau_interp
+taus AS (SELECT n, p, CASE WHEN i = 1 THEN 0.0 WHEN ms0 = ms THEN t ELSE t0 + (ms0 - 0.5) / (ms0 - ms) * (t - t0) END AS tau_interp
          FROM firsts WHERE hit = 1),
 per AS (SELECT n, p, sample_seed, min(CASE WHEN s = 0 THEN t END) AS tau, max(t) AS last_t FROM {table} GROUP BY n, p, sample_seed),
 stats AS (SELECT n, p, avg(tau) AS tau_mean, CASE WHEN count(tau) > 1 THEN stddev_samp(tau) WHEN count(tau) = 1 THEN 0.0 END AS tau_std,
@@ -83,6 +83,49 @@ def tau_table_events(t: Tables) -> DataFrame:
     return survival.tau_table(V.event_trace(t))
 
 
+# two runs whose samples share seeds: even and odd users
+RUNS_SQL = V.TRACE_SQL.replace("trace AS", "one_run AS") + """, trace AS (
+  SELECT CAST((user_id // 2) % 4 AS INTEGER) + 1 AS n, CAST((user_id // 2) % 5 AS DOUBLE) / 10 AS p, user_id AS sample_seed, t, s
+  FROM (SELECT sample_seed AS user_id, t, s FROM one_run))"""
+
+
+def run_trace(t: Tables) -> DataFrame:
+    user = F.col("sample_seed")
+    seed = F.floor(user / 2)
+    return V.event_trace(t).select(
+        (user % 2).alias("run_id"),
+        ((seed % 4).cast("int") + 1).alias("n"),
+        ((seed % 5).cast("double") / 10).alias("p"),
+        seed.alias("sample_seed"),
+        "t",
+        "s",
+    )
+
+
+@query(
+    "survival_pooled_runs",
+    f"""WITH {RUNS_SQL}, totals AS (SELECT n, p, count(DISTINCT sample_seed) AS m FROM trace GROUP BY n, p),
+        sums AS (SELECT n, p, t, CAST(sum(s) AS DOUBLE) AS s1, any_value(m) AS m FROM trace JOIN totals USING (n, p)
+                 GROUP BY n, p, t) {BAND_SQL}""",
+    ("mean_s", "sem", "low", "high"),
+)
+def survival_pooled_runs(t: Tables) -> DataFrame:
+    return survival.survival_band(run_trace(t))
+
+
+@query("tau_pooled_runs", _tau_sql(RUNS_SQL, "trace"), TAU_DOUBLES)
+def tau_pooled_runs(t: Tables) -> DataFrame:
+    return survival.tau_table(run_trace(t))
+
+
+SPARSE_SQL = V.TRACE_SQL.replace("trace AS", "dense AS") + ", trace AS (SELECT n, p, sample_seed, 3 * t AS t, s FROM dense)"
+
+
+@query("tau_sparse_times", _tau_sql(SPARSE_SQL, "trace"), TAU_DOUBLES)
+def tau_sparse_times(t: Tables) -> DataFrame:
+    return survival.tau_table(V.event_trace(t).withColumn("t", 3 * F.col("t")))
+
+
 @query("tau_table_padded_arrays", _tau_sql(V.BITS_SQL, "bit_rows"), TAU_DOUBLES)
 def tau_table_padded_arrays(t: Tables) -> DataFrame:
     padded = V.bit_traces(t).withColumn("s", survival.pad_trace(F.col("s"), F.lit(8)))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from rategrid.catalog.base import Tables, query
 from rategrid.operators import graphs, schedule
 
-# Sizes come from the supplier keys, so larger tables bring larger graphs.
-SIZES_SQL = "sizes AS (SELECT DISTINCT CAST(4 + s_suppkey % 13 AS INTEGER) AS n FROM supplier)"
+# Sizes come from the roots of the supplier keys, so larger tables bring more and larger graphs.
+SIZES_SQL = "sizes AS (SELECT DISTINCT CAST(4 + floor(sqrt(s_suppkey)) AS INTEGER) AS n FROM supplier)"
 
 
 def _sizes(t: Tables) -> DataFrame:
-    return t.supplier.select((4 + F.col("s_suppkey") % 13).cast("int").alias("n")).distinct()
+    return t.supplier.select((4 + F.floor(F.sqrt("s_suppkey"))).cast("int").alias("n")).distinct()
 
 
 CYCLE_SQL = """edges AS (SELECT DISTINCT n, least(a, (a + 1) % n) AS u, greatest(a, (a + 1) % n) AS v

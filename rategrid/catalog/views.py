@@ -150,7 +150,7 @@ N_COLS, N_ROWS = 32, 64
 MATRIX_SQL = f"""dims AS (SELECT s_suppkey AS sample_seed, {N_COLS} AS n_cols, {N_ROWS} AS n_rows FROM supplier),
 entries AS (SELECT l_suppkey AS sample_seed, CAST(l_orderkey % {N_ROWS} AS INTEGER) AS r, CAST(l_partkey % {N_COLS} AS INTEGER) AS q,
     max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS x, max(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS z
-  FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3)"""
+  FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 def matrix_dims(t: Tables) -> DataFrame:
@@ -164,8 +164,7 @@ def matrix_entries(t: Tables) -> DataFrame:
     """Line items as non-zero entries: x for returned ones, z for the others."""
     returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
     return (
-        t.lineitem.where("l_linestatus = 'F'")
-        .groupBy(
+        t.lineitem.groupBy(
             F.col("l_suppkey").alias("sample_seed"),
             (F.col("l_orderkey") % N_ROWS).cast("int").alias("r"),
             (F.col("l_partkey") % N_COLS).cast("int").alias("q"),

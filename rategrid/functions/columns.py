@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,21 @@ def fold_dotted(df: DataFrame) -> DataFrame:
     return df.select(*selected)
 
 
-def null_safe_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on ``keys`` that also pairs nulls."""
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` that also pairs nulls; the keys come from the left side."""
+    named = right.select(*[F.col(k).alias(f"_on_{k}") if k in keys else F.col(f"`{k}`") for k in right.columns])
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & left[key].eqNullSafe(named[f"_on_{key}"])
+    return left.join(named, condition, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def frame_bytes(df: DataFrame) -> int:
+    """Bytes of the rows as JSON text: a fair size for a decision to broadcast."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
+
+
+HOT_SHARE = 200  # a key with more than one in so many rows is hot; there can be no more hot keys than that
 
 
 def attach_summary(
@@ -68,20 +77,27 @@ def attach_summary(
     summary: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    max_broadcast_rows: int = 100_000,
+    max_broadcast_bytes: int = 32 << 20,
     salts: int = 32,
     ready: bool = False,
 ) -> DataFrame:
     """Join ``summary`` rows onto ``big`` without sending all rows of a hot key to one task.
 
-    The summary is materialised (unless ``ready`` says it is) and counted.  Up to ``max_broadcast_rows`` rows it is
-    broadcast; beyond that both sides shuffle on ``keys`` plus a salt, so the rows of one
-    heavy group spread over ``salts`` tasks.
+    Null keys match each other.  The summary is materialised (unless ``ready`` says it is) and its bytes are counted.
+    Up to ``max_broadcast_bytes`` it is broadcast.  Beyond that both sides shuffle, and only hot keys are salted: at
+    most ``HOT_SHARE`` keys hold more than that share of the rows, so their list is always small.  The salt is the
+    position of a row, so equal rows of a hot key spread too.
     """
+    keys = list(keys)
     summary = summary if ready else cut_lineage(summary)
-    if summary.count() <= max_broadcast_rows:
-        return big.join(F.broadcast(summary), list(keys), how)
-    width = F.lit(salts).cast("int")
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), width).cast("int"))
-    copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), width - 1)))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    if frame_bytes(summary) <= max_broadcast_bytes:
+        return join_on(big, F.broadcast(summary), keys, how)
+    counts = cut_lineage(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    hot = counts.where(F.col("_rows") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
+    position = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    marked = join_on(big.withColumn("_at", position), F.broadcast(hot), keys, "left")
+    spread = marked.withColumn("_salt", F.when(F.col("_hot"), F.col("_at")).otherwise(0)).drop("_at", "_hot")
+    places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = join_on(summary, F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(places)).drop("_hot")
+    return join_on(spread, copies, [*keys, "_salt"], how).drop("_salt")

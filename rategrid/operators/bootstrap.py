@@ -16,26 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rategrid.functions.columns import attach_summary
+from rategrid.functions.columns import attach_summary, join_on
 from rategrid.functions.numeric import finite
 from rategrid.operators.quantiles import exact_quantiles
 
 RESAMPLES = 1000
 SEED = 42
 CHUNK_VALUES = 50_000
-MAX_CHUNKS = 1024  # parallel tasks per group; larger groups get larger chunks
 
 
 def _resampled_sums(rows: pd.DataFrame, place: pd.Series, resamples: int, seed: int) -> np.ndarray:
     """Sum of the resampled values of one chunk, for every resample."""
-    masses = np.asarray(place["_masses"], dtype=np.int64)
-    slot, group_seed = int(place["_slot"]), int(place["_group_hash"]) % (1 << 63)
+    blocks, masses = (np.asarray(place[c], dtype=np.int64) for c in ("_blocks", "_masses"))
+    block, slot, group_seed = int(place["_b"]), int(place["_slot"]), int(place["_group_hash"]) % (1 << 63)
     across = np.random.default_rng([seed, group_seed])
-    shares = across.multinomial(int(masses.sum()), masses / masses.sum(), size=resamples)[:, slot]
+    drawn = across.multinomial(int(blocks.sum()), blocks / blocks.sum(), size=resamples)[:, block]
+    within = np.random.default_rng([seed, group_seed, 1 + block])
+    shares = within.multinomial(drawn, masses / masses.sum())[:, slot]
     ordered = rows.sort_values("_v")
     values = ordered["_v"].to_numpy(dtype=np.float64)
     weights = ordered["_copies"].to_numpy(dtype=np.float64)
-    inside = np.random.default_rng([seed, group_seed, 1 + slot])
+    inside = np.random.default_rng([seed, group_seed, 1 + block, 1 + slot])
     sums = np.empty(resamples)
     step = max(1, 2_000_000 // len(values))
     for start in range(0, resamples, step):
@@ -61,19 +62,27 @@ def bootstrap_interval(
     rows = df.select(*keys, finite(F.col(value)).alias("_v"))
     counted = rows.where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_copies"))
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    chunks = F.least(F.ceil(F.col("_distinct") / F.lit(chunk_values)), F.lit(MAX_CHUNKS)).cast("bigint")
-    placed = attach_summary(counted, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("_v"), chunks).cast("int"))
+    # chunks lie in blocks of about as many chunks, so the layout a task sees grows with the root of the group only
+    chunks = F.ceil(F.col("_distinct") / F.lit(chunk_values)).cast("bigint")
+    placed = attach_summary(counted, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("_v"), chunks))
+    placed = placed.withColumn("_block", F.floor(F.col("_chunk") / F.ceil(F.sqrt(chunks.cast("double")))))
     # one small row per chunk tells its task how the group is divided
-    masses = placed.groupBy(*keys, "_chunk").agg(F.sum("_copies").alias("_mass"))
-    listed = masses.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "_mass"))).alias("_layout"), F.sum("_mass").alias("_total")
+    masses = placed.groupBy(*keys, "_block", "_chunk").agg(F.sum("_copies").alias("_mass"))
+    in_block = masses.groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "_mass"))).alias("_layout"), F.sum("_mass").alias("_held")
     )
+    whole = in_block.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_held"))).alias("_all"), F.sum("_held").alias("_total")
+    )
+    listed = join_on(in_block, whole, keys)
     # own names for the keys: both sides of the cogroup stem from the same rows
     own = [f"_{k}" for k in keys]
     layout = listed.where("_total > 1").select(
         *[F.col(k).alias(name) for k, name in zip(keys, own)],
         F.posexplode("_layout._chunk").alias("_slot", "_place"),
         F.col("_layout._mass").alias("_masses"),
+        (F.array_position("_all._block", F.col("_block")) - 1).alias("_b"),
+        F.col("_all._held").alias("_blocks"),
         F.xxhash64(*keys).alias("_group_hash"),
     )
     out_schema = T.StructType(
@@ -88,7 +97,7 @@ def bootstrap_interval(
         out = pd.DataFrame({k: [place[name]] * resamples for k, name in zip(keys, own)})
         out["resample"] = np.arange(resamples, dtype=np.int32)
         out["_sum"] = _resampled_sums(values, place, resamples, seed)
-        out["_n"] = int(np.sum(place["_masses"]))
+        out["_n"] = int(np.sum(place["_blocks"]))
         return out
 
     sums = placed.groupBy(*keys, "_chunk").cogroup(layout.groupBy(*own, "_place")).applyInPandas(draw, out_schema)
@@ -99,7 +108,7 @@ def bootstrap_interval(
         F.percentile("_mean", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_bounds")
     )
     centres = rows.groupBy(*keys).agg(F.avg("_v").alias("_centre"))
-    joined = centres.join(bounds, keys, "left")
+    joined = join_on(centres, bounds, keys, "left")
     return joined.select(
         *keys,
         F.coalesce(F.col("_centre") - F.col("_bounds")[0], F.lit(0.0)).alias("err_low"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.aliases import with_rollup_aliases
-from rategrid.functions.columns import leaves, numeric_columns, require_column
+from rategrid.functions.columns import join_on, leaves, numeric_columns, require_column
 from rategrid.functions.intervals import Z_DEFAULT, binary_integer, wilson_bounds
 from rategrid.functions.naming import condition_suffix, quantile_suffix
 from rategrid.functions.numeric import NAN, finite, skip_nan
@@ -118,7 +118,7 @@ def _with_exact_quantiles(
     found = exact_quantiles(melted, [*keys, "slot"], "v", quantiles)
     # at most two rows per column and cell
     by_cell = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "quantiles"))).alias("_q"))
-    joined = cells.join(by_cell, keys, "left")
+    joined = join_on(cells, by_cell, keys, "left")
     extra = []
     for i, name in enumerate(names):
         for slot, suffix in ((2 * i, ""), (2 * i + 1, "_cond")):

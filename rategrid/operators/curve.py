@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.aliases import ensure_column
-from rategrid.functions.columns import require_column
+from rategrid.functions.columns import join_on, require_column
 from rategrid.functions.intervals import ERROR_METRICS, check_error_metric, group_is_binary
 from rategrid.functions.numeric import NAN, skip_nan
 from rategrid.functions.predicates import rate_in, size_in, where_text
@@ -61,7 +61,7 @@ def aggregate_curve(
     elif error_metric == "ci95":
         means = rows.groupBy(*keys).agg(*base, F.count(F.lit(1)).alias("n_samples"))
         bars = bootstrap_interval(rows, keys, "_y")
-        cells = means.join(bars, keys, "left").select(*keys, "mean", "err_low", "err_high", "n_samples")
+        cells = join_on(means, bars, keys, "left").select(*keys, "mean", "err_low", "err_high", "n_samples")
     else:
         low, high = ERROR_METRICS[error_metric](value)
         cells = rows.groupBy(*keys).agg(

@@ -19,14 +19,18 @@ from rategrid.functions.columns import attach_summary
 from rategrid.functions.words import RowSpace, from_words, insert, reduced, to_words
 
 SPACE = T.ArrayType(T.ArrayType(T.LongType()))
-# held vectors after which a partition hands on its partial bases
-FLUSH_VECTORS = 500_000
+# bytes of held vectors after which a partition hands on its partial bases
+FLUSH_BYTES = 64 << 20
 # subsets or vectors tested per matrix and task
 LIST_LENGTH = 1000
 
 
-def _partial_bases(keys: list[str]):
-    """Arrow-batched partial reduction; emits at most one basis per matrix and flush."""
+def _partial_bases(keys: list[str], ordered: bool):
+    """Arrow-batched partial reduction.
+
+    Input sorted by matrix leaves here as one basis per matrix: a matrix is handed on when the next begins.  Unsorted
+    input is handed on by bytes held.
+    """
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bases: dict[tuple, dict[int, int]] = {}
@@ -40,8 +44,12 @@ def _partial_bases(keys: list[str]):
         for batch in batches:
             for *key, words in zip(*[batch[k] for k in keys], batch["words"]):
                 width = len(words)
-                held += insert(bases.setdefault(tuple(key), {}), from_words(words))
-            if held > FLUSH_VECTORS:
+                name = tuple(key)
+                if ordered and bases and name not in bases:
+                    yield from drain()
+                    bases, held = {}, 0
+                held += insert(bases.setdefault(name, {}), from_words(words)) * 8 * width
+            if not ordered and held > FLUSH_BYTES:
                 yield from drain()
                 bases, held = {}, 0
         yield from drain()
@@ -68,9 +76,10 @@ def row_spaces(packed: DataFrame, dims: DataFrame, keys: Sequence[str], salts: i
     keys = list(keys)
     rows = packed.select(*keys, "words")
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("words", T.ArrayType(T.LongType()))])
-    partial = rows.mapInPandas(_partial_bases(keys), schema)
+    partial = rows.mapInPandas(_partial_bases(keys, False), schema)
     salt = F.pmod(F.xxhash64("words"), F.lit(salts))
-    merged = partial.repartition(*keys, salt).mapInPandas(_partial_bases(keys), schema)
+    sorted_rows = partial.repartition(*keys, salt).sortWithinPartitions(*keys)
+    merged = sorted_rows.mapInPandas(_partial_bases(keys, True), schema)
     # at most salts * columns vectors per matrix
     gathered = merged.groupBy(*keys).agg(F.collect_list("words").alias("_rows"))
     spaces = gathered.select(*keys, _final_basis("_rows").alias("rref"))
@@ -135,7 +144,7 @@ def with_lists(spaces: DataFrame, items: DataFrame, name: str, value: str, alias
     parts = -(-items.count() // LIST_LENGTH) or 1
     part = F.pmod(F.xxhash64(name), F.lit(parts)).alias("_part")
     lists = items.groupBy("n_cols", part).agg(F.array_sort(F.collect_list(F.struct(name, value))).alias(alias))
-    return attach_summary(spaces, lists.drop("_part"), ["n_cols"], max_broadcast_rows=256)
+    return attach_summary(spaces, lists.drop("_part"), ["n_cols"])
 
 
 def subset_entropy(spaces: DataFrame, subsets: DataFrame, keys: Sequence[str]) -> DataFrame:

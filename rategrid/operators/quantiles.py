@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rategrid.functions.columns import attach_summary
+from rategrid.functions.columns import attach_summary, join_on
 from rategrid.functions.numeric import finite
 from rategrid.session import cut_lineage
 
@@ -101,7 +101,7 @@ def quantiles_of_parts(parted: DataFrame, keys: Sequence[str], plan: Cuts) -> Da
     # at most two ranks per quantile
     found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_found"))
     totals = chosen.groupBy(*keys).agg(F.first("n_finite").alias("n_finite"))
-    joined = found.join(totals, keys)
+    joined = join_on(found, totals, keys)
 
     def interpolated(q: float) -> Column:
         position = F.lit(q) * last

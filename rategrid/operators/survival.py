@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rategrid.functions.columns import join_on
 from rategrid.functions.numeric import clip
 
 CELL = ("n", "p")
-SAMPLE = ("n", "p", "sample_seed")
+SAMPLE_ID = ("run_id", "sample_seed")  # seeds repeat across runs
+
+
+def sample_id(df: DataFrame) -> list[str]:
+    """The columns that name a sample inside a cell; a table of one run may lack ``run_id``."""
+    return [c for c in SAMPLE_ID if c in df.columns]
 
 
 def pad_trace(trace: Column, cap: Column) -> Column:
@@ -24,8 +30,9 @@ def first_zero(trace: Column) -> Column:
     return F.when(position > 0, position - 1)
 
 
-def explode_traces(df: DataFrame, trace: str = "s", keys: Sequence[str] = SAMPLE) -> DataFrame:
+def explode_traces(df: DataFrame, trace: str = "s", keys: Sequence[str] | None = None) -> DataFrame:
     """One row per sample and time step from one array per sample."""
+    keys = [*CELL, *sample_id(df)] if keys is None else keys
     return df.select(*keys, F.posexplode(trace).alias("t", "s"))
 
 
@@ -42,8 +49,8 @@ def survival_band(trace: DataFrame, keys: Sequence[str] = CELL, padded: bool = T
         F.count("s").alias("_m"),
     )
     if padded:
-        totals = trace.groupBy(*keys).agg(F.countDistinct("sample_seed").alias("_total"))
-        sums = sums.join(totals, keys).withColumn("_m", F.col("_total"))
+        totals = trace.groupBy(*keys).agg(F.countDistinct(F.struct(*sample_id(trace))).alias("_total"))
+        sums = join_on(sums, totals, keys).withColumn("_m", F.col("_total"))
     m = F.col("_m").cast("double")
     mean = F.col("_s1") / m
     variance = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / m, F.lit(0.0)) / (m - 1)
@@ -61,8 +68,8 @@ def rescaled(curve: DataFrame, size: str = "n") -> DataFrame:
 def crossing_time(curve: DataFrame, threshold: float = 0.5, keys: Sequence[str] = CELL, value: str = "mean_s") -> DataFrame:
     """First time each cell's curve is at or below ``threshold``, interpolated; null if never.
 
-    Times are consecutive layer indices, so the point before the first hit is found by an
-    equality join on ``t - 1``; no cell is sorted.
+    The point before is the latest earlier time that has a row, however far back; no cell is sorted.
+    0 where the first row is a hit.
     """
     keys = list(keys)
     hits = (
@@ -70,20 +77,23 @@ def crossing_time(curve: DataFrame, threshold: float = 0.5, keys: Sequence[str]
         .groupBy(*keys)
         .agg(F.min("t").alias("t"), F.min_by(value, "t").alias("_now"))
     )
-    previous = curve.select(*keys, (F.col("t") + 1).alias("t"), F.col(value).alias("_prev"))
-    located = hits.join(previous, [*keys, "t"], "left")
+    hit_times = hits.select(*keys, F.col("t").alias("_hit"))
+    earlier = join_on(curve.select(*keys, "t", F.col(value).alias("_v")), hit_times, keys).where(F.col("t") < F.col("_hit"))
+    previous = earlier.groupBy(*keys).agg(F.max("t").alias("_before"), F.max_by("_v", "t").alias("_prev"))
+    located = join_on(hits, previous, keys, "left")
     fraction = (F.col("_prev") - F.lit(threshold)) / (F.col("_prev") - F.col("_now"))
     time = (
         F.when(F.col("_prev").isNull(), F.lit(0.0))
         .when(F.col("_prev") == F.col("_now"), F.col("t").cast("double"))
-        .otherwise(F.col("t") - 1 + fraction)
+        .otherwise(F.col("_before") + fraction * (F.col("t") - F.col("_before")))
     )
     cells = curve.select(*keys).distinct()
-    return cells.join(located.select(*keys, time.alias("tau_interp")), keys, "left")
+    return join_on(cells, located.select(*keys, time.alias("tau_interp")), keys, "left")
 
 
-def sample_times(trace: DataFrame, keys: Sequence[str] = SAMPLE) -> DataFrame:
+def sample_times(trace: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """First time with s = 0 per sample (null if censored) and the last recorded time."""
+    keys = [*CELL, *sample_id(trace)] if keys is None else keys
     return trace.groupBy(*keys).agg(
         F.min(F.when(F.col("s") == 0, F.col("t"))).alias("tau"), F.max("t").alias("last_t")
     )
@@ -93,7 +103,7 @@ def tau_table(trace: DataFrame, threshold: float = 0.5, keys: Sequence[str] = CE
     """One row per cell: threshold time, mean first-zero time with its error, censoring."""
     keys = list(keys)
     interpolated = crossing_time(survival_band(trace, keys), threshold, keys)
-    per_sample = sample_times(trace, [*keys, "sample_seed"])
+    per_sample = sample_times(trace, [*keys, *sample_id(trace)])
     n = F.col(size).cast("double")
     stats = per_sample.groupBy(*keys).agg(
         F.avg("tau").alias("tau_mean"),
@@ -106,7 +116,7 @@ def tau_table(trace: DataFrame, threshold: float = 0.5, keys: Sequence[str] = CE
     deviation = F.when(done > 1, F.col("_sd")).when(done == 1, F.lit(0.0))
     error = F.when(done > 1, F.col("_sd") / F.sqrt(done.cast("double"))).when(done == 1, F.lit(0.0))
     return (
-        stats.join(interpolated, keys)
+        join_on(stats, interpolated, keys)
         .select(
             *keys,
             "tau_interp",

@@ -27,6 +27,9 @@ REGISTRY_SCHEMA = (
 )
 REPORT_SCHEMA = "run_id string, n int, p double, analysis string, status string, message string"
 
+# analyses over reduced row spaces
+NEED_SPACES = ("distances", "entropy_profile", "logical_weights")
+
 
 def read_registry(spark: SparkSession, out: str) -> DataFrame:
     """Latest entry per cell and analysis; empty before the first run."""
@@ -103,6 +106,9 @@ def run_analyses(
         plan = cut_lineage(plan)
         todo = missing_work(plan)
         context = context.limited(todo)
+        needed = [a.name for a in per_cell if a.name in NEED_SPACES]
+        if needed and not todo.where(F.col("analysis").isin(*needed)).isEmpty():
+            _share_spaces(context)
         for analysis in per_cell:
             own = todo.where(F.col("analysis") == analysis.name)
             failed: list[tuple] = []
@@ -115,6 +121,10 @@ def run_analyses(
     for analysis in chosen:
         if analysis.per_cell:
             continue
+        whole = cells.select(*CELL, F.lit(analysis.name).alias("analysis"), F.lit("compute").alias("action"))
+        if samples is None:  # statistics of samples need samples
+            reports.append(_with_status(whole.withColumn("action", F.lit("skipped")), []))
+            continue
         failed = []
         for name in ("distances", "weight_stats", "logical_weights"):
             stored = read_cells(spark, f"{out}/{name}")
@@ -125,7 +135,6 @@ def run_analyses(
             result.write.mode("overwrite").parquet(f"{out}/{analysis.name}")
         except Exception as error:
             failed = [(*row, analysis.name, "error", _text(error)) for row in cells.collect()]
-        whole = cells.select(*CELL, F.lit(analysis.name).alias("analysis"), F.lit("compute").alias("action"))
         reports.append(_with_status(whole, failed))
     _write_summary(spark, known.select(*CELL).distinct(), [a.name for a in chosen if not a.per_cell], out)
     report = reports[0]
@@ -160,7 +169,15 @@ def _attempt(context: Context, analysis: Analysis, params: Mapping[str, Any], ow
 
 
 def _text(error: Exception) -> str:
-    return f"{type(error).__name__}: {str(error)[:300]}"
+    return f"{type(error).__name__}: {error}"
+
+
+def _share_spaces(context: Context) -> None:
+    """Build the row spaces once for all analyses of the run; a failure shows up in each analysis that needs them."""
+    try:
+        _ = context.spaces
+    except Exception:
+        context.__dict__.pop("spaces", None)
 
 
 def errors(report: DataFrame) -> DataFrame:

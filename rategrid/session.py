@@ -17,6 +17,8 @@ SETTINGS = {
     # sketches and collected bit rows are object aggregates; keep hashing longer
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

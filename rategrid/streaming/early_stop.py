@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "n int, p double, sample_seed bigint, tau bigint, censored boolean"
+KEYS = ("run_id", "n", "p", "sample_seed")  # seeds repeat across runs; a stream of one run may lack run_id
 STATE = "done boolean"
 
 
@@ -20,6 +21,8 @@ def first_zeros(trace: DataFrame, cap: int, ttl_ms: int | None = None) -> DataFr
     query that stops by itself (``availableNow``) must not set it, since processing-time
     timeouts keep asking for another batch.
     """
+    keys = [k for k in KEYS if k in trace.columns]
+    output = OUTPUT if len(keys) < len(KEYS) else f"run_id {trace.schema['run_id'].dataType.simpleString()}, {OUTPUT}"
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,11 +39,11 @@ def first_zeros(trace: DataFrame, cap: int, ttl_ms: int | None = None) -> DataFr
         if not done and (zero is not None or end):
             done = True
             tau = pd.array([zero], dtype="Int64")
-            yield pd.DataFrame({"n": [key[0]], "p": [key[1]], "sample_seed": [key[2]], "tau": tau, "censored": [zero is None]})
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "tau": tau, "censored": [zero is None]})
         state.update((done,))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
 
-    return trace.groupBy("n", "p", "sample_seed").applyInPandasWithState(
-        watch, OUTPUT, STATE, "append", timeout
+    return trace.groupBy(*keys).applyInPandasWithState(
+        watch, output, STATE, "append", timeout
     )
