@@ -17,7 +17,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # snappy: many short tasks of a codec with native contexts hold memory outside the heap until garbage collection
+    df.write.option("compression", "snappy").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
