@@ -170,7 +170,12 @@ def measurements(
 ) -> DataFrame:
     """Measured columns ``(keys, t, q)`` of the main layers, each at most once per layer."""
     _choice("measurement_mode", mode, MEASUREMENT_MODES)
-    main = layer_rows.where("phase = 'main'")
+    rate = F.col("p").cast("double")
+    inside = F.when((rate >= 0) & (rate <= 1), F.col("p"))
+    checked = F.when(F.col("p").isNull(), F.col("p")).otherwise(
+        F.coalesce(inside, F.raise_error(F.concat(F.lit("measurement rate outside [0, 1]: "), F.col("p").cast("string"))))
+    )
+    main = layer_rows.where("phase = 'main'").withColumn("p", checked)
     ident = (F.col(seed), F.col("t"))
     n = F.col("n")
     if mode == "uniform":

@@ -25,10 +25,13 @@ def run_name(path: str) -> str:
 
 
 def read_glob(spark: SparkSession, run: str, pattern: str) -> DataFrame | None:
-    """Parquet files below ``<run>/data`` with their partition columns; None without files."""
+    """Parquet files below ``<run>/data`` with their partition columns; None without files.
+
+    Columns are the union over all files: a column that only some cells have is null in the others.
+    """
     root = run.rstrip("/") + "/data"
     try:
-        return spark.read.option("basePath", root).parquet(f"{root}/{pattern}")
+        return spark.read.option("basePath", root).option("mergeSchema", "true").parquet(f"{root}/{pattern}")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -72,9 +75,31 @@ def attach_analyses(
     return reduce(lambda df, name: df.join(analyses[name], list(keys), "left"), analyses, samples)
 
 
-def load_run(spark: SparkSession, run: str, analyses: Iterable[str] = ()) -> DataFrame:
-    found = {name: load_analysis(spark, run, name) for name in analyses}
-    return attach_analyses(load_samples(spark, run), {k: v for k, v in found.items() if v is not None})
+def stored_analyses(spark: SparkSession, run: str) -> list[str]:
+    """Names of the analyses that any cell of the run has."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(run.rstrip("/") + "/data/n=*/p=*/analysis/*.parquet")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted({status.getPath().getName().removesuffix(".parquet") for status in found or ()})
+
+
+def load_run(spark: SparkSession, run: str, analyses: Iterable[str] | None = None) -> DataFrame:
+    return load_runs(spark, run, analyses)
+
+
+def load_matrices(spark: SparkSession, runs: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Stored bit matrices of runs: entries (``r, q, x, z``) and dims (``n_cols, n_rows``) by sample.
+
+    A cell holds ``entries.parquet`` and ``dims.parquet`` beside its samples.
+    """
+    paths = [runs] if isinstance(runs, str) else list(runs)
+    tables = []
+    for kind in ("entries", "dims"):
+        parts = [(p, read_glob(spark, p, f"n=*/p=*/{kind}.parquet")) for p in paths]
+        found = [with_run_id(df, p) for p, df in parts if df is not None]
+        if not found:
+            raise FileNotFoundError(f"no {kind} under {paths}")
+        tables.append(union_runs(found))
+    return tables[0], tables[1]
 
 
 def union_runs(parts: Sequence[DataFrame]) -> DataFrame:
@@ -82,9 +107,31 @@ def union_runs(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def load_runs(spark: SparkSession, sources: str | Sequence[str], analyses: Iterable[str] = ()) -> DataFrame:
+def load_runs(
+    spark: SparkSession, sources: str | Sequence[str], analyses: Iterable[str] | None = None
+) -> DataFrame:
+    """Samples of one or more runs with their analyses: the named ones, or all that are stored.
+
+    Runs are united before the joins, so there is one join per analysis however many runs there are.
+    """
     paths = [sources] if isinstance(sources, str) else list(sources)
-    return union_runs([load_run(spark, p, analyses) for p in paths])
+    place = "_source"  # runs of one name in different folders stay apart
+    samples = union_runs([load_samples(spark, p).withColumn(place, F.lit(i)) for i, p in enumerate(paths)])
+    named = [stored_analyses(spark, p) if analyses is None else list(analyses) for p in paths]
+    tables = {}
+    for name in dict.fromkeys(n for names in named for n in names):
+        parts = [(i, load_analysis(spark, p, name)) for i, p in enumerate(paths) if name in named[i]]
+        found = [df.withColumn(place, F.lit(i)) for i, df in parts if df is not None]
+        if found:
+            tables[name] = union_structs(found, name, [*SAMPLE_KEY, place])
+    return attach_analyses(samples, tables, [*SAMPLE_KEY, place]).drop(place)
+
+
+def union_structs(parts: Sequence[DataFrame], name: str, keys: Sequence[str]) -> DataFrame:
+    """Union of analysis tables whose structs may have different fields."""
+    flat = [df.select(*[c for c in df.columns if c != name], f"{name}.*") for df in parts]
+    whole = union_runs(flat)
+    return whole.select(*keys, F.struct(*[c for c in whole.columns if c not in keys]).alias(name))
 
 
 def cells(
