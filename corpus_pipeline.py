@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rategrid.llm.decontaminate import contamination
 from rategrid.llm.language import UNKNOWN, fit_language, held_out, identify_language
@@ -20,6 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4  # below it no language holds a document together
 
 
+def _keys() -> list[Column]:
+    """The id as two columns without nulls, so that rows without an id join too."""
+    return [F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), F.isnull("doc_id").alias("_none")]
+
+
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter and those that no language dominates go.
 
@@ -40,17 +46,19 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates; of repeated rows one stays."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    mine = docs.select(*COLUMNS)
-    return mine.join(kept, mine["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = near_duplicates(docs).filter("kept").select(*_keys()).distinct()
+    mine = docs.select(*COLUMNS, *_keys(), F.hash("text").alias("_mark"))
+    # the join has placed rows by id already, so equal rows are neighbours without another shuffle
+    same = Window.partitionBy("_id", "_none", "_mark").orderBy("_mark")
+    rows = mine.join(kept, ["_id", "_none"], "left_semi").withColumn("_at", F.row_number().over(same))
+    return rows.filter("_at = 1").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    mine = docs.select(*COLUMNS)
-    return mine.join(bad, mine["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    bad = contamination(docs, items).filter("n_hit > 0").select(*_keys()).distinct()
+    return docs.select(*COLUMNS, *_keys()).join(bad, ["_id", "_none"], "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
