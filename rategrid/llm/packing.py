@@ -9,8 +9,9 @@ of a partition.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,53 +28,101 @@ SHARD_TOKENS = 1 << 22
 QUERY_TERMS = 24
 NEIGHBOURS = 48
 K1, B = 1.2, 0.75
-CACHE = 400_000
-_MARK = "\x01"
+CACHE = 250_000  # encoded pieces and words of a generation in each Python worker
+WORD_END = "</w>"
+_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Pieces:
+    """Encoded pieces in two generations: what is still asked for moves on when the older one is dropped."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+    def missing(self, pieces: Iterable[str]) -> list[str]:
+        """Pieces to encode anew; those of the older generation are young again afterwards."""
+        out = []
+        for p in pieces:
+            if p not in self.young:
+                if (known := self.old.get(p)) is None:
+                    out.append(p)
+                else:
+                    self.young[p] = known
+        return out
 
 
 class Encoder:
     """Token ids of whole texts, with a cache of the pieces between blanks.
 
-    The tokenizer drops white space and never joins across it, so a text is encoded piece by piece; new pieces go
-    through the tokenizer together, apart by a mark that is a token of its own.
+    The tokenizer drops white space and never joins across it, nor letters with signs, so a text is encoded piece by
+    piece and a piece of letters with ASCII signs behind them in two parts.  New words go through the tokenizer together;
+    each ends in a token that only ends words, which tells them apart.  Everything else is encoded on its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.known: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u4") if size > 65536 else np.dtype("<u2")
+        self.ends = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+        self.pieces, self.words = Pieces(CACHE), Pieces(CACHE)
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _one(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _MARK not in p] if self.mark is not None else []
-        if plain:
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            body, width = ids.tobytes(), self.dtype.itemsize
-            for piece, a, b in zip(plain, (starts * width).tolist(), (ends * width).tolist(), strict=True):
-                self.known[piece] = body[a:b]
-        for piece in pieces:
-            if piece not in self.known:
-                self.known[piece] = self._one(piece)
+    def _words(self, words: list[str]) -> None:
+        young, width = self.words.young, self.dtype.itemsize
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # a word that falls apart, or a tokenizer without word ends
+                young.update((w, self._one(w)) for w in some)
+                continue
+            body, stops = ids.tobytes(), (ends * width).tolist()
+            young.update((w, body[a:b]) for w, a, b in zip(some, [0, *stops], stops))
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Make all ``pieces`` known to the young generation."""
+        new = self.pieces.missing(pieces)
+        split, young = [], self.pieces.young
+        for piece in new:
+            if found := _PLAIN.fullmatch(piece):
+                word = found[1]
+                split.append((piece, word.lower() if word.isascii() else word.translate(_LOWER), found[2]))
+            else:
+                young[piece] = self._one(piece) if piece else b""
+        self.words.turn()
+        self._words(self.words.missing(dict.fromkeys(w for _, w, _ in split)))
+        words, signs = self.words.young, self.signs
+        for piece, word, sign in split:
+            if (tail := signs.get(sign)) is None:
+                if len(signs) > 10_000:
+                    signs.clear()
+                tail = signs[sign] = self._one(sign) if sign else b""
+            young[piece] = words[word] + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
+        self.pieces.turn()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        get = self.pieces.young.get
+        found = [list(map(get, pieces)) for pieces in split]
+        open_texts = [i for i, f in enumerate(found) if None in f]
+        self.learn({p for i in open_texts for p, v in zip(split[i], found[i], strict=True) if v is None})
+        for i in open_texts:
+            found[i] = map(get, split[i])
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=2)
