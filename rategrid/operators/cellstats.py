@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.aliases import with_rollup_aliases
-from rategrid.functions.columns import join_on, leaves, numeric_columns, require_column
+from rategrid.functions.columns import attach_summary, join_on, leaves, numeric_columns, require_column
 from rategrid.functions.intervals import Z_DEFAULT, binary_integer, wilson_bounds
 from rategrid.functions.naming import condition_suffix, quantile_suffix
 from rategrid.functions.numeric import NAN, finite, skip_nan
 from rategrid.functions.predicates import condition_or_nothing
-from rategrid.operators.quantiles import exact_quantiles
+from rategrid.operators.quantiles import Cuts, quantiles_of_parts
+from rategrid.session import cut_lineage
 
 QUANTILES = (0.025, 0.5, 0.975)
 INTEGER_TYPES = ("byte", "short", "integer", "long")
@@ -88,9 +89,15 @@ def cell_rollup(
                     stats.append(
                         F.when(keep, F.coalesce(marks[i], F.lit(NAN))).alias(f"{name}_{quantile_suffix(q)}{suffix}")
                     )
-    cells = df.groupBy(*keys).agg(*stats)
     if quantile_method == "exact" and quantiles:
-        cells = _with_exact_quantiles(df, cells, keys, names, quantiles, predicate, count_cond)
+        # the sketches that place the cuts share the pass of the moments
+        plan = Cuts(quantiles)
+        slots = [v for name in names for v in (F.col(name), F.when(predicate, F.col(name)))]
+        stats += [plan.sketch(finite(v)).alias(f"_cuts_{i}") for i, v in enumerate(slots)]
+        cells = cut_lineage(df.groupBy(*keys).agg(*stats))
+        cells = _with_exact_quantiles(df, cells, keys, names, slots, plan, count_cond)
+    else:
+        cells = df.groupBy(*keys).agg(*stats)
     return cells.orderBy(*keys)
 
 
@@ -99,23 +106,21 @@ def _with_exact_quantiles(
     cells: DataFrame,
     keys: list[str],
     names: list[str],
-    quantiles: Sequence[float],
-    predicate: Column,
+    slots: Sequence[Column],
+    plan: Cuts,
     count_cond: str,
 ) -> DataFrame:
-    def entry(slot: int, value: Column) -> Column:
-        return F.struct(F.lit(slot).alias("slot"), finite(value).alias("v"))
-
-    melted = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[entry(2 * i, F.col(c)) for i, c in enumerate(names)],
-                *[entry(2 * i + 1, F.when(predicate, F.col(c))) for i, c in enumerate(names)],
-            )
-        ).alias("_m"),
-    ).select(*keys, "_m.slot", "_m.v")
-    found = exact_quantiles(melted, [*keys, "slot"], "v", quantiles)
+    """Quantile columns from the cuts in ``cells`` and one more pass over the rows."""
+    quantiles = plan.qs
+    places = [F.struct(F.lit(i).alias("slot"), F.col(f"_cuts_{i}").alias("_cuts")) for i in range(len(slots))]
+    cuts = cells.select(*keys, F.inline(F.array(*places))).where(F.col("_cuts").isNotNull())
+    values = [F.struct(F.lit(i).alias("slot"), finite(v).alias("_v")) for i, v in enumerate(slots)]
+    melted = df.select(*keys, F.inline(F.array(*values))).where(F.col("_v").isNotNull())
+    own = [*keys, "slot"]
+    placed = attach_summary(melted, cuts, own)
+    parted = placed.select(*own, "_v", plan.part(F.col("_v"), F.col("_cuts")).alias("_part"))
+    found = quantiles_of_parts(parted, own, plan)
+    cells = cells.drop(*[f"_cuts_{i}" for i in range(len(slots))])
     # at most two rows per column and cell
     by_cell = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "quantiles"))).alias("_q"))
     joined = join_on(cells, by_cell, keys, "left")
