@@ -87,6 +87,20 @@ def curve_bootstrap(t: Tables) -> DataFrame:
     return curves.curve(V.samples(t), "obs.k", error_metric="ci95")
 
 
+@query(
+    "curve_bootstrap_near_sem",
+    f"""WITH {V.SAMPLES_SQL} SELECT n, p, count(*) AS n_samples, true AS near FROM samples GROUP BY n, p""",
+)
+def curve_bootstrap_near_sem(t: Tables) -> DataFrame:
+    """Do bootstrap half-widths agree with 1.96 standard errors within a quarter (from 100 samples on)?"""
+    drawn = curves.curve(V.samples(t), "obs.k", error_metric="ci95")
+    plain = curves.curve(V.samples(t), "obs.k", error_metric="sem").select("n", "p", F.col("err_low").alias("sem"))
+    width = 1.96 * F.col("sem")
+    apart = F.greatest(F.abs(F.col("err_low") - width), F.abs(F.col("err_high") - width))
+    near = (F.col("n_samples") < 100) | (apart <= 0.25 * width)
+    return drawn.join(plain, ["n", "p"]).select("n", "p", "n_samples", near.alias("near"))
+
+
 @query(
     "entropy_by_cell",
     f"""WITH {V.SAMPLES_SQL} SELECT n, p, avg(k) AS S_mean, stddev_samp(k) AS S_std, count(k) AS count,

@@ -243,7 +243,7 @@ def stream_running_cells(t: Tables) -> DataFrame:
 def stream_windowed_cells(t: Tables) -> DataFrame:
     events = _event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     sums = running.windowed_cells(events, "ts", "value", ["event_type"], "1 day")
-    done = running.finish(ingest.drain(sums, "windowed", "complete"))
+    done = running.finish(ingest.drain(sums, "windowed", "update", ["window_start", "event_type"]))
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -264,3 +264,24 @@ def stream_first_zero(t: Tables) -> DataFrame:
         steps,
     ).select("n", "p", "sample_seed", F.col("t").cast("bigint").alias("t"), F.when(F.col("t") >= F.col("stop"), 0).otherwise(1).alias("s"))
     return ingest.drain(early_stop.first_zeros(trace, 11), "first-zero")
+
+
+@query(
+    "stream_gap_fill",
+    """SELECT CAST(o_custkey % 4 AS INTEGER) AS n, month(o_orderdate) / 100 AS p, count(*) AS samples FROM orders GROUP BY 1, 2""",
+)
+def stream_gap_fill(t: Tables) -> DataFrame:
+    """Cells of arriving samples that have no stored row yet are counted and stored."""
+    orders = ingest.file_stream(t.spark, t.folder, t.orders.schema, "orders.parquet")
+    arriving = orders.select((F.col("o_custkey") % 4).cast("int").alias("n"), (F.month("o_orderdate") / 100).alias("p"))
+    stored = t.spark.createDataFrame([], "n int, p double, samples bigint")
+    target = ingest.scratch(t.spark, "gap-fill")
+    stored.write.parquet(target)
+
+    def fill(batch: DataFrame) -> None:
+        have = batch.sparkSession.read.schema(stored.schema).parquet(target)
+        missing = batch.join(have.select("n", "p"), ["n", "p"], "left_anti")
+        missing.groupBy("n", "p").agg(F.count(F.lit(1)).alias("samples")).write.mode("append").parquet(target)
+
+    ingest.fill_gaps(arriving, fill, ingest.scratch(t.spark, "gap-journal")).awaitTermination()
+    return t.spark.read.schema(stored.schema).parquet(target)

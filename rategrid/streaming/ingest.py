@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.session import ensure_checkpoint_dir
@@ -22,11 +23,11 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern:
     return reader.option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Process everything available and return the sink's rows as a table.
 
-    ``complete`` replaces the table with every batch, other modes append; a batch that is
-    repeated after a failure overwrites its own folder, so no row is written twice.
+    ``complete`` replaces the table with every batch, ``append`` adds to it, ``update`` keeps the latest row of each
+    ``keys``; a batch that is repeated after a failure overwrites its own folder, so no row is written twice.
     """
     spark = stream.sparkSession
     target, journal = scratch(spark, name), scratch(spark, name + "-journal")
@@ -38,6 +39,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", journal)
     running.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     result = spark.read.schema(stream.schema).parquet(target)
+    if mode == "update":
+        values = [c for c in stream.columns if c not in keys]
+        latest = result.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+        return latest.select(*keys, "_row.*").select(*stream.columns)
     return result.drop("batch")
 
 
