@@ -96,9 +96,8 @@ def shingles(text):
 
 
 @pytest.mark.parametrize("k", [8, 64])
-def test_near_duplicates_against_all_pairs(spark, k, monkeypatch):
+def test_near_duplicates_against_all_pairs(spark, k):
     texts = near_copies()
-    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
     rows = neardup.near_duplicates(frame(spark, texts), k=k).collect()
     sets = [shingles(t) for t in texts]
     links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
