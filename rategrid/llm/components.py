@@ -30,5 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         )
         moved = stage(moved, "labels")
         labels = moved.select("node", "comp")
-        if moved.filter("comp <> was").isEmpty():
+        if not moved.agg(F.max((F.col("comp") != F.col("was")).cast("int"))).first()[0]:
             return labels

@@ -29,7 +29,7 @@ SHINGLE = 5
 SKETCH = 64
 LARGE = 1024  # retained values where few-value sketches leave a pair open
 DEVIATIONS = 4.0  # a pair at the threshold shares fewer values than allowed for with probability 3e-5
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -176,8 +176,24 @@ def _main(rows: DataFrame, keys: list[str]) -> DataFrame:
     return main.filter("kinds > 1").select(*keys, F.col("x.comp").alias("main"))
 
 
-def _hub_pairs(lists: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
-    """Each list's members beside its hub, if they are still apart.
+def _possible(percent: int, k: int) -> Column:
+    """Can sets a and b that share a value of ranks ``rank_a`` and ``rank_b`` be linked, by sizes and ranks?
+
+    Linked sets share at least :func:`pair_overlap` values, so their rarest shared value stands early in both.
+    """
+    n, m = F.col("n_a"), F.col("n_b")
+    sized = (n * 100 >= m * percent) & (m * 100 >= n * percent)
+    least = pair_overlap(n, m, percent, k)
+    early = [F.col(f"rank_{x}") <= F.least(F.col(f"n_{x}"), F.lit(k)) - least + 1 for x in "ab"]
+    return sized & early[0] & early[1] & (F.col("comp_a") != F.col("comp_b"))
+
+
+def _sided(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "rank", "comp")])
+
+
+def _hub_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int, first: bool) -> DataFrame:
+    """Each list's members beside its hub, if they are still apart and can be linked.
 
     The hub is the member whose values are the most frequent: the origin of many copies, rather than one of them.  After
     the first round it is taken from outside the largest component.
@@ -186,36 +202,31 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
     able = named
     if not first:
         able = named.join(_main(named, ["v", "band"]), ["v", "band"]).filter("comp <> main")
-    hubs = able.groupBy("v", "band").agg(F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node", "comp")).alias("h"))
-    hubs = stage(hubs.select("v", "band", F.col("h.node").alias("b"), F.col("h.comp").alias("c_b")), "neardup-hubs")
-    met = named.select("v", "band", F.col("node").alias("a"), F.col("comp").alias("c_a")).join(hubs, ["v", "band"])
-    return met.filter("c_a <> c_b").select("a", "b").distinct()
+    best = F.struct("weight", F.xxhash64("node").alias("o"), "node", "n", "rank", "comp")
+    hubs = able.groupBy("v", "band").agg(F.max(best).alias("h")).select("v", "band", "h.node", "h.n", "h.rank", "h.comp")
+    hubs = stage(_sided(hubs, ["v", "band"], "b"), "neardup-hubs")
+    met = _sided(named, ["v", "band"], "a").join(hubs, ["v", "band"]).filter(_possible(percent, k))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
-    """All pairs ``a, b`` of a list in different components that the ranks of the shared value allow.
+    """All pairs ``a, b`` of a list in different components that can be linked.
 
-    Linked sets share at least :func:`pair_overlap` values, so their rarest shared value stands early in both.  For the
-    smaller set that is early by both sizes (``brief``), which leaves few members in the list of a frequent value.
+    For the smaller set the rank of a shared value is low by both sizes (``brief``), which leaves few members in the
+    list of a frequent value.
     """
     named = lists.join(labels, "node")
     spread = named.withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     split = stage(spread.join(_main(spread, ["v", "block"]), ["v", "block"]), "neardup-open")
     held = F.least(F.col("n"), F.lit(k)).cast("int")
     brief = split.filter(F.col("rank") <= held - pair_overlap(F.col("n"), F.col("n"), percent, k) + 1)
-    a = brief.select("v", "block", "main", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "rank", "comp")])
-    b = split.select("v", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "rank", "comp")])
+    keys = ["v", "block"]
     # the smaller set stands on the left; of equal ones the smaller number
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    sized = F.col("n_a") * 100 >= F.col("n_b") * percent
-    least = pair_overlap(F.col("n_a"), F.col("n_b"), percent, k)
-    early = (F.col("rank_a") <= F.least(F.col("n_a"), F.lit(k)) - least + 1) & (F.col("rank_b") <= F.least(F.col("n_b"), F.lit(k)) - least + 1)
-    apart = ordered & sized & early & (F.col("comp_a") != F.col("comp_b"))
-    left = a.filter("comp_a <> main").drop("main").join(b, ["v", "block"]).filter(apart)
-    right = a.filter("comp_a = main").drop("main").join(
-        split.filter("comp <> main").select(*[F.col(c).alias(c if c in ("v", "block") else f"{c}_b") for c in ("v", "block", "node", "n", "rank", "comp")]),
-        ["v", "block"],
-    ).filter(apart)
+    apart = ordered & _possible(percent, k)
+    outside = F.col("comp") != F.col("main")
+    left = _sided(brief.filter(outside), keys, "a").join(_sided(split, keys, "b"), keys).filter(apart)
+    right = _sided(brief.filter(~outside), keys, "a").join(_sided(split.filter(outside), keys, "b"), keys).filter(apart)
     both = left.select("node_a", "node_b").unionByName(right.select("node_a", "node_b"))
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -226,7 +237,7 @@ def linked_classes(classes: DataFrame, sets_of, percent: int, k: int, rounds: in
     labels = stage(lists.select("node").distinct().withColumn("comp", F.col("node")), "neardup-labels")
     sets = sets_of(labels.select("node"))
     for turn in range(rounds):
-        pairs = _hub_pairs(lists, labels, first=turn == 0)
+        pairs = _hub_pairs(lists, labels, percent, k, first=turn == 0)
         labels = _relabel(labels, _verified(pairs, classes, sets, percent, k, best=True))
     # what is still apart meets pair by pair, over lists of larger sketches: nearly all of them whole sets
     named = lists.join(labels, "node").withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
