@@ -115,7 +115,8 @@ def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     ``rank`` counts from 1 over all retained values, rarest first; ``weight`` is how often the class's values occur.
     """
     rows = classes.select("node", "n", F.explode("sketch").alias("v"))
-    shared = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # written first: with a shuffle on both sides of the join a hot value's partition can be split
+    shared = stage(rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "neardup-values")
     own = rows.join(shared, "v").groupBy("node").agg(
         F.first("n").alias("n"), F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("values")
     )

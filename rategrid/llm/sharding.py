@@ -126,6 +126,7 @@ def shard_documents(
     nodes = stage(facts, "shard-rows").withColumn("node", F.monotonically_increasing_id())
     nodes = stage(nodes, "shard-nodes")
     hubs = nodes.groupBy("h1", "h2").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hubs = stage(hubs.select("h1", "h2", "hub"), "shard-hubs")  # two shuffles below, so that a hot text can be split
     spokes = nodes.select("node", "h1", "h2").join(hubs, ["h1", "h2"]).filter("node <> hub")
     one = spokes.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     edges = stage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-edges")

@@ -159,15 +159,16 @@ def repeated_spans(base: DataFrame, length: int, gram: int) -> DataFrame:
     """Window starts lo to hi that begin a repeat: ``doc_id, mark, lo, hi``.  ``base`` has ``doc_id, mark, text``."""
     seeds = base.mapInArrow(_seeds(length, gram), "doc_id long, mark int, lo int, hi int, h long, s long")
     seeds = stage(seeds, "repeat-seeds")
-    # anchors that occur once are gone after this; what is left is proportional to the repeated text
-    twice = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # anchors that occur once are gone after this; what is left is proportional to the repeated text.  Counts that rows
+    # are joined with are written first: with a shuffle on both sides a hot anchor's partition can be split.
+    twice = stage(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeat-anchors")
     met = stage(seeds.join(twice, "h", "left_semi"), "repeat-met")
     kinds = met.groupBy("h", "s").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "lo", "hi")]
     )
     kinds = stage(kinds, "repeat-kinds")
     whole_spans = met.join(kinds.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("doc_id", "mark", "lo", "hi")
-    mixed_anchors = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+    mixed_anchors = stage(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h"), "repeat-mixed")
     open_spans = (
         kinds.join(mixed_anchors, "h", "left_semi")
         .withColumn("single", F.col("n") == 1)
@@ -179,7 +180,7 @@ def repeated_spans(base: DataFrame, length: int, gram: int) -> DataFrame:
     looked = base.join(open_spans, on).select("doc_id", "mark", "text", "spans")
     windows = looked.mapInArrow(_windows(length), "doc_id long, mark int, h long, w long, at int, single boolean")
     windows = stage(windows, "repeat-windows")
-    shared = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
+    shared = stage(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), "repeat-shared")
     partial = (
         windows.filter("single").join(shared, ["h", "w"], "left_semi").select("doc_id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
     )
