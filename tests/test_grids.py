@@ -161,5 +161,5 @@ def test_salted_join_equals_plain_join(spark):
     for how in ("inner", "left"):
         plain = big.join(summary, "g", how)
         for limit in (0, 100):
-            got = attach_summary(big, summary, ["g"], how, max_broadcast_rows=limit, salts=4).select(*plain.columns)
+            got = attach_summary(big, summary, ["g"], how, max_broadcast_bytes=1000 * limit, salts=4).select(*plain.columns)
             assert got.exceptAll(plain).isEmpty() and got.count() == plain.count()
