@@ -109,6 +109,16 @@ def pair_overlap(n: Column, m: Column, percent: int, k: int) -> Column:
     return F.when(F.greatest(n, m) <= k, whole).otherwise(least_overlap(F.greatest(n, m), percent, k))
 
 
+def any_overlap(n: Column, percent: int, k: int) -> Column:
+    """The least :func:`pair_overlap` of a set of ``n`` values with any linked partner that is not smaller.
+
+    It grows with the partner's size as long as the partner is kept whole and falls from there on, so it is least at the
+    smallest or the largest partner.
+    """
+    largest = F.floor(n * 100 / percent)
+    return F.least(pair_overlap(n, n, percent, k), pair_overlap(n, largest, percent, k))
+
+
 def inverted_lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     """``v, node, n, band, rank, weight``: the rarest retained values of each class that another class retains too.
 
@@ -213,14 +223,14 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int, first:
 def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
     """All pairs ``a, b`` of a list in different components that can be linked.
 
-    For the smaller set the rank of a shared value is low by both sizes (``brief``), which leaves few members in the
-    list of a frequent value.
+    For the smaller set the rank of a shared value is low whatever its partner's size (``brief``), which leaves few
+    members in the list of a frequent value.
     """
     named = lists.join(labels, "node")
     spread = named.withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     split = stage(spread.join(_main(spread, ["v", "block"]), ["v", "block"]), "neardup-open")
     held = F.least(F.col("n"), F.lit(k)).cast("int")
-    brief = split.filter(F.col("rank") <= held - pair_overlap(F.col("n"), F.col("n"), percent, k) + 1)
+    brief = split.filter(F.col("rank") <= held - any_overlap(F.col("n"), percent, k) + 1)
     keys = ["v", "block"]
     # the smaller set stands on the left; of equal ones the smaller number
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))

@@ -109,6 +109,17 @@ def test_near_duplicates_against_all_pairs(spark, k):
     assert {r["doc_id"]: r["n_shingles"] for r in rows} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_near_duplicates_on_both_sides_of_a_large_sketch(spark):
+    generator = random.Random(5)
+    texts = []
+    for n, m in [(980, 1200), (980, 1290), (990, 1250), (900, 1100), (1000, 1030), (1020, 1350)] * 2:
+        base = [f"w{generator.randrange(10**9)}" for _ in range(m + 4)]
+        at = generator.randint(0, m - n)
+        texts += [" ".join(base), " ".join(base[at : at + n + 4])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
