@@ -35,46 +35,77 @@ def _lookup(values: list[int], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), key.cast("int") + 1)
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int = 4, buckets: int = 256) -> DataFrame:
-    """Labels of the linked nodes after ``rounds`` of balanced label propagation: ``node, shard``.
-
-    ``nodes`` has ``node`` (a unique long); ``edges`` has ``a, b`` in both directions.  Every round each node prefers the shard that most of its
-    neighbours have (ties: the lowest number); those who gain move, as many into each shard as its quota leaves room,
-    lowest hash first.  A shard holds at most its even share of all nodes, so later filling can make sizes exactly even.
+def propagate(nodes: DataFrame, edges: DataFrame, shards: int, buckets: int = 256) -> DataFrame:
+    """Labels of the linked nodes after balanced label propagation: ``node, shard``.
+
+    ``nodes`` has ``node`` (a unique long); ``edges`` has ``a, b`` in both directions.  Every round each node prefers the
+    shard that most of its neighbours have (ties: the lowest number); those who gain move, as many into each shard as its
+    quota leaves room, lowest hash first.  Seeds (nodes below all their neighbours) and the others take turns, so the two
+    ends of a link to a seed never swap places.  It ends when a turn of each has not lowered the number of cut edges.  A
+    shard holds at most its even share of all nodes, so later filling can make sizes exactly even.
     """
     total = nodes.count()
     quota = _quota(total, shards)
-    linked = nodes.select("node").join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    start = linked.withColumn("want", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int"))
-    state = stage(_within(start, quota, shards, buckets), "shard-labels")
-    for _ in range(rounds):
+    least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).join(nodes.select("node"), "node", "left_semi")
+    seeded = stage(least.select("node", F.least("node", "b").alias("seed")), "shard-seeds")
+    state = stage(_in_a_row(seeded, shards, buckets), "shard-labels")
+    best, fewest, idle = state, None, 0
+    seeds = True
+    while True:
         label = state.select(F.col("node").alias("b"), F.col("shard").alias("seen"))
         votes = edges.join(label, "b").groupBy("a", "seen").agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy(F.col("a").alias("node")).agg(
-            F.max(F.struct("votes", (-F.col("seen")).alias("low"))).alias("best"),
+        top = votes.groupBy(F.col("a").alias("node")).agg(
+            F.max(F.struct("votes", (-F.col("seen")).alias("low"))).alias("top"),
+            F.sum("votes").alias("degree"),
             F.map_from_entries(F.collect_list(F.struct("seen", "votes"))).alias("by_shard"),  # one entry per shard
         )
-        aim = state.join(best, "node", "left").select(
-            "node", "shard", (-F.col("best.low")).alias("to"), F.col("best.votes").alias("most"), "by_shard"
-        )
         own = F.coalesce(F.element_at("by_shard", F.col("shard")), F.lit(0))
-        gains = aim.withColumn("moves", F.coalesce(F.col("most") > own, F.lit(False))).drop("by_shard", "most")
+        aim = state.join(top, "node").select(
+            "node", "seed", "shard", (-F.col("top.low")).alias("to"), (F.col("top.votes") > own).alias("moves"), (F.col("degree") - own).alias("apart")
+        )
+        aim = stage(aim, "shard-aims")
+        cut = aim.agg(F.sum("apart")).first()[0] or 0
+        if fewest is None or cut < fewest:
+            best, fewest, idle = state, cut, 0
+        else:
+            idle += 1
+        if not cut or idle == 2:
+            return best.select("node", "shard")
         held = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         room = [max(quota[s] - held.get(s, 0), 0) for s in range(shards)]
-        movers = _ranked(gains.filter("moves").select("node", "to"), "to", F.lit(0), buckets)
+        turn = (F.col("node") == F.col("seed")) == F.lit(seeds)
+        movers = _ranked(aim.filter(F.col("moves") & turn).select("node", "to"), "to", F.lit(0), buckets)
         taken = movers.filter(F.col("rank") < _lookup(room, F.col("to"))).select("node", F.col("to").alias("moved"))
-        after = state.join(taken, "node", "left").select("node", F.coalesce("moved", "shard").alias("shard"))
+        after = state.join(taken, "node", "left").select("node", "seed", F.coalesce("moved", "shard").alias("shard"))
         state = stage(after, "shard-labels")
-    return state
+        seeds = not seeds
 
 
-def _within(wanted: DataFrame, quota: list[int], shards: int, buckets: int) -> DataFrame:
-    """``node, shard``: the wanted shard where its quota allows, else free places in order."""
-    ranked = _ranked(wanted.select("node", "want"), "want", F.lit(0), buckets)
-    stay = F.col("rank") < _lookup(quota, F.col("want"))
-    # those over quota are few (a hash spreads them); they go round the shards and later rounds respect the quotas
-    other = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(shards)).cast("int")
-    return ranked.select("node", F.when(stay, F.col("want")).otherwise(other).alias("shard"))
+def _in_a_row(seeded: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """``node, seed, shard``: nodes numbered seed by seed and cut into even shards, at most ``shards`` - 1 seeds apart.
+
+    Sizes of seeds give each its first number, by hash buckets of which only one is sorted in a task; nodes are numbered
+    only in seeds that a border divides.
+    """
+    sizes = stage(seeded.groupBy("seed").agg(F.count(F.lit(1)).alias("size")), "shard-seed-sizes")
+    spread = sizes.withColumn("_bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets)))
+    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    first = spread.groupBy("_bucket").agg(F.sum("size").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    inside = Window.partitionBy("_bucket").orderBy("seed").rowsBetween(Window.unboundedPreceding, -1)
+    placed = spread.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(first.drop("_n"), "_bucket")
+    begin = F.col("_first") + F.col("_at")
+    share = _quota(sizes.agg(F.sum("size")).first()[0] or 0, shards)
+
+    def shard(number: Column) -> Column:
+        borders = [(number >= sum(share[: s + 1])).cast("int") for s in range(shards - 1)]
+        return sum(borders, F.lit(0))
+
+    ends = placed.select("seed", begin.alias("begin"), shard(begin).alias("shard"), shard(begin + F.col("size") - 1).alias("last"))
+    ends = stage(ends, "shard-seed-places")  # two shuffles below, so that a large seed can be split
+    rows = seeded.join(ends, "seed")
+    whole_ones = rows.filter("shard = last").select("node", "seed", "shard")
+    divided = _ranked(rows.filter("shard < last").select("node", "seed", "begin"), "seed", F.lit(0), buckets)
+    return whole_ones.unionByName(divided.select("node", "seed", shard(F.col("begin") + F.col("rank")).alias("shard")))
 
 
 def fill_evenly(nodes: DataFrame, labels: DataFrame, shards: int, buckets: int = 256) -> DataFrame:
@@ -107,7 +138,7 @@ def fill_evenly(nodes: DataFrame, labels: DataFrame, shards: int, buckets: int =
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, buckets: int = 256
+    docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", buckets: int = 256
 ) -> DataFrame:
     """Every input row with its shard: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
@@ -130,7 +161,7 @@ def shard_documents(
     spokes = nodes.select("node", "h1", "h2").join(hubs, ["h1", "h2"]).filter("node <> hub")
     one = spokes.select(F.col("node").alias("a"), F.col("hub").alias("b"))
     edges = stage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-edges")
-    labels = propagate(nodes, edges, shards, rounds, buckets)
+    labels = propagate(nodes, edges, shards, buckets)
     placed = fill_evenly(nodes.select("node", "doc_id", "size", "text_crc32"), labels, shards, buckets)
     return placed.select(
         "doc_id",

@@ -156,6 +156,19 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert sum(pairs) < 35  # hashing alone would leave about 66
 
 
+@pytest.mark.parametrize("single", [0, 6000])
+def test_sharding_keeps_groups_of_every_size_whole(spark, single):
+    sizes = [2] * 400 + [5] * 80 + [200] * 4
+    texts = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)] + [f"single {i}" for i in range(single)]
+    random.Random(6).shuffle(texts)
+    spread = defaultdict(set)
+    for r in sharding.shard_documents(frame(spark, texts)).collect():
+        spread[texts[r["doc_id"]]].add(r["shard"])
+    cut = [n for i, n in enumerate(sizes) if len(spread[f"group {i}"]) > 1]
+    # without other rows the quotas are full, and each of the seven borders may lie in a group
+    assert len(cut) <= (0 if single else 7)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
