@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 from rategrid.llm.decontaminate import contamination
 from rategrid.llm.language import UNKNOWN, fit_language, held_out, identify_language
 from rategrid.llm.lines import dedup_lines
-from rategrid.llm.neardup import near_duplicates
+from rategrid.llm.neardup import marked_duplicates
 from rategrid.llm.packing import pack_documents
 from rategrid.llm.queries import word_tokenizer
 from rategrid.llm.storage import stage
+from rategrid.llm.text import digest
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,12 +46,14 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of repeated rows one stays."""
-    kept = near_duplicates(docs).filter("kept").select(*_keys()).distinct()
-    mine = docs.select(*COLUMNS, *_keys(), F.hash("text").alias("_mark"))
-    # the join has placed rows by id already, so equal rows are neighbours without another shuffle
-    same = Window.partitionBy("_id", "_none", "_mark").orderBy("_mark")
-    rows = mine.join(kept, ["_id", "_none"], "left_semi").withColumn("_at", F.row_number().over(same))
+    """The document with the smallest id of each group of near duplicates, one where none has an id; of repeated rows one."""
+    keys = ["_id", "_none", "_m1", "_m2"]
+    kept = marked_duplicates(docs).filter("kept").select(*_keys(), F.col("m1").alias("_m1"), F.col("m2").alias("_m2")).distinct()
+    m1, m2 = digest(F.col("text"))
+    mine = docs.select(*COLUMNS, *_keys(), m1.alias("_m1"), m2.alias("_m2"))
+    # the join has placed rows by these keys already, so equal rows are neighbours without another shuffle
+    same = Window.partitionBy(*keys).orderBy("_m1")
+    rows = mine.join(kept, keys, "left_semi").withColumn("_at", F.row_number().over(same))
     return rows.filter("_at = 1").select(*COLUMNS)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rategrid.llm.components import components
 from rategrid.llm.hashing import Words, chunks, word_hashes
 from rategrid.llm.storage import stage
-from rategrid.llm.text import let
+from rategrid.llm.text import digest, let
 
 SHINGLE = 5
 SKETCH = 64
@@ -47,12 +47,12 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def _sketches(size: int, k: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("mark", pa.int32()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))]
+        [*[(c, pa.int64()) for c in ("doc_id", "m1", "m2", "n", "s1", "s2")], ("sketch", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in chunks(batch.column(2)):
+            for at, to, data, offsets in chunks(batch.column(3)):
                 counts, names, kept = [], [], []
                 for values in shingle_sets(word_hashes(data, offsets, lower=True), size):
                     counts.append(len(values))
@@ -65,6 +65,7 @@ def _sketches(size: int, k: int):
                     [
                         batch.column(0).slice(at, to - at).cast(pa.int64()),
                         batch.column(1).slice(at, to - at),
+                        batch.column(2).slice(at, to - at),
                         pa.array(counts, pa.int64()),
                         pa.array(name[:, 0].copy()),
                         pa.array(name[:, 1].copy()),
@@ -260,36 +261,50 @@ def linked_classes(classes: DataFrame, sets_of, percent: int, k: int, rounds: in
     return _relabel(labels, _verified(pairs, classes, sets, percent, k, best=False))
 
 
-def near_duplicates(
+def marked_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, shingle: int = SHINGLE, k: int = SKETCH
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every input row.
-
-    Words are lower-cased (A-Z); documents whose shingle sets reach ``percent`` similarity are linked; ``component_id`` is
-    the smallest id reachable.  Documents without words link with nothing.  Repeated rows link with each other.  A
-    null id stays null unless its document is linked to one with an id.
-    """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("mark"), F.col(text).alias("text"))
-    rows = base.mapInArrow(_sketches(shingle, k), "doc_id long, mark int, n long, s1 long, s2 long, sketch array<long>")
+    """:func:`near_duplicates` with ``m1, m2``, the digest of the text, which tells rows of one id or of none apart."""
+    m1, m2 = digest(F.col(text))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), m1.alias("m1"), m2.alias("m2"), F.col(text).alias("text"))
+    rows = base.mapInArrow(_sketches(shingle, k), "doc_id long, m1 long, m2 long, n long, s1 long, s2 long, sketch array<long>")
     rows = stage(rows, "neardup-sketches")
     # equal sets are one class; partial aggregation meets copies before the shuffle
     first = [F.first(c).alias(c) for c in ("n", "sketch")]
-    one = [F.first("doc_id").alias("of_id"), F.first("mark").alias("of_mark")]
-    grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), *first, *one)
+    one = F.min(F.struct("doc_id", "m1", "m2")).alias("of")
+    grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), *first, one)
     classes = stage(grouped, "neardup-classes").withColumn("node", F.monotonically_increasing_id())
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.select("node", "of_id", "of_mark").join(nodes, "node", "left_semi")
-        on = base["doc_id"].eqNullSafe(wanted["of_id"]) & (base["mark"] == wanted["of_mark"])
-        texts = base.join(wanted, on).select("node", "text")
+        wanted = classes.select("node", "of").join(nodes, "node", "left_semi")
+        wanted = wanted.select("node", *[F.col(f"of.{c}").alias(f"of_{c}") for c in ("doc_id", "m1", "m2")])
+        same = (base["m1"] == wanted["of_m1"]) & (base["m2"] == wanted["of_m2"])
+        texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["of_doc_id"]) & same).select("node", "text")
         return stage(texts.mapInArrow(_full_sets(shingle), "node long, values array<long>"), "neardup-sets")
 
     labels = linked_classes(classes, sets_of, percent, k)
-    named = classes.select("s1", "s2", "node", "least_id").join(labels, "node", "left")
+    named = classes.select("s1", "s2", "node", "least_id", "of").join(labels, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "comp").select("s1", "s2", "component_id")
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    # where no member has an id, the one with the least digest is kept
+    keeper = F.min(F.struct("of.m1", "of.m2")).alias("keeper")
+    least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"), keeper)
+    of_class = named.join(least, "comp").select("s1", "s2", "component_id", "keeper")
+    found = rows.select("doc_id", "m1", "m2", F.col("n").alias("n_shingles"), "s1", "s2").join(of_class, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = found.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = found.select("doc_id", "m1", "m2", "n_shingles", component.alias("component_id"), "keeper")
+    chosen = (F.col("m1") == F.col("keeper.m1")) & (F.col("m2") == F.col("keeper.m2"))
+    nameless = F.col("component_id").isNull() & (F.col("n_shingles") > 0)
+    kept = F.when(nameless, chosen).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", kept).drop("keeper")
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75, shingle: int = SHINGLE, k: int = SKETCH
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every input row.
+
+    Words are lower-cased (A-Z); documents whose shingle sets reach ``percent`` similarity are linked; ``component_id`` is
+    the smallest id reachable.  Documents without words link with nothing.  Repeated rows link with each other.  A
+    null id stays null unless its document is linked to one with an id; of a group without any id one text is kept.
+    """
+    return marked_duplicates(docs, doc_id, text, percent, shingle, k).select("doc_id", "n_shingles", "component_id", "kept")

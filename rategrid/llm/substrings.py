@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rategrid.llm.hashing import Words, chunks, word_hashes
 from rategrid.llm.storage import stage
+from rategrid.llm.text import digest
 
 GRAM = 10
 _BITS = 24
@@ -61,13 +62,13 @@ def anchors_of(words: Words, length: int, gram: int) -> tuple[np.ndarray, np.nda
 
 def _seeds(length: int, gram: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("mark", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int64()), ("s", pa.int64())]
+        [("doc_id", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int64()), ("s", pa.int64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(1)
-            for at, to, data, offsets in chunks(batch.column(2)):
+            ids, m1, m2 = batch.column(0), batch.column(1), batch.column(2)
+            for at, to, data, offsets in chunks(batch.column(3)):
                 words = word_hashes(data, offsets)
                 lo, hi, h, s = anchors_of(words, length, gram)
                 doc = np.searchsorted(words.first, lo, side="right") - 1
@@ -76,7 +77,8 @@ def _seeds(length: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(rows).cast(pa.int64()),
-                        marks.take(rows),
+                        m1.take(rows),
+                        m2.take(rows),
                         pa.array((lo - base).astype(np.int32)),
                         pa.array((hi - base).astype(np.int32)),
                         pa.array(h.view(np.int64)),
@@ -90,13 +92,13 @@ def _seeds(length: int, gram: int):
 
 def _windows(length: int):
     """Window hashes of the wanted spans of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("h", pa.int64()), ("w", pa.int64()), ("at", pa.int32()), ("single", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("m1", pa.int64()), ("m2", pa.int64()), ("h", pa.int64()), ("w", pa.int64()), ("at", pa.int32()), ("single", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(1)
-            lists = batch.column(3)
-            for at, to, data, offsets in chunks(batch.column(2)):
+            ids, m1, m2 = batch.column(0), batch.column(1), batch.column(2)
+            lists = batch.column(4)
+            for at, to, data, offsets in chunks(batch.column(3)):
                 words = word_hashes(data, offsets)
                 windows = words.windows(length, base=0xC2B2AE3D27D4EB4F)
                 part = lists.slice(at, to - at)
@@ -112,7 +114,8 @@ def _windows(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(rows).cast(pa.int64()),
-                        marks.take(rows),
+                        m1.take(rows),
+                        m2.take(rows),
                         flat.field("h").take(pa.array(span)),
                         pa.array(windows[words.first[doc[span]] + start].view(np.int64)),
                         pa.array(start.astype(np.int32)),
@@ -156,33 +159,33 @@ def _cut(length: int):
 
 
 def repeated_spans(base: DataFrame, length: int, gram: int) -> DataFrame:
-    """Window starts lo to hi that begin a repeat: ``doc_id, mark, lo, hi``.  ``base`` has ``doc_id, mark, text``."""
-    seeds = base.mapInArrow(_seeds(length, gram), "doc_id long, mark int, lo int, hi int, h long, s long")
+    """Window starts lo to hi that begin a repeat: ``doc_id, m1, m2, lo, hi``.  ``base`` has ``doc_id, m1, m2, text``."""
+    seeds = base.mapInArrow(_seeds(length, gram), "doc_id long, m1 long, m2 long, lo int, hi int, h long, s long")
     seeds = stage(seeds, "repeat-seeds")
     # anchors that occur once are gone after this; what is left is proportional to the repeated text.  Counts that rows
     # are joined with are written first: with a shuffle on both sides a hot anchor's partition can be split.
     twice = stage(seeds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeat-anchors")
     met = stage(seeds.join(twice, "h", "left_semi"), "repeat-met")
     kinds = met.groupBy("h", "s").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "lo", "hi")]
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "m1", "m2", "lo", "hi")]
     )
     kinds = stage(kinds, "repeat-kinds")
-    whole_spans = met.join(kinds.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("doc_id", "mark", "lo", "hi")
+    whole_spans = met.join(kinds.filter("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("doc_id", "m1", "m2", "lo", "hi")
     mixed_anchors = stage(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h"), "repeat-mixed")
     open_spans = (
         kinds.join(mixed_anchors, "h", "left_semi")
         .withColumn("single", F.col("n") == 1)
-        .groupBy("doc_id", "mark")
+        .groupBy("doc_id", "m1", "m2")
         .agg(F.collect_list(F.struct("h", "lo", "hi", "single")).alias("spans"))
-        .select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), "spans")
+        .select(F.col("doc_id").alias("o_id"), F.col("m1").alias("o_m1"), F.col("m2").alias("o_m2"), "spans")
     )
-    on = base["doc_id"].eqNullSafe(open_spans["o_id"]) & (base["mark"] == open_spans["o_mark"])
-    looked = base.join(open_spans, on).select("doc_id", "mark", "text", "spans")
-    windows = looked.mapInArrow(_windows(length), "doc_id long, mark int, h long, w long, at int, single boolean")
+    on = base["doc_id"].eqNullSafe(open_spans["o_id"]) & (base["m1"] == open_spans["o_m1"]) & (base["m2"] == open_spans["o_m2"])
+    looked = base.join(open_spans, on).select("doc_id", "m1", "m2", "text", "spans")
+    windows = looked.mapInArrow(_windows(length), "doc_id long, m1 long, m2 long, h long, w long, at int, single boolean")
     windows = stage(windows, "repeat-windows")
     shared = stage(windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), "repeat-shared")
     partial = (
-        windows.filter("single").join(shared, ["h", "w"], "left_semi").select("doc_id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi"))
+        windows.filter("single").join(shared, ["h", "w"], "left_semi").select("doc_id", "m1", "m2", F.col("at").alias("lo"), F.col("at").alias("hi"))
     )
     return whole_spans.unionByName(partial)
 
@@ -196,13 +199,14 @@ def dedup_substrings(
     words.  Places are (row, position): a repeated row is another place, so both lose their windows.  Windows are judged
     on the input; documents shorter than ``length`` words keep everything; null ids keep their rows.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("mark"), F.col(text).alias("text"))
+    m1, m2 = digest(F.col(text))  # tells rows of one id or of none apart
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), m1.alias("m1"), m2.alias("m2"), F.col(text).alias("text"))
     spans = (
         repeated_spans(base, length, gram)
-        .groupBy("doc_id", "mark")
+        .groupBy("doc_id", "m1", "m2")
         .agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-        .select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), "spans")
+        .select(F.col("doc_id").alias("s_id"), F.col("m1").alias("s_m1"), F.col("m2").alias("s_m2"), "spans")
     )
-    on = base["doc_id"].eqNullSafe(spans["s_id"]) & (base["mark"] == spans["s_mark"])
+    on = base["doc_id"].eqNullSafe(spans["s_id"]) & (base["m1"] == spans["s_m1"]) & (base["m2"] == spans["s_m2"])
     joined = base.join(spans, on, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, text string")

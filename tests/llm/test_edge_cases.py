@@ -148,3 +148,16 @@ def test_pipeline_stage(spark, docs, empty, at):
     else:
         assert {r["doc_id"] for r in rows.collect()} == {i for i, _ in TEXTS}
     assert step(spark, empty, folder).collect() == []
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    """Two texts of equal 32-bit hash and no id, and near copies of which none has an id."""
+    passage, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    made = spark.range(200_000).selectExpr(f"concat('{passage} a', id) AS x", f"concat('{other} b', id) AS y")
+    a, b = made.selectExpr("x", "hash(x) AS m").join(made.selectExpr("y", "hash(y) AS m"), "m").select("x", "y").first()
+    rows = [(None, a), (None, b), (1, passage + " more of it")]
+    removed = {r["text"]: r["n_removed"] for r in substrings.dedup_substrings(table(spark, rows)).collect()}
+    assert removed[b] == 0 and len(removed) == 3
+    copies = [(None, " ".join(f"w{i}" for i in range(100 + n))) for n in range(3)]
+    kept = [r["text"] for r in corpus_pipeline.keep_first_of_group(spark, table(spark, [(None, a), (None, b), *copies, copies[0]]), "").collect()]
+    assert len(kept) == 3 and {a, b} <= set(kept)
