@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rategrid.llm import decontaminate, language, lines, neardup, packing, pii, rules, secrets, sharding, substrings
+from rategrid.llm import (
+    alignment,
+    conversations,
+    decontaminate,
+    language,
+    lines,
+    neardup,
+    packing,
+    pii,
+    rules,
+    secrets,
+    sharding,
+    substrings,
+    tokencounts,
+)
 from rategrid.llm.text import joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,10 +79,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def word_tokenizer() -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> str:
+    return tokenizer("word_bpe_49k.json")
 
 
 @register
@@ -104,6 +122,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@register
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.spliced(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.prefix_trie(turns).select(*conversations.DIGEST)
+
+
 SQL: dict[str, str] = {}
 
 SQL["op5_decontamination"] = r"""
@@ -267,3 +301,36 @@ SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (k
        coalesce(string_agg(told, ',' ORDER BY a, o), '') AS spans
 FROM documents AS d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
 """
+
+SQL["op13_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+             lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 1 AS part, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h
+  UNION ALL SELECT c.conv_id, 0, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE pos < h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM r),
+p AS (
+  SELECT conv_id, depth, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS path,
+         len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM d
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY ALL),
+up AS (SELECT n.depth, n.path, p.path AS above FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT above AS path, count(*) AS n FROM up GROUP BY 1),
+v AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+total AS (
+  SELECT p.path, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved_tokens
+  FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY 1),
+ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY 1) GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN total USING (path) LEFT JOIN ends USING (path) LEFT JOIN up USING (path) LEFT JOIN n AS par ON par.path = up.above
+"""
