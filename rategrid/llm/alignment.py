@@ -6,8 +6,7 @@ alone.  Documents that hold such a pair are counted in vectors as long as the vo
 pairs of irregular groups are shuffled.  Counts of the most frequent of these go back to the documents in a table of
 fixed size; the others, of which none is frequent, meet their counts in a join.
 
-Neither tokenizer joins anything across a space that follows something else than white space.  Texts are therefore cut
-into units there; a unit is encoded and aligned once in each Python worker, and documents are put together from units.
+Texts go through both tokenizers whole; groups and links of many documents are then found together over flat arrays.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +28,10 @@ from pyspark.sql import functions as F
 from rategrid.llm.hashing import chunks
 from rategrid.llm.storage import stage
 
-UNITS = 100_000  # aligned units in a generation of a worker's cache
-UNIT_BYTES = 256  # longer units are not kept
 FREQUENT = 1 << 17  # irregular pairs whose counts are broadcast
 SPACE_SIGN = "▁"  # how the second tokenizer writes a space
 
 
-@dataclass
-class Unit:
-    """An aligned unit: ids of both sides, links by identity and irregular pairs with their numbers of occurrences."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    same: np.ndarray
-    same_n: np.ndarray
-    pairs: np.ndarray
-    pair_n: np.ndarray
-
-
 def _byte_of_sign() -> dict[str, int]:
     """Signs of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,6 +39,19 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Entries:
+    """Bytes of a vocabulary behind one another."""
+
+    def __init__(self, entries: list[bytes]) -> None:
+        self.sizes = np.array([len(x) for x in entries], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(entries), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The joined bytes of ``ids``."""
+        return self.data[_runs(self.first[ids], self.sizes[ids])]
+
+
 class Aligner:
     """Both tokenizers, the bytes of their entries and the map of identical ones."""
 
@@ -74,85 +70,17 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)
         ]
-        #: May texts be cut before spaces?  Not if an entry holds one after something else.
-        self.splits = not any(" " in x.lstrip(" ") for x in (p.replace(SPACE_SIGN, " ") for p in pieces))
         of_bytes: dict[bytes, int] = {}
         for i, p in enumerate(self.bytes_b):
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 of_bytes.setdefault(p, i)
         self.same = np.array([of_bytes.get(x, -1) if x else -1 for x in self.bytes_a], dtype=np.int64)
-        self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
-        self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
-        self.young: dict[bytes, Unit | None] = {}
-        self.old: dict[bytes, Unit | None] = {}
-
-    def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """First bytes of units: those of texts, and spaces behind a character that cannot be white space."""
-        begins = np.zeros(len(data) + 1, dtype=bool)
-        begins[offsets] = True
-        if self.splits and len(data) > 4:
-            space = np.flatnonzero(data == 32)
-            back = [data[np.maximum(space - i, 0)] for i in range(5)]
-            trail = [(x & 0xC0) == 0x80 for x in back]
-            solid = (back[1] > 32) & (back[1] < 127)
-            solid |= trail[1] & (back[2] >= 0xC3) & (back[2] < 0xE0)
-            solid |= trail[1] & trail[2] & (back[3] >= 0xE4) & (back[3] < 0xF0)
-            solid |= trail[1] & trail[2] & trail[3] & (back[4] >= 0xF0)
-            begins[space[solid]] = True
-        return np.flatnonzero(begins[:-1])
-
-    def aligned(self, ids_a: list[int], ids_b: list[int], body: bytes) -> Unit | None:
-        """Groups and links of one text; None if the second side's bytes are not the text's."""
-        if b"".join([self.bytes_b[i] for i in ids_b]) != body or b"".join([self.bytes_a[i] for i in ids_a]) != body:
-            return None
-        if not body:
-            none = np.zeros(0, dtype=np.int64)
-            return Unit(0, 0, 0, 0, "", none, none, none, none)
-        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        _, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = np.append(0, at_a + 1).tolist(), np.append(0, at_b + 1).tolist()
-        told, links = [], 0
-        same: dict[int, int] = {}
-        pairs: dict[int, int] = {}
-        for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):
-            told.append(",".join(map(str, ids_a[i:j])) + "|" + ",".join(map(str, ids_b[k:m])))
-            links += (j - i) * (m - k)
-            if j - i == 1 and m - k == 1 and self.same[ids_a[i]] == ids_b[k]:
-                same[ids_a[i]] = same.get(ids_a[i], 0) + 1
-                continue
-            times_a, times_b = (np.unique(x, return_counts=True) for x in (a[i:j], b[k:m]))
-            for x, c in zip(times_a[0].tolist(), times_a[1].tolist(), strict=True):
-                for y, d in zip(times_b[0].tolist(), times_b[1].tolist(), strict=True):
-                    if self.same[x] == y:
-                        same[x] = same.get(x, 0) + c * d
-                    else:
-                        pairs[x << 32 | y] = pairs.get(x << 32 | y, 0) + c * d
-        columns = [np.array(list(v), dtype=np.int64) for v in (same, same.values(), pairs, pairs.values())]
-        return Unit(len(a), len(b), len(cuts_a) - 1, links, ";".join(told), *columns)
-
-    def learn(self, units: list[bytes]) -> list[Unit | None]:
-        """The aligned units; new ones go to both tokenizers together."""
-        if len(self.young) > UNITS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = [u for u in units if u not in young and u not in old]
-        made = {}
-        if new:
-            texts = [u.decode("utf-8") for u in new]
-            side_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-            side_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # it puts the first space itself
-            made = {u: self.aligned(a.ids, b, u) for u, a, b in zip(new, side_a, side_b, strict=True)}
-        found = []
-        for u in units:
-            if u in made:
-                unit = made[u]
-            else:
-                unit = young[u] if u in young else old[u]
-            if len(u) <= UNIT_BYTES:
-                young[u] = unit
-            found.append(unit)
-        return found
+        self.entries_a, self.entries_b = Entries(self.bytes_a), Entries(self.bytes_b)
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides: A gets the space in front of a text, B puts it itself."""
+        side_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [x.ids for x in side_a], self.b.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -160,26 +88,89 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays behind one another, and the first place of each (with the end)."""
-    places = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum([len(p) for p in parts], dtype=np.int64)])
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)), places
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``starts[i], starts[i] + 1, ...``, ``sizes[i]`` of each, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum())), sizes
+
+
+def _given_back(entries: Entries, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts (``data`` at ``offsets``) are the joined bytes of their ids?"""
+    of_text = np.repeat(np.arange(len(sizes)), sizes)
+    spelled = np.bincount(of_text, weights=entries.sizes[ids], minlength=len(sizes)).astype(np.int64)
+    good = spelled == np.diff(offsets)
+    kept = good[of_text]
+    text = data[_runs(offsets[:-1][good], spelled[good])]
+    differ = np.flatnonzero(entries.spell(ids[kept]) != text)
+    good[np.repeat(np.flatnonzero(good), spelled[good])[differ]] = False
+    return good
+
+
+@dataclass
+class Groups:
+    """Groups of some texts in a row: first token of each on both sides (with the end), and the first group of each text."""
+
+    first_a: np.ndarray
+    first_b: np.ndarray
+    first: np.ndarray
+
+
+def _groups(tool: Aligner, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> Groups:
+    """Texts of equal bytes on both sides, cut where tokens of both end."""
+    end_a, end_b = np.cumsum(tool.entries_a.sizes[a]), np.cumsum(tool.entries_b.sizes[b])
+    marks = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, dtype=np.uint8)
+    marks[end_a] = 1
+    marks[end_b] += 1
+    last_a, last_b = np.flatnonzero(marks[end_a] == 2), np.flatnonzero(marks[end_b] == 2)
+    first_a, first_b = np.append(0, last_a + 1), np.append(0, last_b + 1)
+    return Groups(first_a, first_b, np.searchsorted(first_a, np.append(0, np.cumsum(sizes_a))))
+
+
+def _counted_in(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each group with their numbers; groups ascend."""
+    code, times = np.unique(group << 32 | ids, return_counts=True)
+    return code >> 32, code & 0xFFFFFFFF, times
+
+
+def _links(a: np.ndarray, b: np.ndarray, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, A id, B id and number of all links, in rows of distinct ids for each group."""
+    many_a, many_b = np.diff(groups.first_a), np.diff(groups.first_b)
+    of_text = np.repeat(np.arange(len(groups.first) - 1), np.diff(groups.first))
+    plain = (many_a == 1) & (many_b == 1)
+    one_a, one_b = a[groups.first_a[:-1][plain]], b[groups.first_b[:-1][plain]]
+    rough = np.flatnonzero(~plain)
+    group_a, id_a, times_a = _counted_in(np.repeat(rough, many_a[rough]), a[_runs(groups.first_a[rough], many_a[rough])])
+    group_b, id_b, times_b = _counted_in(np.repeat(rough, many_b[rough]), b[_runs(groups.first_b[rough], many_b[rough])])
+    lo, hi = np.searchsorted(group_b, group_a), np.searchsorted(group_b, group_a, side="right")
+    other = _runs(lo, hi - lo)
+    mine = np.repeat(np.arange(len(group_a)), hi - lo)
+    return (
+        np.concatenate([of_text[plain], of_text[group_a[mine]]]),
+        np.concatenate([one_a, id_a[mine]]),
+        np.concatenate([one_b, id_b[other]]),
+        np.concatenate([np.ones(len(one_a), dtype=np.int64), times_a[mine] * times_b[other]]),
+    )
+
+
+def _told(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The ids of each group, comma-joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids).cast(pa.string())), ",")
 
 
-def _tallied(docs: np.ndarray, units: np.ndarray, codes: tuple, times: tuple, n: int) -> tuple[pa.Array, pa.Array]:
-    """Distinct codes of each document with their occurrences, from the lists of its units."""
-    values, places = codes
-    sizes = np.diff(places)[units]
-    total = int(sizes.sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.repeat(places[units], sizes) + inside
-    doc, code, weight = np.repeat(docs, sizes), values[at], times[0][at]
-    order = np.lexsort((code, doc))
-    doc, code, weight = doc[order], code[order], weight[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]))[: len(doc)])
-    sums = np.add.reduceat(weight, first) if len(first) else weight
-    ends = np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(code[first])), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums))
+def _tallied(text: np.ndarray, code: np.ndarray, times: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct codes of each text with their numbers."""
+    order = np.lexsort((code, text))
+    text, code, times = text[order], code[order], times[order]
+    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (code[1:] != code[:-1]))[: len(text)])
+    sums = np.add.reduceat(times, first) if len(first) else times
+    ends = pa.array(np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(code[first])), pa.ListArray.from_arrays(ends, pa.array(sums))
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -207,44 +198,29 @@ def _aligning(path_a: str, path_b: str, with_groups: bool):
             spaced = pc.if_else(without, "", pc.binary_join_element_wise(" ", texts.fill_null(""), ""))
             for at, to, data, offsets in chunks(spaced):
                 n = to - at
-                begins = tool.units(data, offsets)
-                places = np.append(begins, len(data)).astype(np.int32)
-                every = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(data.tobytes())])
-                coded = every.dictionary_encode()
-                units = tool.learn(coded.dictionary.to_pylist())
-                index = coded.indices.to_numpy()
-                first = np.searchsorted(begins, offsets)
-                good = np.array([u is not None for u in units], dtype=bool)
-                doc = np.repeat(np.arange(n), np.diff(first))
-                bad = np.zeros(n, dtype=bool)
-                bad[doc[~good[index]]] = True
-                kept = ~bad[doc]
-                doc, index = doc[kept], index[kept]
-                columns = []
-                for c in _COUNTS:
-                    value = np.array([getattr(u, c) if u else 0 for u in units], dtype=np.int64)
-                    sums = np.bincount(doc, weights=value[index], minlength=n) if len(doc) else np.zeros(n)
-                    columns.append(pa.array(sums.astype(np.int64)))
-                told = [u.groups if u else "" for u in units]
-                names = []
-                ends = np.searchsorted(doc, np.arange(n + 1)).tolist()
-                order = index.tolist()
-                for lo, hi in zip(ends, ends[1:]):
-                    names.append(";".join([told[i] for i in order[lo:hi]]))
-                digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in names]
-                empty = np.zeros(0, dtype=np.int64)
-                flat = {c: _flat([getattr(u, c) if u else empty for u in units]) for c in _LISTS}
-                same = _tallied(doc, index, flat["same"], flat["same_n"], n)
-                pairs = _tallied(doc, index, flat["pairs"], flat["pair_n"], n)
+                ids_a, ids_b = tool.encode([x[1:] for x in spaced.slice(at, n).to_pylist()])
+                (a, sizes_a), (b, sizes_b) = _flat(ids_a), _flat(ids_b)
+                good = np.diff(offsets) > 0
+                good &= _given_back(tool.entries_a, a, sizes_a, data, offsets) & _given_back(tool.entries_b, b, sizes_b, data, offsets)
+                a, b = a[np.repeat(good, sizes_a)], b[np.repeat(good, sizes_b)]
+                sizes_a, sizes_b = np.where(good, sizes_a, 0), np.where(good, sizes_b, 0)
+                groups = _groups(tool, a, sizes_a, b, sizes_b)
+                text, id_a, id_b, times = _links(a, b, groups)
+                links = np.zeros(n, dtype=np.int64)
+                np.add.at(links, text, times)
+                told = pc.binary_join_element_wise(_told(a, groups.first_a), _told(b, groups.first_b), "|")
+                told = pc.binary_join(pa.ListArray.from_arrays(pa.array(groups.first.astype(np.int32)), told), ";")
+                digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in told.to_pylist()]
+                alike = tool.same[id_a] == id_b
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)),
                         batch.column(0).slice(at, n).cast(pa.int64()),
-                        *columns,
+                        *[pa.array(c.astype(np.int64)) for c in (sizes_a, sizes_b, np.diff(groups.first), links)],
                         pa.array(digests, pa.string()),
-                        pa.array(names if with_groups else [None] * n, pa.string()),
-                        *same,
-                        *pairs,
+                        told if with_groups else pa.nulls(n, pa.string()),
+                        *_tallied(text[alike], id_a[alike], times[alike], n),
+                        *_tallied(text[~alike], id_a[~alike] << 32 | id_b[~alike], times[~alike], n),
                     ],
                     schema=schema,
                 )
@@ -381,7 +357,7 @@ def align_tokenizers(
     ``groups_sha256``.  Repeated rows count as often as they come; a null ``doc_id`` stays null; an empty table gives no
     row.
     """
-    size = aligner(path_a, path_b).size_a.size
+    size = len(aligner(path_a, path_b).bytes_a)
     aligned = align_documents(docs, path_a, path_b, doc_id, text, groups=False)
     same, pairs = pair_counts(aligned, size)
     best = known_counts(same, pairs, size, frequent)
