@@ -9,9 +9,9 @@ of a partition.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rategrid.llm.hashing import chunks
 from rategrid.llm.storage import stage
 
 WINDOW = 2048
@@ -28,45 +29,27 @@ SHARD_TOKENS = 1 << 22
 QUERY_TERMS = 24
 NEIGHBOURS = 48
 K1, B = 1.2, 0.75
-CACHE = 250_000  # encoded pieces and words of a generation in each Python worker
+CACHE = 250_000  # encoded runs of a generation in each Python worker
+CHUNK = 1 << 21  # bytes whose runs are told apart together
+LOW = 0x300  # below it no character joins its neighbour when a text is normalised
 WORD_END = "</w>"
-_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-class Pieces:
-    """Encoded pieces in two generations: what is still asked for moves on when the older one is dropped."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-
-    def missing(self, pieces: Iterable[str]) -> list[str]:
-        """Pieces to encode anew; those of the older generation are young again afterwards."""
-        out = []
-        for p in pieces:
-            if p not in self.young:
-                if (known := self.old.get(p)) is None:
-                    out.append(p)
-                else:
-                    self.young[p] = known
-        return out
+LETTER, DIGIT, SIGN, BLANK, ODD = range(5)
+#: Fixed values of the tokenizer's pattern: letters that an apostrophe takes along.
+TAKEN = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
 class Encoder:
-    """Token ids of whole texts, with a cache of the pieces between blanks.
+    """Token ids of whole texts, from runs of one kind of characters.
 
-    The tokenizer drops white space and never joins across it, nor letters with signs, so a text is encoded piece by
-    piece and a piece of letters with ASCII signs behind them in two parts.  New words go through the tokenizer together;
-    each ends in a token that only ends words, which tells them apart.  Everything else is encoded on its own.
+    The tokenizer lowers a text and merges inside runs of letters, runs of signs and single digits only.  The runs of
+    many texts are found together over arrays of characters and told apart as a dictionary, so each distinct run is looked
+    up once, and new ones go through the tokenizer together: the last token of a run ends a word, which parts them.
+    Texts with characters from ``LOW`` on, whose normal form may depend on neighbours, and texts that may hold special
+    tokens are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,54 +58,134 @@ class Encoder:
         self.ends = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(WORD_END)
-        self.pieces, self.words = Pieces(CACHE), Pieces(CACHE)
-        self.signs: dict[str, bytes] = {"": b""}
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def _words(self, words: list[str]) -> None:
-        young, width = self.words.young, self.dtype.itemsize
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: two first bytes of a special token; texts that hold them are encoded as a whole
+        self.marks = sorted({t.content.encode()[:2] for t in added})
+        self.lower = np.arange(LOW, dtype=np.uint16)
+        self.kinds = np.array([self._kind(p) for p in range(LOW)], dtype=np.uint8)
+        cut = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("a'sb 12 !'s")]
+        self.plain = cut == ["a", "'s", "b", "1", "2", "!'", "s"] and all(len(m) == 2 for m in self.marks)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _kind(self, point: int) -> int:
+        """Kind of a character, whose lower form goes to ``lower``."""
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        made = self.tokenizer.normalizer.normalize_str(chr(point)) if self.tokenizer.normalizer else chr(point)
+        if len(made) != 1 or ord(made) >= LOW:
+            return ODD
+        self.lower[point] = ord(made)
+        if not cut(made):
+            return BLANK
+        if len(cut(made + made)) == 2:
+            return DIGIT
+        return LETTER if len(cut("a" + made)) == 1 else SIGN
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _together(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs, which are encoded as the words of one text."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), 4096):
+            some = [r.decode("utf-16-le") for r in runs[at : at + 4096]]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):  # a word that falls apart, or a tokenizer without word ends
-                young.update((w, self._one(w)) for w in some)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(stops) != len(some):  # a tokenizer without word ends
+                out += [self._one(r) for r in some]
                 continue
-            body, stops = ids.tobytes(), (ends * width).tolist()
-            young.update((w, body[a:b]) for w, a, b in zip(some, [0, *stops], stops))
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Make all ``pieces`` known to the young generation."""
-        new = self.pieces.missing(pieces)
-        split, young = [], self.pieces.young
-        for piece in new:
-            if found := _PLAIN.fullmatch(piece):
-                word = found[1]
-                split.append((piece, word.lower() if word.isascii() else word.translate(_LOWER), found[2]))
-            else:
-                young[piece] = self._one(piece) if piece else b""
-        self.words.turn()
-        self._words(self.words.missing(dict.fromkeys(w for _, w, _ in split)))
-        words, signs = self.words.young, self.signs
-        for piece, word, sign in split:
-            if (tail := signs.get(sign)) is None:
-                if len(signs) > 10_000:
-                    signs.clear()
-                tail = signs[sign] = self._one(sign) if sign else b""
-            young[piece] = words[word] + tail
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self.pieces.turn()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.pieces.young.get
-        found = [list(map(get, pieces)) for pieces in split]
-        open_texts = [i for i, f in enumerate(found) if None in f]
-        self.learn({p for i in open_texts for p, v in zip(split[i], found[i], strict=True) if v is None})
-        for i in open_texts:
-            found[i] = map(get, split[i])
-        return [b"".join(f) for f in found]
+            body = ids.tobytes()
+            out += [body[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        return out
+
+    def learn(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs (as UTF-16); what is asked for again outlives the older generation."""
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for run in runs:
+            if run not in young:
+                if (known := old.get(run)) is not None:
+                    young[run] = known
+                elif self.kinds[int.from_bytes(run[:2], "little")] == BLANK:
+                    young[run] = b""
+                else:
+                    new.append(run)
+        young.update(zip(new, self._together(new), strict=True))
+        return [young[run] for run in runs]
+
+    def _starts(self, points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+        """Flags of the characters that begin a run; ``breaks`` flags the first of each text."""
+        kinds = self.kinds[points]
+        start = breaks | (kinds == DIGIT)
+        start[1:] |= kinds[1:] != kinds[:-1]
+        marks = np.flatnonzero(start & (points == 39))
+        tail = np.concatenate([points, np.zeros(3, dtype=points.dtype)])
+        ends = np.concatenate([breaks, np.ones(3, dtype=bool)])
+        taken = []
+        for letters in TAKEN:
+            same = np.ones(len(marks), dtype=bool)
+            for i, letter in enumerate(letters, 1):
+                same &= (tail[marks + i] == ord(letter)) & ~ends[marks + i]
+            taken.append((marks[same], len(letters)))
+        for found, width in taken:
+            start[found + 1] = False
+            after = found + 1 + width
+            start[after[after < len(points)]] = True
+        return start
+
+    def _apart(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that are encoded as a whole."""
+        flags = data >= 0xCC  # lead bytes of characters from LOW on
+        for mark in self.marks:
+            flags[:-1] |= (data[:-1] == mark[0]) & (data[1:] == mark[1])
+        sums = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(flags)])
+        return sums[offsets[1:]] > sums[offsets[:-1]]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (``data`` at ``offsets``), and how many each has."""
+        n = len(offsets) - 1
+        alone = self._apart(data, offsets) if self.plain else np.ones(n, dtype=bool)
+        sizes = np.where(alone, 0, np.diff(offsets))
+        body = data[np.repeat(~alone, np.diff(offsets))]
+        first = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes)])
+        leads = (body & 0xC0) != 0x80
+        at = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(leads)])[first]  # first character of each text
+        points = np.frombuffer(body.tobytes().decode("utf-8").encode("utf-16-le"), dtype="<u2")
+        if (odd := np.flatnonzero(self.kinds[points] == ODD)).size:
+            late = np.zeros(n, dtype=bool)
+            late[np.searchsorted(at, odd, side="right") - 1] = True
+            alone |= late
+            points = points[np.repeat(~late, np.diff(at))]
+            at = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(np.where(late, 0, np.diff(at)))])
+        points = self.lower[points]
+        breaks = np.zeros(len(points) + 1, dtype=bool)
+        breaks[at] = True
+        begins = np.flatnonzero(self._starts(points, breaks[:-1]))
+        places = np.append(begins, len(points)).astype(np.int32) * 2
+        runs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(points.tobytes())])
+        coded = runs.dictionary_encode()
+        known = self.learn(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), dtype=self.dtype)
+        counts = np.array([len(k) for k in known], dtype=np.int64) // self.dtype.itemsize
+        which = coded.indices.to_numpy()
+        run_sizes = counts[which]
+        ids = flat[_places((np.cumsum(counts) - counts)[which], run_sizes)]
+        sums = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(run_sizes)])
+        each = np.diff(sums[np.searchsorted(begins, at)])
+        if not alone.any():
+            return ids, each
+        whole = {i: np.frombuffer(self._one(data[offsets[i] : offsets[i + 1]].tobytes().decode()), dtype=self.dtype) for i in np.flatnonzero(alone).tolist()}
+        ends = np.cumsum(each)
+        parts = [whole[i] if i in whole else ids[ends[i] - each[i] : ends[i]] for i in range(n)]
+        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...``, ``sizes[i]`` of each, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
 @lru_cache(maxsize=2)
@@ -135,19 +198,18 @@ def _encoding(path: str, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        tail = np.array([end], dtype=tool.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                bodies = [b + tail for b in tool.encode(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, 256).cast(pa.int64()),
-                        pa.array([len(b) // tool.dtype.itemsize for b in bodies], pa.int64()),
-                        pa.array(bodies, pa.binary()),
-                    ],
-                    schema=schema,
-                )
+            for at, to, data, offsets in chunks(batch.column(1), CHUNK):
+                ids, sizes = tool.encode(data, offsets)
+                body = np.full(len(ids) + len(sizes), end, dtype=tool.dtype)
+                ends = np.cumsum(sizes + 1)
+                kept = np.ones(len(body), dtype=bool)
+                kept[ends - 1] = False
+                body[kept] = ids
+                places = np.concatenate([np.zeros(1, dtype=np.int64), ends]).astype(np.int32) * tool.dtype.itemsize
+                bodies = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(places), pa.py_buffer(body)])
+                columns = [batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(sizes + 1, pa.int64()), bodies]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

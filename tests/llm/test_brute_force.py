@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rategrid.llm import components, decontaminate, language, neardup, packing, pii, rules, secrets, sharding, substrings
-from rategrid.llm.hashing import word_hashes
+from rategrid.llm.hashing import chunks, word_hashes
 from rategrid.llm.queries import QUERIES, word_tokenizer
 
 FOLDER = "/root/testdata/sf0.001"
@@ -194,8 +195,16 @@ def test_encoder_cache_equals_tokenizer():
 
     texts = ["It's a test, isn't it?", "tabs\tand\x1c odd blanks\r\nlines", "<|endoftext|> a<|startoftext|>b", "\x01 mark \x01\x01", "é ́x ΣΑΣ İ", ""]
     tool = Tokenizer.from_file(word_tokenizer())
-    made = packing.Encoder(word_tokenizer()).encode(texts)
-    assert [np.frombuffer(b, "<u2").tolist() for b in made] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    generator = random.Random(4)
+    signs = list("'strevlmdDS  \n\tab1!éÉ ª²½Ł\u0085\u0301字İ<|")
+    texts += ["".join(generator.choice(signs[: generator.choice([22, 30, len(signs)])]) for _ in range(generator.randint(0, 50))) for _ in range(4000)]
+    made = packing.Encoder(word_tokenizer())
+    for most in (64, packing.CHUNK):
+        found = []
+        for _, _, data, offsets in chunks(pa.array(texts), most):
+            ids, sizes = made.encode(data, offsets)
+            found += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert found == [tool.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_neighbours_share_rare_words():
