@@ -26,8 +26,6 @@ from rategrid.llm.storage import stage
 WINDOW = 2048
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
-QUERY_TERMS = 24
-NEIGHBOURS = 48
 K1, B = 1.2, 0.75
 CACHE = 250_000  # encoded runs of a generation in each Python worker
 CHUNK = 1 << 21  # bytes whose runs are told apart together
@@ -250,21 +248,18 @@ class Shard:
         length = sizes[self.doc] / mean
         self.score = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length))
         self.starts = np.searchsorted(self.term, np.arange(len(weight) + 1))
-        order = np.lexsort((-self.score, self.doc))
+        order = np.argsort(self.doc, kind="stable")
         self.by_doc = np.searchsorted(self.doc[order], np.arange(self.n + 1))
         self.terms_of = self.term[order]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's strongest terms, best first; ties by position."""
-        terms = self.terms_of[self.by_doc[seed] : self.by_doc[seed + 1]][:QUERY_TERMS]
-        parts = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        docs = np.concatenate([self.doc[p] for p in parts])
-        total = np.bincount(docs, weights=np.concatenate([self.score[p] for p in parts]), minlength=self.n)
-        total[~unused] = 0
-        most = min(NEIGHBOURS, self.n - 1)
-        best = np.argpartition(-total, most)[: most + 1] if most > 0 else np.arange(self.n)
-        best = best[total[best] > 0]
-        return best[np.lexsort((best, -total[best]))]
+        """All unused documents by BM25 for the seed's terms, best first; ties by position."""
+        terms = self.terms_of[self.by_doc[seed] : self.by_doc[seed + 1]]
+        starts = self.starts[terms]
+        at = _places(starts, self.starts[terms + 1] - starts)
+        total = np.bincount(self.doc[at], weights=self.score[at], minlength=self.n)
+        found = np.flatnonzero(unused & (total > 0))
+        return found[np.argsort(-total[found], kind="stable")]
 
 
 class Packer:
