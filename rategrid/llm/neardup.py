@@ -5,9 +5,10 @@ of retained values propose pairs, the sketch of the union estimates their simila
 
 Lists stay short without a cap.  Documents with equal sets are one class.  If two sketches share at least c values, they
 share one among the (size - c + 1) rarest of each, so only those enter the lists (see :func:`least_overlap`); what is
-left of a frequent value are documents made of it.  In a long list members are compared with one of them first; members
-that then belong together need no comparison among each other.  The rest meet pair by pair over lists of larger
-sketches, mostly whole sets, whose exact overlap bounds leave out documents that only share a passage.
+left of a frequent value are documents made of it.  Each document is compared with one hub of its lists first, then with more
+hubs from round to round; members that then belong together need no comparison among each other.  The rest meet pair by
+pair over lists of larger sketches, mostly whole sets, whose exact overlap bounds leave out documents that only share a
+passage.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rategrid.llm.components import components
 from rategrid.llm.hashing import Words, chunks, word_hashes
@@ -28,8 +31,9 @@ from rategrid.llm.text import digest, let
 SHINGLE = 5
 SKETCH = 64
 LARGE = 1024  # retained values where few-value sketches leave a pair open
+LEAST_YIELD = 8  # rounds with one hub go on while one of so many pairs links
+BREADTHS = (4, 16, 64, 256)  # hubs that a node meets in each of the next rounds; those still apart then meet all
 DEVIATIONS = 4.0  # a pair at the threshold shares fewer values than allowed for with probability 3e-5
-HUB_ROUNDS = 2
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -46,11 +50,11 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def _sketches(size: int, k: int):
-    schema = pa.schema(
-        [*[(c, pa.int64()) for c in ("doc_id", "m1", "m2", "n", "s1", "s2")], ("sketch", pa.list_(pa.int64()))]
-    )
+    numbers = [(c, pa.int64()) for c in ("row", "doc_id", "m1", "m2")]
+    schema = pa.schema([*numbers, ("text", pa.string()), *[(c, pa.int64()) for c in ("n", "s1", "s2")], ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column(3)):
                 counts, names, kept = [], [], []
@@ -63,9 +67,11 @@ def _sketches(size: int, k: int):
                 sketch = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(kept)))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(row, row + to - at)),
                         batch.column(0).slice(at, to - at).cast(pa.int64()),
                         batch.column(1).slice(at, to - at),
                         batch.column(2).slice(at, to - at),
+                        batch.column(3).slice(at, to - at).cast(pa.string()),
                         pa.array(counts, pa.int64()),
                         pa.array(name[:, 0].copy()),
                         pa.array(name[:, 1].copy()),
@@ -73,6 +79,7 @@ def _sketches(size: int, k: int):
                     ],
                     schema=schema,
                 )
+                row += to - at
 
     return run
 
@@ -151,17 +158,14 @@ def _passes(a: Column, b: Column, n: Column, m: Column, percent: int, k: int) ->
     return let(F.sort_array(F.array_union(a, b)), overlap) >= least_overlap(F.greatest(n, m), percent, k)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int, best: bool) -> DataFrame:
-    """Links ``a, b`` among ``pairs``.  With ``best`` only the most similar partner of each ``a`` goes on."""
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links ``a, b`` among ``pairs``."""
     sketch = classes.select("node", "n", "sketch")
     left = sketch.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketch.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     near = pairs.join(right, "b").join(left, "a")
     sized = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     near = near.filter(sized & _passes(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent, k))
-    near = near.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("score"))
-    if best:
-        near = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     near = near.select("a", "b")
     full = near.join(sets.select(F.col("node").alias("b"), F.col("values").alias("v_b")), "b")
     full = full.join(sets.select(F.col("node").alias("a"), F.col("values").alias("v_a")), "a")
@@ -204,21 +208,32 @@ def _sided(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "rank", "comp")])
 
 
-def _hub_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int, first: bool) -> DataFrame:
-    """Each list's members beside its hub, if they are still apart and can be linked.
+def _top(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each key; the engine takes them before the shuffle as well."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
+def _hub_pairs(lists: DataFrame, labels: DataFrame, tried: DataFrame | None, percent: int, k: int, breadth: int) -> DataFrame:
+    """Each node beside ``breadth`` hubs at most, if they are still apart and can be linked.
 
-    The hub is the member whose values are the most frequent: the origin of many copies, rather than one of them.  After
-    the first round it is taken from outside the largest component.
+    Hubs of a list are the members whose values are the most frequent: the origin of many copies, rather than one of
+    them.  Of the hubs of all its lists a node meets those that are hubs in most of them, and none twice.  After the
+    first round only members outside the largest component of a list look for one.
     """
     named = lists.join(labels, "node")
-    able = named
-    if not first:
-        able = named.join(_main(named, ["v", "band"]), ["v", "band"]).filter("comp <> main")
-    best = F.struct("weight", F.xxhash64("node").alias("o"), "node", "n", "rank", "comp")
-    hubs = able.groupBy("v", "band").agg(F.max(best).alias("h")).select("v", "band", "h.node", "h.n", "h.rank", "h.comp")
+    looking = named
+    if tried is not None:
+        split = stage(named.join(_main(named, ["v", "band"]), ["v", "band"]), "neardup-split")
+        named, looking = split.drop("main"), split.filter("comp <> main").drop("main")
+    hubs = _top(named, ["v", "band"], [F.desc("weight"), F.xxhash64("node"), F.col("node")], breadth)
     hubs = stage(_sided(hubs, ["v", "band"], "b"), "neardup-hubs")
-    met = _sided(named, ["v", "band"], "a").join(hubs, ["v", "band"]).filter(_possible(percent, k))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = _sided(looking, ["v", "band"], "a").join(hubs, ["v", "band"]).filter(_possible(percent, k))
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    nearest = _top(met, ["a"], [F.desc("lists"), F.xxhash64("b"), F.col("b")], breadth)
+    return stage(nearest.select("a", "b"), "neardup-met")
 
 
 def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> DataFrame:
@@ -243,22 +258,36 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, k: int) -> Da
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def linked_classes(classes: DataFrame, sets_of, percent: int, k: int, rounds: int = HUB_ROUNDS) -> DataFrame:
+def linked_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
     """``node, comp`` of every class that shares an indexed value with another."""
     lists = stage(inverted_lists(classes, percent, k), "neardup-lists")
     labels = stage(lists.select("node").distinct().withColumn("comp", F.col("node")), "neardup-labels")
     sets = sets_of(labels.select("node"))
-    for turn in range(rounds):
-        pairs = _hub_pairs(lists, labels, percent, k, first=turn == 0)
-        labels = _relabel(labels, _verified(pairs, classes, sets, percent, k, best=True))
-    # what is still apart meets pair by pair, over lists of larger sketches: nearly all of them whole sets
+    tried = None
+    met = linked = 1
+    while linked * LEAST_YIELD >= met:  # one hub for each node and round
+        pairs = _hub_pairs(lists, labels, tried, percent, k, 1)
+        links = stage(_verified(pairs, classes, sets, percent, k), "neardup-links")
+        met, linked = pairs.count(), links.count()
+        labels = _relabel(labels, links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not met:
+            break
+    # what is still apart goes on over lists of larger sketches, nearly all of them whole sets, with more hubs each time
     named = lists.join(labels, "node").withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     open_nodes = named.join(_main(named, ["v", "block"]), ["v", "block"]).select("node").distinct()
     large = sets.join(open_nodes, "node", "left_semi")
     large = large.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, LARGE).alias("sketch"))
     longer = stage(inverted_lists(large, percent, LARGE), "neardup-lists")
-    pairs = stage(_open_pairs(longer, labels, percent, LARGE), "neardup-pairs")
-    return _relabel(labels, _verified(pairs, classes, sets, percent, k, best=False))
+    for breadth in BREADTHS:
+        pairs = _hub_pairs(longer, labels, tried, percent, LARGE, breadth)
+        if pairs.isEmpty():
+            break
+        labels = _relabel(labels, _verified(pairs, classes, sets, percent, k))
+        tried = tried.unionByName(pairs)
+    # and at last pair by pair, whatever their number
+    pairs = stage(_open_pairs(longer, labels, percent, LARGE).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
+    return _relabel(labels, _verified(pairs, classes, sets, percent, k))
 
 
 def marked_duplicates(
@@ -267,19 +296,17 @@ def marked_duplicates(
     """:func:`near_duplicates` with ``m1, m2``, the digest of the text, which tells rows of one id or of none apart."""
     m1, m2 = digest(F.col(text))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), m1.alias("m1"), m2.alias("m2"), F.col(text).alias("text"))
-    rows = base.mapInArrow(_sketches(shingle, k), "doc_id long, m1 long, m2 long, n long, s1 long, s2 long, sketch array<long>")
-    rows = stage(rows, "neardup-sketches")
+    columns = "row long, doc_id long, m1 long, m2 long, text string, n long, s1 long, s2 long, sketch array<long>"
+    rows = stage(base.mapInArrow(_sketches(shingle, k), columns), "neardup-sketches")
     # equal sets are one class; partial aggregation meets copies before the shuffle
     first = [F.first(c).alias(c) for c in ("n", "sketch")]
-    one = F.min(F.struct("doc_id", "m1", "m2")).alias("of")
-    grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), *first, one)
-    classes = stage(grouped, "neardup-classes").withColumn("node", F.monotonically_increasing_id())
+    one = [F.min("row").alias("row"), F.min(F.struct("doc_id", "m1", "m2")).alias("of")]
+    grouped = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least_id"), *first, *one)
+    classes = stage(grouped, "neardup-classes").withColumn("node", F.col("row"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.select("node", "of").join(nodes, "node", "left_semi")
-        wanted = wanted.select("node", *[F.col(f"of.{c}").alias(f"of_{c}") for c in ("doc_id", "m1", "m2")])
-        same = (base["m1"] == wanted["of_m1"]) & (base["m2"] == wanted["of_m2"])
-        texts = base.join(wanted, base["doc_id"].eqNullSafe(wanted["of_doc_id"]) & same).select("node", "text")
+        """One set for each node, whose number is that of one of its rows."""
+        texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
         return stage(texts.mapInArrow(_full_sets(shingle), "node long, values array<long>"), "neardup-sets")
 
     labels = linked_classes(classes, sets_of, percent, k)

@@ -285,3 +285,37 @@ def test_rules_count_like_python(spark):
         seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         repeated = {p for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for p in range(i, i + 5)}
         assert (r["n_words"], r["n_repeat_words"], r["word_chars"]) == (len(w), len(repeated), sum(map(len, w)))
+
+
+def test_repeated_rows_are_one_set(spark, monkeypatch):
+    """300 copies of a row and 300 of a near copy are two classes, two sets and one pair."""
+    written = {}
+
+    def stage(df, name, real=neardup.stage):
+        out = real(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", stage)
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a)] * 300 + [(2, a + " more")] * 300
+    made = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id", "kept").count()
+    assert {tuple(r) for r in made.collect()} == {(1, 1, True, 300), (2, 1, False, 300)}
+    assert written["neardup-sets"] == [2] and max(written["neardup-met"]) <= 2
+
+
+def test_outliers_of_a_large_group(spark):
+    """Variants of one text, many of which reach the group only through some other member."""
+    generator = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(250):
+        words = list(base)
+        for at in generator.sample(range(120), generator.randint(0, 8)):
+            words[at] = f"x{generator.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(116)} for w in (t.split() for t in texts)]
+    linked = [(i, j) for i, j in combinations(range(250), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = groups(linked, range(250))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == want
