@@ -372,6 +372,20 @@ def tripartite_information(t: Tables) -> DataFrame:
     return gf2.tripartite_information(_sign_spaces(t), KEY)
 
 
+ALL_ARCS = f"""SELECT CAST(start * 100 + ell AS INTEGER) AS id, ell AS size,
+    {_both("list_sum(list_transform(range(0, ell), lambda j: CAST(1 AS HUGEINT) << CAST((start + j) % 32 AS HUGEINT)))")} AS mask
+  FROM (SELECT unnest(range(0, 32)) AS start), (SELECT unnest(range(1, 17)) AS ell)"""
+
+
+@query(
+    "entropy_profile_all_starts",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_masked_sql(ALL_ARCS)}
+        SELECT sample_seed, CAST(id // 100 AS INTEGER) AS start, CAST(id % 100 AS INTEGER) AS ell, s FROM entropy""",
+)
+def entropy_profile_all_starts(t: Tables) -> DataFrame:
+    return gf2.entropy_profiles(_sign_spaces(t), KEY)
+
+
 STRIDE_MASKS = f"""SELECT m * 32 + o AS id, len(qs) AS size, {_both("list_sum(list_transform(qs, lambda q: CAST(1 AS HUGEINT) << CAST(q AS HUGEINT)))")} AS mask
   FROM (SELECT CAST(m AS INTEGER) AS m, CAST(o AS INTEGER) AS o, range(o, 32, m) AS qs FROM (SELECT unnest([2, 3, 5, 8]) AS m), (SELECT unnest(range(0, 8)) AS o) WHERE o < m)"""
 
@@ -434,6 +448,17 @@ def contiguous_distance(t: Tables) -> DataFrame:
     return dist.contiguous_distance(_sign_spaces(t), KEY).select("sample_seed", "k", "d_cont")
 
 
+@query(
+    "contiguous_distance_all_starts",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_rank_sql('vectors').replace('elim', 'elim0').replace('ranks', 'ranks0')}, {_arc_pairs_sql()},
+        best AS (SELECT sample_seed, min(struct_pack(len := len, start := start)) AS b FROM info GROUP BY 1)
+        SELECT sample_seed, CAST(k AS INTEGER) AS k, CAST(CASE WHEN k = 0 THEN 0 ELSE coalesce(b.len, 32) END AS INTEGER) AS d_cont,
+               CAST(CASE WHEN k <> 0 THEN coalesce(b.start, 0) END AS INTEGER) AS start FROM total LEFT JOIN best USING (sample_seed)""",
+)
+def contiguous_distance_all_starts(t: Tables) -> DataFrame:
+    return dist.shortest_arc(_sign_spaces(t), KEY)
+
+
 # A set carries information exactly if more vectors on it lie in the row space than are
 # orthogonal to it (plain dot product).
 SMALL_SETS_SQL = """places AS (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS q),
@@ -518,6 +543,45 @@ def logical_weights_depth2(t: Tables) -> DataFrame:
     return dist.logical_weights(_matrix_spaces(t), KEY, max_exhaustive=2)
 
 
+# Residuals of single columns modulo the rows and their clashes add up over sets, so halves of a set meet by residual.
+HALVES_SQL = """types AS (SELECT * FROM (VALUES ('x'), ('y'), ('z')) AS t(i)),
+single AS (SELECT i, q, CASE i WHEN 'x' THEN m WHEN 'z' THEN m << CAST(32 AS HUGEINT) ELSE m + (m << CAST(32 AS HUGEINT)) END AS w,
+    CASE i WHEN 'z' THEN m WHEN 'x' THEN m << CAST(32 AS HUGEINT) ELSE m + (m << CAST(32 AS HUGEINT)) END AS dual
+  FROM (SELECT q, CAST(1 AS HUGEINT) << CAST(q AS HUGEINT) AS m FROM (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS q)), types),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY sample_seed ORDER BY piv) - 1 AS j FROM rref),
+one AS (SELECT sample_seed, i, q, xor(any_value(s.w), bit_xor(CASE WHEN (s.w >> CAST(piv AS HUGEINT)) & 1 = 1 THEN n.w ELSE CAST(0 AS HUGEINT) END)) AS rest,
+    CAST(sum(CASE WHEN bit_count(n.w & dual) % 2 = 1 THEN CAST(1 AS HUGEINT) << CAST(j AS HUGEINT) ELSE 0 END) AS HUGEINT) AS clash
+  FROM numbered n, single s GROUP BY 1, 2, 3),
+half AS (SELECT DISTINCT sample_seed, i, 0 AS size, CAST(0 AS HUGEINT) AS rest, CAST(0 AS HUGEINT) AS clash FROM one
+  UNION ALL SELECT sample_seed, i, 1, rest, clash FROM one
+  UNION ALL SELECT a.sample_seed, a.i, 2, xor(a.rest, b.rest), xor(a.clash, b.clash) FROM one a JOIN one b ON a.sample_seed = b.sample_seed AND a.i = b.i AND a.q < b.q),
+halved AS (SELECT DISTINCT * FROM half),
+operators AS (SELECT a.sample_seed, a.i, min(a.size + b.size) AS d FROM halved a JOIN halved b
+    ON a.sample_seed = b.sample_seed AND a.i = b.i AND a.rest = b.rest AND a.clash <> b.clash AND a.size >= b.size AND a.size - b.size <= 1 GROUP BY 1, 2),
+sizes AS (SELECT d.sample_seed, (SELECT count(*) FROM rref WHERE rref.sample_seed = d.sample_seed) - 32 AS k FROM dims d),
+wide AS (SELECT sample_seed, any_value(k) AS k, coalesce(max(CASE WHEN i = 'x' THEN d END), 33) AS dx, coalesce(max(CASE WHEN i = 'y' THEN d END), 33) AS dy,
+    coalesce(max(CASE WHEN i = 'z' THEN d END), 33) AS dz FROM sizes LEFT JOIN operators USING (sample_seed) GROUP BY 1)"""
+
+
+def _logical_sql(rows: str) -> str:
+    return f"""WITH RECURSIVE {rows}, {RREF_SQL}, {HALVES_SQL}
+        SELECT sample_seed, CAST(CASE WHEN k = 0 THEN 0 ELSE dx END AS INTEGER) AS d_logical_x, CAST(CASE WHEN k = 0 THEN 0 ELSE dy END AS INTEGER) AS d_logical_y,
+        CAST(CASE WHEN k = 0 THEN 0 ELSE dz END AS INTEGER) AS d_logical_z, CAST(CASE WHEN k = 0 THEN 0 ELSE least(dx, dy, dz) END AS INTEGER) AS d_logical_min,
+        CAST(CASE WHEN k = 0 THEN 0 ELSE 4 END AS INTEGER) AS search_depth,
+        CASE WHEN k = 0 THEN 'trivial (k=0)' ELSE 'exhaustive_leq_4' END AS method FROM wide"""
+
+
+@query("logical_weights", _logical_sql(MATRIX_ROWS_SQL))
+def logical_weights(t: Tables) -> DataFrame:
+    """Lightest operators of all matrices at the default depth."""
+    return dist.logical_weights(_matrix_spaces(t), KEY)
+
+
+@query("logical_weights_signs", _logical_sql(V.SIGNS_SQL + ", dims AS (SELECT DISTINCT sample_seed FROM vectors)"))
+def logical_weights_signs(t: Tables) -> DataFrame:
+    return dist.logical_weights(_sign_spaces(t), KEY)
+
+
 @query("logical_weights_bounded")
 def logical_weights_bounded(t: Tables) -> DataFrame:
     spaces = _matrix_spaces(t)

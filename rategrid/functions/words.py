@@ -108,3 +108,37 @@ class RowSpace:
     def informative(self, members: Sequence[int]) -> bool:
         """S(A) + k - S(rest) > 0, which equals rank of A in the basis exceeding its dual rank."""
         return self.rank(self.primal, members) > self.rank(self.dual, members)
+
+    def arc_ranks(self, columns: list[int]) -> np.ndarray:
+        """Ranks of all arcs of the ring: entry (start, length - 1).
+
+        Columns enter in the order of the ring, twice around, and the basis keeps the latest column for each pivot: the
+        vectors that entered since a start are then as many as the arc from there has rank.
+        """
+        n = self.n
+        ranks = np.zeros((n, n), dtype=np.int32)
+        latest: dict[int, tuple[int, int]] = {}
+        for end in range(2 * n - 1):
+            for vector in (columns[end % n], columns[n + end % n]):
+                insert_latest(latest, vector, end)
+            entered = np.array([time for _, time in latest.values()], dtype=np.int64)
+            since = np.bincount(end - entered[entered > end - n], minlength=n).cumsum()  # by length - 1
+            first = max(0, end - n + 1)
+            starts = np.arange(first, min(end, n - 1) + 1)
+            ranks[starts, end - starts] = since[end - starts]
+        return ranks
+
+
+def insert_latest(basis: dict[int, tuple[int, int]], vector: int, time: int) -> None:
+    """Reduce ``vector`` into a basis that holds, for each pivot, the vector that entered last."""
+    while vector:
+        pivot = vector & -vector
+        held = basis.get(pivot)
+        if held is None:
+            basis[pivot] = (vector, time)
+            return
+        if held[1] < time:
+            basis[pivot] = (vector, time)
+            vector, time = vector ^ held[0], held[1]
+        else:
+            vector ^= held[0]

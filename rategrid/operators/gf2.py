@@ -199,6 +199,24 @@ def entropy_profile(spaces: DataFrame, keys: Sequence[str], start: int = 0) -> D
     return spaces.select(*keys, F.inline(profile))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def arc_ranks(rref: pd.Series, n_cols: pd.Series) -> pd.Series:
+    """Per start on the ring, the ranks of its arcs of length 1, 2, ..., n."""
+    out = []
+    for rows, n in zip(rref, n_cols):
+        space = RowSpace(rows, int(n))
+        out.append(space.arc_ranks(space.primal).tolist())
+    return pd.Series(out)
+
+
+def entropy_profiles(spaces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`entropy_profile` from every start: ``start, ell, s``, all from one pass over the columns of a matrix."""
+    half = F.floor(F.col("n_cols") / 2).cast("int")
+    starts = spaces.select(*keys, half.alias("_half"), F.posexplode(arc_ranks("rref", "n_cols")).alias("start", "_ranks"))
+    profile = F.transform(F.slice("_ranks", 1, F.col("_half")), lambda r, i: F.struct((i + 1).alias("ell"), (r - i - 1).alias("s")))
+    return starts.select(*keys, "start", F.inline(profile))
+
+
 # ------------------------------------------------------------------ membership
 
 

@@ -270,6 +270,63 @@ def test_logical_weights_match_brute_force(tables):
     assert depths == {1}
 
 
+def test_logical_weights_beyond_four_columns(spark):
+    """Half sets of three columns, and a search that ends where no operator is found."""
+    made = {str(seed): scrambled(6, 60, measured, seed) for seed, measured in ((1, 4), (2, 5), (3, 3))}
+    rows = [(m, r, q, int(x[r, q]), int(z[r, q])) for m, (x, z) in made.items() for r in range(12) for q in range(6) if x[r, q] or z[r, q]]
+    entries = spark.createDataFrame(rows, "m string, r int, q int, x int, z int")
+    dims = spark.createDataFrame([(m, 6) for m in made], "m string, n_cols int")
+    spaces = gf2.row_spaces(inc.pack_rows(entries, KEY, 6), dims, KEY)
+    for limit in (1, 2, 5, 6):
+        got = collect(dist.logical_weights(spaces, KEY, max_exhaustive=limit))
+        for m, (x, z) in made.items():
+            assert [got[m][f"d_logical_{t}"] for t in "xyz"] == brute_logical(x, z, limit), (m, limit)
+
+
+def test_half_sets_of_one_matrix_spread(spark):
+    """Pairs of one matrix's columns are formed in many tasks."""
+    columns = spark.range(128).select(
+        F.lit("m").alias("m"), F.lit("x").alias("kind"), F.lit(4).alias("search_depth"), F.col("id").cast("int").alias("q"),
+        F.array(F.xxhash64("id"), F.lit(0).cast("long")).alias("s"), F.array(F.col("id"), F.lit(0).cast("long")).alias("c"),
+    )
+    halves = dist.Halves(KEY, 2, 32)
+    single = halves.single(columns)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = halves.grown(single, single).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert sum(r["count"] for r in made) == 128 * 127 // 2
+    assert len(made) >= 25 and max(r["count"] for r in made) < 1200
+
+
+def test_all_arcs_match_single_ones(tables):
+    for m, rows in gather(gf2.entropy_profiles(tables[2], KEY)).items():
+        x, z = MATRICES[m]
+        n = x.shape[1]
+        assert len(rows) == n * (n // 2)
+        for r in rows:
+            assert r["s"] == entropy(x, z, [(r["start"] + i) % n for i in range(r["ell"])]), (m, r)
+    for m, (r,) in gather(dist.shortest_arc(tables[2], KEY)).items():
+        x, z = MATRICES[m]
+        n = x.shape[1]
+        arcs = [(d, s) for d in range(1, n) for s in range(n) if has_info(x, z, [(s + i) % n for i in range(d)])]
+        want = (0, None) if r["k"] == 0 else min(arcs, default=(n, 0))
+        assert (r["d_cont"], r["start"]) == want, m
+
+
+def gather(frame):
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r["m"], []).append(r)
+    return out
+
+
 def test_many_rows_per_matrix(spark):
     """One matrix with far more rows than columns, spread over partitions."""
     rows = spark.range(0, 20_000, 1, 16).select(
