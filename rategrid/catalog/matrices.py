@@ -495,6 +495,35 @@ def distances_matrices(t: Tables) -> DataFrame:
     return dist.distances(_matrix_spaces(t), KEY)
 
 
+# Three vectors live on one column; a vector on a set is a sum of one or none for each of its columns.
+SETS_SQL = """letters AS (SELECT q, code, CASE code WHEN 0 THEN CAST(0 AS HUGEINT) WHEN 1 THEN m WHEN 2 THEN m << CAST(32 AS HUGEINT) ELSE m + (m << CAST(32 AS HUGEINT)) END AS w
+  FROM (SELECT q, CAST(1 AS HUGEINT) << CAST(q AS HUGEINT) AS m FROM (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS q)), (SELECT unnest(range(0, 4)) AS code)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_seed ORDER BY piv) - 1 AS j FROM rref),
+letter AS (SELECT sample_seed, q, code, xor(any_value(l.w), bit_xor(CASE WHEN (l.w >> CAST(piv AS HUGEINT)) & 1 = 1 THEN r.w ELSE CAST(0 AS HUGEINT) END)) AS rest,
+    CAST(sum(CASE WHEN bit_count(r.w & l.w) % 2 = 1 THEN CAST(1 AS HUGEINT) << CAST(j AS HUGEINT) ELSE 0 END) AS HUGEINT) AS dots
+  FROM ranked r, letters l GROUP BY 1, 2, 3),
+ones AS (SELECT sample_seed, [q] AS members FROM letter WHERE code > 0 GROUP BY sample_seed, q HAVING count(*) FILTER (rest = 0) > count(*) FILTER (dots = 0)),
+twos AS (SELECT a.sample_seed, [a.q, b.q] AS members FROM letter a JOIN letter b ON a.sample_seed = b.sample_seed AND a.q < b.q
+  GROUP BY a.sample_seed, a.q, b.q HAVING count(*) FILTER (a.rest = b.rest) > count(*) FILTER (a.dots = b.dots)),
+open AS (SELECT DISTINCT sample_seed FROM letter WHERE sample_seed NOT IN (SELECT sample_seed FROM ones UNION SELECT sample_seed FROM twos)),
+threes AS (SELECT a.sample_seed, [a.q, b.q, c.q] AS members FROM letter a JOIN open o ON o.sample_seed = a.sample_seed
+  JOIN letter b ON a.sample_seed = b.sample_seed AND a.q < b.q JOIN letter c ON c.sample_seed = b.sample_seed AND b.q < c.q
+  GROUP BY a.sample_seed, a.q, b.q, c.q HAVING count(*) FILTER (xor(a.rest, b.rest) = c.rest) > count(*) FILTER (xor(a.dots, b.dots) = c.dots)),
+found AS (SELECT sample_seed, min(struct_pack(size := len(members), members := members)) AS x
+  FROM (SELECT * FROM ones UNION ALL SELECT * FROM twos UNION ALL SELECT * FROM threes) GROUP BY 1)
+SELECT d.sample_seed, CAST(x.size AS INTEGER) AS size, x.members AS members FROM dims d LEFT JOIN found USING (sample_seed)"""
+
+
+@query("smallest_sets_signs", f"WITH RECURSIVE {V.SIGNS_SQL}, dims AS (SELECT DISTINCT sample_seed FROM vectors), {RREF_SQL}, {SETS_SQL}")
+def smallest_sets_signs(t: Tables) -> DataFrame:
+    return dist.smallest_sets(_sign_spaces(t), KEY)
+
+
+@query("smallest_sets_matrices", f"WITH RECURSIVE {MATRIX_ROWS_SQL}, {RREF_SQL}, {SETS_SQL}")
+def smallest_sets_matrices(t: Tables) -> DataFrame:
+    return dist.smallest_sets(_matrix_spaces(t), KEY)
+
+
 # ---------------------------------------------------------------- span membership and pure-type operators
 
 SPAN_SQL = """cand AS (SELECT DISTINCT 3 * q + i AS v, (CASE WHEN vx = 1 THEN CAST(1 AS HUGEINT) << CAST(q AS HUGEINT) ELSE 0 END)

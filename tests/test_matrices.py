@@ -229,6 +229,22 @@ def test_distances_match_brute_force(tables, limit):
     assert (got["initial"]["d_cont"], got["initial"]["d_min"]) == (1, 1)
 
 
+def test_smallest_sets(tables):
+    """The first informative set in lexicographic order, and sets of the distances table that lose it with any column."""
+    for m, (r,) in gather(dist.smallest_sets(tables[2], KEY, max_size=3)).items():
+        x, z = MATRICES[m]
+        n = x.shape[1]
+        all_sets = (list(a) for size in range(1, 4) for a in combinations(range(n), size))
+        want = next((a for a in all_sets if has_info(x, z, a)), None)
+        assert r["members"] == want and r["size"] == (len(want) if want else None), m
+    for m, (r,) in gather(dist.distances(tables[2], KEY)).items():
+        x, z = MATRICES[m]
+        found = r["d_min_set"]
+        assert len(found) == r["d_min"], m
+        if found and len(found) < x.shape[1]:
+            assert has_info(x, z, found), m
+
+
 def test_large_distance_uses_shrinking(spark):
     """A four-column repetition-like code: one logical pair spread over the ring."""
     n = 12
@@ -238,6 +254,8 @@ def test_large_distance_uses_shrinking(spark):
     entries = spark.createDataFrame(rows, "m string, r int, q int, x int, z int")
     row = dist.distances(gf2.row_spaces(inc.pack_rows(entries, KEY, n), dims, KEY), KEY).first()
     assert (row["d_cont"], row["d_min"]) == brute_distances(x, z, 3)
+    assert has_info(x, z, row["d_min_set"]) and len(row["d_min_set"]) == row["d_min"]
+    assert not any(has_info(x, z, [q for q in row["d_min_set"] if q != gone]) for gone in row["d_min_set"])
 
 
 def brute_logical(x, z, limit):
