@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rategrid.llm.components import components
-from rategrid.llm.hashing import Words, chunks, word_hashes
+from rategrid.llm.hashing import Words, chunks, give_back, word_hashes
 from rategrid.llm.storage import stage
 from rategrid.llm.text import digest, let
 
@@ -80,6 +80,7 @@ def _sketches(size: int, k: int):
                     schema=schema,
                 )
                 row += to - at
+        give_back()
 
     return run
 
@@ -94,6 +95,7 @@ def _full_sets(size: int):
                 places = np.concatenate([[0], np.cumsum([len(v) for v in kept])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(kept)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), values], schema=schema)
+        give_back()
 
     return run
 

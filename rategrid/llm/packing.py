@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.llm.hashing import chunks
+from rategrid.llm.hashing import chunks, give_back
 from rategrid.llm.storage import stage
 
 WINDOW = 2048
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
-CACHE = 250_000  # encoded runs of a generation in each Python worker
-CHUNK = 1 << 21  # bytes whose runs are told apart together
+CACHE = 120_000  # encoded runs of a generation in each Python worker
+CHUNK = 1 << 20  # bytes whose runs are told apart together
 LOW = 0x300  # below it no character joins its neighbour when a text is normalised
 WORD_END = "</w>"
 LETTER, DIGIT, SIGN, BLANK, ODD = range(5)
@@ -208,6 +208,7 @@ def _encoding(path: str, end: int):
                 bodies = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(places), pa.py_buffer(body)])
                 columns = [batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(sizes + 1, pa.int64()), bodies]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return run
 
