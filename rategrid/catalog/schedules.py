@@ -46,11 +46,11 @@ def canonical_edges(t: Tables) -> DataFrame:
 ROUNDS_SQL = """rounds AS (SELECT n, round, i, CAST(least(a, b) AS INTEGER) AS u, CAST(greatest(a, b) AS INTEGER) AS v FROM (
    SELECT n, round, i, CASE WHEN i = 0 THEN n - 1 ELSE (round + i) % (n - 1) END AS a,
           CASE WHEN i = 0 THEN round ELSE (round - i + n - 1) % (n - 1) END AS b
-   FROM (SELECT n, CAST(unnest(range(0, n - 1)) AS INTEGER) AS round FROM sizes WHERE n % 2 = 0),
-        (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS i) WHERE i < n // 2))"""
+   FROM (SELECT n, round, CAST(unnest(range(0, n // 2)) AS INTEGER) AS i
+         FROM (SELECT n, CAST(unnest(range(0, n - 1)) AS INTEGER) AS round FROM sizes WHERE n % 2 = 0))))"""
 CYCLE_ROUNDS_SQL = """rounds AS (SELECT n, round, i, least(a, (a + 1) % n) AS u, greatest(a, (a + 1) % n) AS v FROM (
-   SELECT n, round, i, 2 * i + round AS a FROM sizes, (VALUES (0), (1)) AS r(round), (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS i)
-   WHERE n % 2 = 0 AND i < n // 2))"""
+   SELECT n, round, i, 2 * i + round AS a FROM (VALUES (0), (1)) AS r(round),
+          (SELECT n, CAST(unnest(range(0, n // 2)) AS INTEGER) AS i FROM sizes WHERE n % 2 = 0)))"""
 
 
 @query("cycle_rounds", f"WITH {SIZES_SQL}, {CYCLE_ROUNDS_SQL} SELECT * FROM rounds")

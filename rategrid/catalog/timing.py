@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.catalog import views as V
-from rategrid.catalog.base import Tables, query, tie_offset
+from rategrid.catalog.base import Tables, query
 from rategrid.operators import cellstats, timings
 
 ROLL_SQL = V.TIMINGS_SQL + """, cells AS (
@@ -109,22 +109,25 @@ def heat_map_matrix(t: Tables) -> DataFrame:
     return timings.matrix(_cells(t), "Pk", RATES, by=["model"])
 
 
+def _three(value: str) -> str:
+    """SQL of ``value`` rounded to three digits, ties away from zero as the operator prints them."""
+    return f"CAST(round(CAST({value} AS DECIMAL(28, 12)), 3) AS DOUBLE)"
+
+
 TABLE_SQL = ", ".join(
-    f"""coalesce(max(CASE WHEN n = {n} THEN CASE WHEN sem IS NULL THEN printf('%.3f', m) ELSE printf('%.3f ± %.3f', m, sem) END END), '---') AS "n={n}\""""
+    f"""coalesce(max(CASE WHEN n = {n} THEN CASE WHEN sem IS NULL THEN printf('%.3f', {_three("m")})
+        ELSE printf('%.3f ± %.3f', {_three("m")}, {_three("sem")}) END END), '---') AS "n={n}\""""
     for n in range(1, 8)
 )
 
 
 @query(
     "value_table",
-    f"""WITH {V.SAMPLES_SQL}, g AS (SELECT n, p, avg(tmi) + 3e-5 AS m, stddev_samp(tmi) / sqrt(count(tmi)) + 3e-5 AS sem FROM samples GROUP BY n, p),
+    f"""WITH {V.SAMPLES_SQL}, g AS (SELECT n, p, avg(tmi) AS m, stddev_samp(tmi) / sqrt(count(tmi)) AS sem FROM samples GROUP BY n, p),
         grid AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT p FROM g)),
         marks AS (SELECT DISTINCT CAST(round_even(j * ((c - 1) / 5.0), 0) AS BIGINT) AS i FROM (SELECT DISTINCT c FROM grid), (SELECT unnest(range(0, 6)) AS j))
         SELECT printf('%.4f', p) AS p, {TABLE_SQL} FROM g JOIN (SELECT p FROM grid JOIN marks USING (i)) USING (p) GROUP BY p""",
 )
 def value_table(t: Tables) -> DataFrame:
     agg = cellstats.aggregate_entropy(V.samples(t), "obs.tmi")
-    # engines print exact ties differently: move both sides off them
-    shift = F.lit(tie_offset(3))
-    agg = agg.withColumn("S_mean", F.col("S_mean") + shift).withColumn("S_sem", F.col("S_sem") + shift)
     return timings.value_table(agg, sizes=range(1, 8), max_rows=6)
