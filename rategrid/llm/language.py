@@ -3,7 +3,7 @@
 Every word gets a label.  Affixes, character n-grams and per-language lexicons score a word, learned transitions tie
 neighbours, and forward-backward gives each word's label distribution; a document's scores are their mean.
 
-The model is fitted on a bounded sample of labelled rows (:data:`TRAIN_DOCS` per label).  Documents have one label each,
+The model is fitted on a bounded sample of labelled rows (:data:`TRAIN_DOCS` texts and :data:`TRAIN_WORDS` words per label).  Documents have one label each,
 so training sequences are spliced from segments of several documents: that is where switches are learned from.
 """
 
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 TRAIN_DOCS = 400  # labelled rows per label in the sample
-TRAIN_WORDS = 120_000  # words per label that training sequences are spliced from
+TRAIN_WORDS = 120_000  # words per label that training sequences are spliced from, shared evenly by its texts
 FEATURES = 1 << 16
 LEXICON = 1000  # most frequent words per label that get a feature of their own
 SEGMENT = 24  # mean words between switches in training sequences
@@ -146,20 +147,37 @@ def _posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, sizes:
     return alpha / alpha.sum(axis=2, keepdims=True)
 
 
+def _shared_pool(texts: Sequence[list[str]], most: int, rng: np.random.Generator) -> list[str]:
+    """At most ``most`` words in a row, every text with an equal share: short ones whole, of longer ones a random span."""
+    if sum(map(len, texts)) <= most:
+        return [w for words in texts for w in words]
+    left, share = most, 0
+    for done, size in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - done)
+        if size > share:
+            break
+        left -= size
+    pool: list[str] = []
+    for words in texts:
+        at = int(rng.integers(max(len(words) - share, 0) + 1))
+        pool.extend(words[at : at + share])
+    return pool
+
+
 def train(texts: Sequence[str], labels: Sequence[str], seed: int = 5) -> Model:
     """Fit on labelled texts by stochastic gradient ascent of the conditional likelihood."""
     names = sorted(set(labels))
     if not names:
         return Model([], np.zeros((FEATURES, 0)), {}, np.zeros((0, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
-    pools: list[list[str]] = [[] for _ in names]
+    pools: list[list[list[str]]] = [[] for _ in names]
     counts = [Counter() for _ in names]
     for text, label in zip(texts, labels, strict=True):
         at = names.index(label)
         words = [w for w in map(letters, (text or "").split()) if w]
         counts[at].update(words)
-        if len(pools[at]) < TRAIN_WORDS:
-            pools[at].extend(words)
+        pools[at].append(words)
+    pools = [_shared_pool(texts_of, TRAIN_WORDS, rng) for texts_of in pools]
     k = len(names)
     lexicon: dict[str, np.ndarray] = {}
     for c in counts:
@@ -314,16 +332,22 @@ def _tagging(model: Model):
 
 
 def training_sample(docs: DataFrame, label: str = "lang", text: str = "text", most: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """About ``most`` labelled texts per label, drawn by a hash of the text from the whole table."""
+    """``most`` distinct labelled texts per label (all if fewer), those with the lowest hashes in the whole table.
+
+    Equal texts of one label count once, so copies neither crowd out other texts nor cost a label its place.  Rows per
+    label are cut to ``most`` hashes on each side of the shuffle; only texts at or below a label's last hash are read.
+    """
     rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label")).filter("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
+    lowest = Window.partitionBy("label").orderBy("h")
+    distinct = hashed.groupBy("label", "h").agg(F.lit(1).alias("one")).withColumn("at", F.row_number().over(lowest))
+    last = {r["label"]: r["h"] for r in distinct.filter(F.col("at") <= most).groupBy("label").agg(F.max("h").alias("h")).collect()}
+    if not last:
         return []
-    spot = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("label") == name, F.lit(min(1.0, most / n))).otherwise(share)
-    drawn = rows.filter(spot < share).select("text", "label").limit(4 * most * len(counts))
+    bound = F.lit(None).cast("long")
+    for name, h in sorted(last.items()):
+        bound = F.when(F.col("label") == name, F.lit(h).cast("long")).otherwise(bound)
+    drawn = hashed.filter(F.col("h") <= bound).groupBy("label", "h").agg(F.min("text").alias("text"))
     return sorted((r["label"], r["text"]) for r in drawn.collect())
 
 
