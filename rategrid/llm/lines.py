@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.llm.storage import stage
-from rategrid.llm.text import BLANK_CHARS, ascii_lower, lines, whole
+from rategrid.llm.text import BLANK_CHARS, ascii_lower, let, lines, whole
 
 
 def line_key(line: Column) -> Column:
@@ -45,11 +45,12 @@ def dedup_lines(
     Columns named in ``keep`` pass through.
 
     Lines are exploded as hashes, counted with partial aggregation on both levels (so a line of every document is no
-    hot key), and the dropped hashes return as one short list per document.
+    hot key), and the positions of dropped lines return as one list per row, taken out by a hash set.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
-    exploded = base.select("doc_id", F.explode(_keyed("text", min_chars)).alias("l")).select(
-        "doc_id", "l.h1", "l.h2"
+    # rows with one id may differ in their texts: positions belong to the id and the text
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_mark"), *keep)
+    exploded = base.select("doc_id", "_mark", F.explode(_keyed("text", min_chars)).alias("l")).select(
+        "doc_id", "_mark", "l.pos", "l.h1", "l.h2"
     )
     # one row per line and document first: a repeated line inside a document counts once
     once = exploded.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
@@ -64,18 +65,17 @@ def dedup_lines(
     gone = (
         exploded.join(shared, ["h1", "h2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("gone_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+        .groupBy(F.col("doc_id").alias("gone_id"), F.col("_mark").alias("gone_mark"))
+        .agg(F.collect_set("pos").alias("gone"))
     )
-    both = base.join(gone, base["doc_id"].eqNullSafe(gone["gone_id"]), "left")
+    both = base.join(gone, base["doc_id"].eqNullSafe(gone["gone_id"]) & (base["_mark"] == gone["gone_mark"]), "left")
     all_lines = lines(whole("text"))
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        mark = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("gone"), mark)
+    def reassembled(found: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("gone"))
+        return F.transform(stay, lambda at: F.get(found, at))
 
-    kept = F.when(F.col("gone").isNull(), all_lines).otherwise(F.filter(all_lines, stays))
+    kept = F.when(F.col("gone").isNull(), all_lines).otherwise(let(all_lines, reassembled))
     split = both.select("doc_id", *keep, F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept"))
     return split.select(
         "doc_id",
