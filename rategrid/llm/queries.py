@@ -232,7 +232,7 @@ _STRONG_SQL = {
     "hex": (secrets.HEX, "true"),
 }
 _WEAK_SQL = {k: (p.replace("'", "''"), "true") for k, p in secrets.WEAK.items()}
-_WEAK_SQL["material"] = (secrets.WEAK["material"], "length(s.v) <= 128 AND regexp_matches(s.v, '[0-9]') AND regexp_matches(s.v, '[A-Z]')")
+_WEAK_SQL["material"] = (secrets.WEAK["material"], "regexp_matches(s.v, '[0-9]') AND regexp_matches(s.v, '[A-Z]')")
 SQL["op1_secrets"] = f"""
 WITH body AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 st AS (SELECT doc_id, kind, s.a AS a, s.b AS b FROM ({_spans_sql(_STRONG_SQL)})),

@@ -22,7 +22,6 @@ WEAK = {
     "material": "[A-Za-z0-9+/_-]{16,}",
     "endpoint": "(?i)(https?|ftps?|ssh|s3|jdbc|mongodb|postgres|mysql|redis|amqp)://[^\\x20\\x09-\\x0D\"'<>]+",
 }
-MATERIAL_MOST = 128  # longer runs are data, not keys
 SCOPE = 200  # code points between two parts of one credential
 
 
@@ -36,10 +35,7 @@ def strong_spans(text: Column) -> dict[str, Column]:
 def weak_spans(text: Column) -> dict[str, Column]:
     """Matches by kind; key material mixes digits and capitals."""
     found = {kind: matches(text, pattern) for kind, pattern in WEAK.items()}
-    found["material"] = F.filter(
-        found["material"],
-        lambda m: (F.char_length(m["value"]) <= MATERIAL_MOST) & m["value"].rlike("[0-9]") & m["value"].rlike("[A-Z]"),
-    )
+    found["material"] = F.filter(found["material"], lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Z]"))
     return found
 
 
@@ -54,7 +50,7 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     Columns: ``doc_key, start, end, kind``.  Two parts of one document are near if the gap between them is at most
     ``scope``.  A weak part is reported if a secret (``what``) and an identifier or endpoint lie within its reach,
     itself counted.  The join runs on blocks of ``scope`` code points: every part enters the blocks it can reach, so a
-    block holds no more parts than fit its width.
+    block holds no more parts than fit its width, and a part of any length enters as many blocks as it spans.
     """
     weak = parts.filter(F.col("kind").isin(*WEAK)).select("doc_key", "start", "end", "kind")
     reach = F.explode(
