@@ -10,8 +10,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rategrid.llm import components, decontaminate, language, neardup, packing, pii, rules, secrets, sharding, substrings
+from rategrid.llm import components, decontaminate, language, lines, neardup, packing, pii, rules, secrets, sharding, substrings
 from rategrid.llm.hashing import chunks, word_hashes
 from rategrid.llm.queries import QUERIES, word_tokenizer
 
@@ -319,3 +320,53 @@ def test_outliers_of_a_large_group(spark):
     want = groups(linked, range(250))
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
     assert got == want
+
+
+def test_long_key_material_is_linked(spark):
+    key = "Zk3vQ9xR7mT2bN8w" * 20
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(frame(spark, [f"login: alice then {key}", f"only {key} here"])).collect()}
+    spans = sorted((s["start"], s["end"], s["kind"]) for s in found[0]["spans"])
+    assert [kind for *_, kind in spans] == ["identifier", "material"] and not found[1]["spans"]
+    assert spans[1][1] - spans[1][0] == 320
+
+
+def test_measured_cost_orders_rules_of_equal_rejection(spark):
+    """The dear rule comes first by name, so only its cost can put it last."""
+    docs = frame(spark, [f"{'word ' * 400}{i}" for i in range(1500)])
+    dear = rules.Rule("a_dear", rules.repeat_words(rules.gram_hashes(rules.words(F.col("text")), 5)) >= 0)
+    cheap = rules.Rule("b_cheap", F.octet_length("text") >= 0)
+    sample = rules.sample_rows(docs.select("text"))
+    assert sample.count() == 1500
+    assert [r.name for r in rules.ordered_rules(sample, [dear, cheap])] == ["b_cheap", "a_dear"]
+
+
+def test_quality_of_a_renamed_text_column(spark):
+    good = "Plain words make a plain document that nobody would ever reject for anything at all."
+    docs = spark.createDataFrame([(1, good, "kept as it is"), (2, "bad", good)], "doc_id long, body string, text string")
+    assert [tuple(r) for r in rules.filter_quality(docs, text="body").collect()] == [(1, good, "kept as it is")]
+
+
+def test_copies_of_one_text_leave_room_for_every_label(spark):
+    rows = [("a", "one text that is copied")] * 3000 + [("a", f"other {i}") for i in range(30)] + [("b", f"rare {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    sample = language.training_sample(docs, most=20)
+    assert Counter(x for x, _ in sample) == {"a": 20, "b": 20} and len(set(sample)) == 40
+    everything = language.training_sample(docs, most=100)
+    assert set(everything) == set(rows) and len(everything) == 81
+
+
+def test_every_text_of_a_label_gives_training_words():
+    rng = np.random.default_rng(1)
+    texts = [["long"] * 1000, ["short"] * 10, *[[f"t{i}"] * 100 for i in range(8)]]
+    pool = Counter(language._shared_pool(texts, 400, rng))
+    assert sum(pool.values()) <= 400 and pool["short"] == 10 and len(pool) == 10 and pool["long"] == pool["t0"] == 43
+    assert len(language._shared_pool(texts, 5000, rng)) == 1810
+
+
+def test_lines_dropped_by_position(spark):
+    shared = [f"line number {i} that many documents share with each other" for i in range(3000)]
+    texts = ["\n".join([f"own {d}", *shared, "", f"end {d}"]) for d in range(6)]
+    rows = [(d, t) for d, t in enumerate(texts)] + [(0, "\n".join(shared[:2]) + "\nother row of the same id")]
+    got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(d, f"own {d}\n\nend {d}", 3000) for d in range(5)] + [(5, texts[5], 0), (0, "other row of the same id", 2)]
+    assert got == sorted(want)
