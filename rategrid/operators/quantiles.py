@@ -2,8 +2,8 @@
 
 A sketch only decides where to cut each group's value range.  One pass then counts the
 rows between cuts exactly and keeps the values close to a wanted rank; only those are
-sorted.  If the sketch was off for some group, a further pass reads that group's interval:
-a poor sketch costs time but never changes a result.
+sorted.  If the sketch was off for some group, that group's interval is narrowed by counted
+histograms until one value is left: a poor sketch costs time but never changes a result.
 """
 
 from __future__ import annotations
@@ -86,18 +86,20 @@ def quantiles_of_parts(parted: DataFrame, keys: Sequence[str], plan: Cuts) -> Da
     on = [*keys, "_part"]
     wanted = chosen.select(*on, "_before", "_wants")
     detail = attach_summary(merged.where("_v is not null").select(*on, "_v", "_copies"), wanted, on, ready=True)
+    narrowed = None
     missed = chosen.where(~F.col("_kept")).select(*on, "_before", "_wants")
     if not missed.isEmpty():
-        late = attach_summary(parted.select(*on, "_v"), missed, on, ready=True)
-        counted = late.groupBy(*on, "_v").agg(
-            F.count(F.lit(1)).alias("_copies"), F.first("_before").alias("_before"), F.first("_wants").alias("_wants")
-        )
-        detail = detail.unionByName(counted)
+        asked = missed.select(*on, F.explode("_wants").alias("_rank"), "_before")
+        late = ranked_values(parted.select(*on, "_v"), asked, on)
+        narrowed = late.select(*keys, "_v", "_rank")
     upto = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = detail.withColumn("_end", F.col("_before") + F.sum("_copies").over(upto))
     hits = ranked.select(*keys, "_v", "_end", "_copies", F.explode("_wants").alias("_rank")).where(
         (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_copies"))
     )
+    hits = hits.select(*keys, "_v", "_rank")
+    if narrowed is not None:
+        hits = hits.unionByName(narrowed)
     # at most two ranks per quantile
     found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_found"))
     totals = chosen.groupBy(*keys).agg(F.first("n_finite").alias("n_finite"))
@@ -112,6 +114,40 @@ def quantiles_of_parts(parted: DataFrame, keys: Sequence[str], plan: Cuts) -> Da
     return joined.select(*keys, "n_finite", F.array(*[interpolated(q) for q in plan.qs]).alias("quantiles"))
 
 
+def ranked_values(rows: DataFrame, asked: DataFrame, on: Sequence[str], bins: int = 256) -> DataFrame:
+    """The values at given ranks: ``on, _rank, _v`` for every row ``on, _rank, _before`` of ``asked``.
+
+    ``_before`` rows of the group sort before all of ``rows(on, _v)``.  Each step counts one histogram per rank between
+    the least and the largest value still possible and goes on with the bin that holds the rank, so no group is sorted
+    and a task holds counts only.  Both ends lie in bins of their own, hence every step narrows.
+    """
+    at = [*on, "_rank"]
+    ends = rows.groupBy(*on).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    state = cut_lineage(join_on(asked, ends, on))
+    found = None
+    while True:
+        done = state.where("_low = _high").select(*at, F.col("_low").alias("_v"))
+        found = done if found is None else found.unionByName(done)
+        ahead = state.where("_low < _high")
+        if ahead.isEmpty():
+            return found
+        # the rows between any two ends are read once for all ranks of their group
+        groups = ahead.groupBy(*on).agg(F.collect_list(F.struct("_rank", "_before", "_low", "_high")).alias("_asked"))
+        rows = attach_summary(rows.select(*on, "_v"), groups, on)
+        inside = F.filter("_asked", lambda s: F.col("_v").between(s["_low"], s["_high"]))
+        rows = cut_lineage(rows.select(*on, "_v", inside.alias("_asked")).where(F.size("_asked") > 0))
+        spread = rows.select(*on, "_v", F.inline("_asked"))
+        width = F.col("_high") / 4 - F.col("_low") / 4  # quarters, so that no difference overflows
+        share = F.when(width > 0, (F.col("_v") / 4 - F.col("_low") / 4) / width).otherwise((F.col("_v") > F.col("_low")).cast("double"))
+        counted = spread.groupBy(*at, "_before", F.floor(share * bins).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        upto = Window.partitionBy(*at).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # bins + 1 rows at most
+        summed = counted.withColumn("_upto", F.col("_before") + F.sum("_size").over(upto))
+        hit = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_size"))
+        state = cut_lineage(summed.where(hit).select(*at, (F.col("_upto") - F.col("_size")).alias("_before"), "_low", "_high"))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str = "median") -> DataFrame:
     found = exact_quantiles(df, keys, value, [0.5])
     return found.select(*keys, F.col("quantiles")[0].alias(alias))

@@ -125,6 +125,28 @@ def test_quantiles_with_one_heavy_group(spark):
         assert got["light"] == pytest.approx(np.quantile(light, qs).tolist())
 
 
+def test_values_at_ranks_by_histograms(spark):
+    rng = np.random.default_rng(3)
+    near_equal = np.concatenate([1.0 + np.arange(4_000) * 1e-12, rng.normal(size=1_000) * 1e9])  # 80 % in one sketch step
+    wide = np.array([-1.7e308, -1.0, 0.0, 5e-324, 1e-300, 2.0, 2.0, 1.7e308])
+    groups = {"near": near_equal, "wide": wide, "equal": np.full(30, 7.0), None: np.array([3.0, 1.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "g string, _v double")
+    asked = [(g, r, 100) for g, values in groups.items() for r in {100, 100 + len(values) // 2, 99 + len(values)}]
+    wanted = spark.createDataFrame(asked, "g string, _rank bigint, _before bigint")
+    got = {(r["g"], r["_rank"]): r["_v"] for r in quantiles.ranked_values(df, wanted, ["g"]).collect()}
+    assert got == {(g, r): float(np.sort(groups[g])[r - 100]) for g, r, _ in asked}
+
+
+def test_quantiles_of_values_that_a_sketch_cannot_tell_apart(spark):
+    values = np.concatenate([1.0 + np.arange(8_000) * 1e-12, np.arange(2_000) * 1.0])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").selectExpr("1 AS g", "v")
+    qs = [0.1, 0.5, 0.9]
+    for accuracy in (3, 10_000):
+        assert quantiles.exact_quantiles(df, ["g"], "v", qs, accuracy).first()["quantiles"] == pytest.approx(
+            np.quantile(values, qs).tolist(), rel=1e-15
+        )
+
+
 def test_bootstrap_is_repeatable_and_close(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(10, 2, size=400)
