@@ -9,9 +9,9 @@ from rategrid.catalog import views as V
 from rategrid.catalog.base import Tables, query
 from rategrid.catalog.schedules import KEYS, RUNS_SQL, _hash, _layers
 from rategrid.functions import naming
-from rategrid.operators import schedule
+from rategrid.operators import schedule, survival
 from rategrid.plans import registry as reg
-from rategrid.sources import manifest, records, runs, series
+from rategrid.sources import folders, manifest, records, runs, series
 from rategrid.streaming import early_stop, ingest, running
 
 # ---------------------------------------------------------------- manifests and records
@@ -118,6 +118,100 @@ def written_samples(t: Tables) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- run folders: write the layout, read it back
+
+
+def _run_folders(t: Tables, tables: dict) -> list[str]:
+    """The tables as run folders by artefact; the folders of the first."""
+    root = ingest.scratch(t.spark, "runs")
+    return [folders.write_run_folders(df, root, artefact) for artefact, df in tables.items()][0]
+
+
+def _flat_samples(t: Tables) -> DataFrame:
+    """Samples with literal dotted columns, as run folders store them."""
+    return V.samples(t).select("run_id", "n", "p", "sample_seed", F.col("obs.k").alias("obs.k"), F.col("obs.tmi").alias("obs.tmi"))
+
+
+def _sample_distances(t: Tables) -> DataFrame:
+    """One row per sample that has distances, with the sample's cell."""
+    keyed = V.samples(t).select(*runs.SAMPLE_KEY).distinct()
+    return keyed.join(V.distances(t), "sample_seed").select(*runs.SAMPLE_KEY, "distances.*")
+
+
+@query(
+    "run_folder_samples",
+    f"""WITH {V.SAMPLES_SQL} SELECT run_id, n, p, count(*) AS rows, sum(k) AS sum_k, avg(tmi) AS mean_tmi, sum(sample_seed) AS seeds
+        FROM samples GROUP BY 1, 2, 3""",
+    ("mean_tmi",),
+)
+def run_folder_samples(t: Tables) -> DataFrame:
+    """All runs' samples from one scan; run and cell come from the paths."""
+    stored = folders.scan_samples(t.spark, _run_folders(t, {"samples": _flat_samples(t)}))
+    return stored.groupBy("run_id", "n", "p").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("obs.k").alias("sum_k"), F.avg("obs.tmi").alias("mean_tmi"), F.sum("sample_seed").alias("seeds")
+    )
+
+
+@query(
+    "run_folder_analyses",
+    f"""WITH {V.SAMPLES_SQL}, {V.DISTANCES_SQL} SELECT run_id, n, p, count(*) AS rows, count(d_cont) AS with_distances,
+          sum(d_cont) AS sum_d_cont, sum(d_min * k) AS sum_d_min_k FROM samples LEFT JOIN distances USING (sample_seed) GROUP BY 1, 2, 3""",
+)
+def run_folder_analyses(t: Tables) -> DataFrame:
+    """Samples with an analysis that only some of them have, both from run folders."""
+    paths = _run_folders(t, {"samples": _flat_samples(t), "analysis/distances": _sample_distances(t)})
+    tables = {"distances": folders.scan_analysis(t.spark, paths, "distances")}
+    whole = runs.attach_analyses(folders.scan_samples(t.spark, paths), tables, [*runs.SAMPLE_KEY, "_source"])
+    return whole.groupBy("run_id", "n", "p").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("distances.d_cont").alias("with_distances"),
+        F.sum("distances.d_cont").alias("sum_d_cont"),
+        F.sum(F.col("distances.d_min") * F.col("obs.k")).alias("sum_d_min_k"),
+    )
+
+
+@query(
+    "run_folder_traces",
+    f"""WITH {V.BITS_SQL} SELECT 'bits' AS run_id, n, p, CAST(t AS INTEGER) AS t, count(*) AS samples, sum(s) AS alive
+        FROM bit_rows JOIN bit_traces USING (n, p, sample_seed) WHERE t <= last_t GROUP BY 2, 3, 4""",
+)
+def run_folder_traces(t: Tables) -> DataFrame:
+    """Traces stored as arrays, read back and exploded to steps."""
+    paths = _run_folders(t, {"timeseries": V.bit_traces(t).select(F.lit("bits").alias("run_id"), "*")})
+    steps = survival.explode_traces(folders.scan_traces(t.spark, paths).drop("_source"))
+    return steps.groupBy("run_id", "n", "p", F.col("t").cast("int").alias("t")).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("s").cast("bigint").alias("alive")
+    )
+
+
+@query(
+    "run_folder_matrices",
+    f"""WITH {V.MATRIX_SQL}, per AS (SELECT sample_seed, count(*) AS n, sum(x) AS xs, sum(z) AS zs, sum(r * 37 + q) AS places FROM entries GROUP BY 1)
+        SELECT 'run' || sample_seed % 3 AS run_id, n_cols AS n, CAST(sample_seed % 4 AS DOUBLE) / 10 AS p, count(*) AS matrices, sum(n_rows) AS n_rows,
+          coalesce(sum(per.n), 0) AS entries, coalesce(sum(xs), 0) AS xs, coalesce(sum(zs), 0) AS zs, coalesce(sum(places), 0) AS places
+        FROM dims LEFT JOIN per USING (sample_seed) GROUP BY 1, 2, 3""",
+)
+def run_folder_matrices(t: Tables) -> DataFrame:
+    """Bit matrices of three runs: entries and dims, one scan each."""
+    cell = [
+        F.concat(F.lit("run"), F.col("sample_seed") % 3).alias("run_id"),
+        F.lit(V.N_COLS).alias("n"),
+        ((F.col("sample_seed") % 4).cast("double") / 10).alias("p"),
+        "*",
+    ]
+    paths = _run_folders(t, {"dims": V.matrix_dims(t).select(*cell), "entries": V.matrix_entries(t).select(*cell)})
+    entries, dims = folders.scan_matrices(t.spark, paths)
+    at = ["run_id", "n", "p"]
+    shape = dims.groupBy(*at).agg(F.count(F.lit(1)).alias("matrices"), F.sum("n_rows").alias("n_rows"))
+    filled = entries.groupBy(*at).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum("x").cast("bigint").alias("xs"),
+        F.sum("z").cast("bigint").alias("zs"),
+        F.sum(F.col("r") * 37 + F.col("q")).alias("places"),
+    )
+    return shape.join(filled, at, "left").na.fill(0, ["entries", "xs", "zs", "places"])
+
+
 @query(
     "realization_layers",
     f"""WITH {RUNS_SQL}, gates AS (SELECT n, count(*) AS gates, sum(c) AS sum_c FROM (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rategrid.catalog.base import CATALOG  # noqa: F401  (registers the built-in analyses)
 from rategrid.functions import naming
 from rategrid.plans import analyses, registry as reg, runner
-from rategrid.sources import manifest, records, runs, series
+from rategrid.sources import folders, manifest, records, runs, series
 from rategrid.streaming import early_stop, ingest
 
 
@@ -187,3 +187,34 @@ def test_gap_filling_stream(spark):
     stream = ingest.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
     ingest.fill_gaps(stream, lambda batch: seen.append(runs.cells(batch).count()), f"{folder}/journal").awaitTermination()
     assert seen == [2]
+
+
+def test_one_scan_for_many_runs(spark, run_dir):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [("run b+c", 8, 0.15, 40 + i, i) for i in range(3)] + [("x", 16, 0.5, 7, 1)]
+    flat = spark.createDataFrame(rows, "run_id string, n int, p double, sample_seed bigint, k bigint")
+    samples = flat.select("run_id", "n", "p", "sample_seed", F.col("k").alias("obs.k"))
+    written = folders.write_run_folders(samples, root, "samples")
+    folders.write_run_folders(flat.where("k > 0").select("run_id", "n", "p", "sample_seed", (F.col("k") * 1.5).alias("d_cont")), root, "analysis/distances")
+    assert written == [f"{root}/run b+c", f"{root}/x"]
+    everything = [run_dir, *written, "/tmp/no-such-run"]
+    df = folders.scan_samples(spark, everything)
+    assert {(r["run_id"], r["n"], r["p"]): r["count"] for r in df.where("n <> 12").groupBy("run_id", "n", "p").count().collect()} == {
+        ("run-a", 8, 0.0): 3, ("run-a", 8, 0.15): 3, ("run b+c", 8, 0.15): 3, ("x", 16, 0.5): 1
+    }
+    assert df.schema["obs"].dataType["k"].dataType.typeName() == "long"  # int in one run, bigint in the others
+    assert df.where("run_id = 'x'").agg(F.sum("obs.k"), F.count("obs.p_k_gt_0")).first()[:] == (1, 0)
+    one = df.where("run_id = 'x' and n = 16").select("sample_seed")
+    assert one.count() == len(one.collect()) == 1
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves()
+    assert scan.size() == 1 and scan.head().metrics().get("numFiles").get().value() == 1  # other files are not opened
+    found = folders.scan_analysis(spark, everything, "distances")
+    assert {(r["run_id"], r["d"]) for r in found.selectExpr("run_id", "distances.d_cont AS d").collect()} == {
+        ("run-a", 1.0), ("run-a", 2.0), ("run b+c", 1.5), ("run b+c", 3.0), ("x", 1.5)
+    }
+    assert folders.scan_analysis(spark, everything, "keyless") is None and folders.scan_analysis(spark, everything, "absent") is None
+    assert folders.scan_traces(spark, everything).count() == 12
+    with pytest.raises(FileNotFoundError):
+        folders.scan_matrices(spark, everything)
+    with pytest.raises(FileExistsError):
+        folders.write_run_folders(samples, root, "samples")
