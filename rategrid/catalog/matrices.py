@@ -251,6 +251,20 @@ def commutation(t: Tables) -> DataFrame:
     return inc.commutation(V.matrix_entries(t), V.matrix_dims(t), _single_vectors(t), KEY)
 
 
+@query(
+    "commutation_lists",
+    f"""WITH {V.MATRIX_SQL}, {VECTORS_SQL}, odd AS (SELECT sample_seed, v, count(*) AS c FROM entries JOIN vecs USING (q)
+          WHERE (x * vz + z * vx) % 2 = 1 GROUP BY 1, 2)
+        SELECT sample_seed, (SELECT count(*) FROM vecs) AS n_listed, coalesce(string_agg(v || ':' || c, ',' ORDER BY v), '') AS clashing
+        FROM dims LEFT JOIN odd USING (sample_seed) GROUP BY 1""",
+)
+def commutation_lists(t: Tables) -> DataFrame:
+    """One row per matrix, only the vectors that do not commute are named."""
+    found = inc.commutation_lists(V.matrix_entries(t), V.matrix_dims(t), _single_vectors(t), KEY)
+    told = F.array_join(F.transform("clashing", lambda c: F.concat_ws(":", c["v"], c["clashes"])), ",")
+    return found.select("sample_seed", "n_listed", told.alias("clashing"))
+
+
 # ---------------------------------------------------------------- ranks and reduced forms
 
 
@@ -399,6 +413,17 @@ def subset_entropy(t: Tables) -> DataFrame:
     return gf2.subset_entropy(_sign_spaces(t), _strided(t), KEY)
 
 
+@query(
+    "subset_entropy_lists",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_masked_sql(STRIDE_MASKS)} SELECT sample_seed, string_agg(id, ',' ORDER BY id) AS subset_ids,
+          string_agg(CAST(s AS INTEGER), ',' ORDER BY id) AS entropies FROM entropy GROUP BY 1""",
+)
+def subset_entropy_lists(t: Tables) -> DataFrame:
+    """The same entropies as one row per matrix."""
+    found = gf2.entropy_lists(_sign_spaces(t), _strided(t), KEY)
+    return found.select("sample_seed", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("subset_ids", "entropies")])
+
+
 def _strided(t: Tables) -> DataFrame:
     """Every m-th column from o on, with m * 32 + o as the set's id."""
     strides = V.sign_dims(t).select("n_cols").distinct().select("n_cols", F.explode(F.array(*[F.lit(m) for m in (2, 3, 5, 8)])).alias("m"))
@@ -423,6 +448,19 @@ def subset_information(t: Tables) -> DataFrame:
     return dist.subset_information(_sign_spaces(t), _strided(t), KEY)
 
 
+@query(
+    "subset_information_lists",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_rank_sql('vectors').replace('elim', 'elim0').replace('ranks', 'ranks0')}, {_masked_sql(SPLIT_MASKS)}
+        SELECT a.sample_seed, count(*) AS n_listed, coalesce(string_agg(a.id, ',' ORDER BY a.id) FILTER (a.s + r.rank - 32 - b.s > 0), '') AS informative
+        FROM entropy a JOIN entropy b ON b.sample_seed = a.sample_seed AND b.id = a.id + 1000 JOIN ranks0 r ON r.key = a.sample_seed
+        WHERE a.id < 1000 GROUP BY 1""",
+)
+def subset_information_lists(t: Tables) -> DataFrame:
+    """One row per matrix, only the informative sets are named."""
+    found = dist.information_lists(_sign_spaces(t), _strided(t), KEY)
+    return found.select("sample_seed", "n_listed", F.array_join(F.col("informative").cast("array<string>"), ",").alias("informative"))
+
+
 ARC_MASKS = f"""SELECT start * 100 + len AS id, len AS size, {_both("list_sum(list_transform(range(0, len), lambda j: CAST(1 AS HUGEINT) << CAST((start + j) % 32 AS HUGEINT)))")} AS mask
   FROM (SELECT unnest([0, 8, 16, 24]) AS start), (SELECT unnest(range(1, 32)) AS len)"""
 DCONT_SQL = f"""
@@ -536,11 +574,25 @@ span AS (SELECT d.sample_seed, cand.v, coalesce(hits.s, 0) = cand.w AS in_span F
 
 @query("row_span_members", f"WITH RECURSIVE {MATRIX_ROWS_SQL}, {RREF_SQL}, {SPAN_SQL} SELECT sample_seed, v, in_span FROM span")
 def row_span_members(t: Tables) -> DataFrame:
+    return gf2.row_span_members(_matrix_spaces(t), _packed_vectors(t), KEY)
+
+
+@query(
+    "row_span_lists",
+    f"""WITH RECURSIVE {MATRIX_ROWS_SQL}, {RREF_SQL}, {SPAN_SQL} SELECT sample_seed, count(*) AS n_listed,
+          coalesce(string_agg(v, ',' ORDER BY v) FILTER (in_span), '') AS in_span FROM span GROUP BY 1""",
+)
+def row_span_lists(t: Tables) -> DataFrame:
+    """One row per matrix, only the vectors in the span are named."""
+    found = gf2.span_lists(_matrix_spaces(t), _packed_vectors(t), KEY)
+    return found.select("sample_seed", "n_listed", F.array_join(F.col("in_span").cast("array<string>"), ",").alias("in_span"))
+
+
+def _packed_vectors(t: Tables) -> DataFrame:
     vectors = _single_vectors(t)
     bit = F.expr("shiftleft(1L, q)")
     words = F.array(F.when(F.col("vx") == 1, bit).otherwise(F.lit(0)), F.when(F.col("vz") == 1, bit).otherwise(F.lit(0)))
-    packed = vectors.select("n_cols", "v", words.alias("words"))
-    return gf2.row_span_members(_matrix_spaces(t), packed, KEY)
+    return vectors.select("n_cols", "v", words.alias("words"))
 
 
 PAIRS_SQL = """sets AS (SELECT 1 AS size, CAST(1 AS HUGEINT) << CAST(a AS HUGEINT) AS m FROM (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS a)

@@ -159,6 +159,19 @@ def subset_entropy(spaces: DataFrame, subsets: DataFrame, keys: Sequence[str]) -
     return zipped.select(*keys, F.inline("_z"))
 
 
+def chosen(ids: Column, flags: Column) -> Column:
+    """The ids whose flag is set, in order."""
+    pairs = F.filter(F.arrays_zip(ids.alias("id"), flags.alias("flag")), lambda z: z["flag"])
+    return F.transform(pairs, lambda z: z["id"])
+
+
+def entropy_lists(spaces: DataFrame, subsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`subset_entropy`, one row per matrix and list: ``subset_ids`` and their ``entropies``, in the same order."""
+    joined = with_lists(spaces, subsets, "subset_id", "members", "_s")
+    values = entropies("rref", "n_cols", F.col("_s.members"))
+    return joined.select(*keys, F.col("_s.subset_id").alias("subset_ids"), values.alias("entropies"))
+
+
 def tripartite_information(spaces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Signed sum of the entropies of three equal arcs and their unions; 0 below size 3."""
     n = F.col("n_cols")
@@ -245,3 +258,10 @@ def row_span_members(spaces: DataFrame, vectors: DataFrame, keys: Sequence[str])
     flags = contained("rref", "n_cols", F.col("_v.words"))
     zipped = joined.select(*keys, F.arrays_zip(F.col("_v.v").alias("v"), flags.alias("in_span")).alias("_z"))
     return zipped.select(*keys, F.inline("_z"))
+
+
+def span_lists(spaces: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`row_span_members`, one row per matrix and list: ``n_listed`` and the vectors ``in_span``."""
+    joined = with_lists(spaces, vectors, "v", "words", "_v")
+    flags = contained("rref", "n_cols", F.col("_v.words"))
+    return joined.select(*keys, F.size("_v").cast("bigint").alias("n_listed"), chosen(F.col("_v.v"), flags).alias("in_span"))

@@ -335,6 +335,14 @@ def restrict_columns(incidence: DataFrame, keys: Sequence[str], subset: DataFram
     return joined.select(*keys, "subset_id", "r", F.explode(columns).alias("c"))
 
 
+def clashing(incidence: DataFrame, dims: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per matrix and vector that share a column: the number of rows the vector does not commute with."""
+    sized = incidence.join(dims.select(*keys, "n_cols"), list(keys))
+    product = F.col("x") * F.col("vz") + F.col("z") * F.col("vx")
+    per_row = attach_summary(sized, vectors, ["n_cols", "q"]).groupBy(*keys, "v", "r").agg((F.sum(product) % 2).alias("_odd"))
+    return per_row.groupBy(*keys, "v").agg(F.sum("_odd").alias("clashes"))
+
+
 def commutation(incidence: DataFrame, dims: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per matrix and vector: does the vector commute with every row?
 
@@ -342,12 +350,30 @@ def commutation(incidence: DataFrame, dims: DataFrame, vectors: DataFrame, keys:
     are formed only where a row and a vector share a column; all other rows commute.
     """
     keys = list(keys)
-    sized = incidence.join(dims.select(*keys, "n_cols"), keys)
-    product = F.col("x") * F.col("vz") + F.col("z") * F.col("vx")
-    per_row = attach_summary(sized, vectors, ["n_cols", "q"]).groupBy(*keys, "v", "r").agg((F.sum(product) % 2).alias("_odd"))
-    clashes = per_row.groupBy(*keys, "v").agg(F.sum("_odd").alias("clashes"))
+    clashes = clashing(incidence, dims, vectors, keys)
     names = vectors.select("n_cols", "v").distinct()
     every = attach_summary(dims.select(*keys, "n_cols"), names, ["n_cols"]).drop("n_cols")
     joined = every.join(clashes, [*keys, "v"], "left")
     clash = F.coalesce(F.col("clashes"), F.lit(0)).cast("bigint")
     return joined.select(*keys, "v", clash.alias("clashes"), (clash == 0).alias("commutes"))
+
+
+VECTORS_PER_LIST = 4096
+
+
+def commutation_lists(incidence: DataFrame, dims: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`commutation`, one row per matrix and list of vectors: ``n_listed`` and the exceptions in ``clashing``.
+
+    ``clashing`` has ``(v, clashes)`` of the vectors that fail to commute with some row, by ``v``.  Vectors are dealt to
+    lists of about ``VECTORS_PER_LIST`` by a hash, so no row holds more than that many exceptions.
+    """
+    keys = list(keys)
+    names = vectors.select("n_cols", "v").distinct()
+    part = F.pmod(F.xxhash64("v"), F.lit(-(-names.count() // VECTORS_PER_LIST) or 1)).alias("list_id")
+    sizes = names.groupBy("n_cols", part).agg(F.count(F.lit(1)).alias("n_listed"))
+    every = attach_summary(dims.select(*keys, "n_cols"), sizes, ["n_cols"]).drop("n_cols")
+    odd = clashing(incidence, dims, vectors, keys).where("clashes > 0")
+    found = odd.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("v", "clashes"))).alias("clashing"))
+    joined = every.join(found, [*keys, "list_id"], "left")
+    none = F.array().cast(found.schema["clashing"].dataType)
+    return joined.select(*keys, "list_id", "n_listed", F.coalesce("clashing", none).alias("clashing"))
