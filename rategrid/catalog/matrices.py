@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rategrid.catalog import views as V
 from rategrid.catalog.base import Tables, query
+from rategrid.functions.tables import register_tables
 from rategrid.operators import distances as dist
 from rategrid.operators import gf2, incidence as inc
 
@@ -310,6 +311,23 @@ def gf2_rank_matrices(t: Tables) -> DataFrame:
     return _matrix_spaces(t).select("sample_seed", gf2.rank().alias("rank"), gf2.code_dimension().alias("k"))
 
 
+@query(
+    "reduced_rows_udtf",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {RREF_SQL} SELECT sample_seed, CAST(row_number() OVER (PARTITION BY sample_seed ORDER BY piv) - 1 AS INTEGER) AS i,
+        [CAST(w & 4294967295 AS BIGINT), CAST(w >> 32 AS BIGINT)] AS words FROM rref""",
+)
+def reduced_rows_udtf(t: Tables) -> DataFrame:
+    """The table function in SQL: parts of each matrix first, then what is left of them."""
+    register_tables(t.spark)
+    return t.spark.sql(
+        """
+        WITH parts AS (SELECT * FROM reduced_rows(TABLE(
+          SELECT *, pmod(xxhash64(words), 8) AS salt FROM (SELECT DISTINCT * FROM {rows}) AS once) PARTITION BY (sample_seed, salt)))
+        SELECT * FROM reduced_rows(TABLE(SELECT sample_seed, words FROM parts) PARTITION BY sample_seed)""",
+        rows=V.sign_rows(t),
+    )
+
+
 @query(
     "gf2_reduced_rows",
     f"""WITH RECURSIVE {V.SIGNS_SQL}, {RREF_SQL} SELECT sample_seed, CAST(row_number() OVER (PARTITION BY sample_seed ORDER BY piv) - 1 AS INTEGER) AS i,
@@ -391,6 +409,25 @@ ALL_ARCS = f"""SELECT CAST(start * 100 + ell AS INTEGER) AS id, ell AS size,
   FROM (SELECT unnest(range(0, 32)) AS start), (SELECT unnest(range(1, 17)) AS ell)"""
 
 
+@query(
+    "arc_subsets_udtf",
+    f"""WITH RECURSIVE {V.SIGNS_SQL}, {_masked_sql(ALL_ARCS)}
+        SELECT sample_seed, CAST(id // 100 AS INTEGER) AS start, CAST(id % 100 AS INTEGER) AS ell, s FROM entropy""",
+)
+def arc_subsets_udtf(t: Tables) -> DataFrame:
+    """Arcs from the table function in SQL, then their entropies in every matrix of that size."""
+    register_tables(t.spark)
+    arcs = t.spark.sql(
+        """SELECT n_cols, 1000 * start + ell AS subset_id, members
+           FROM (SELECT DISTINCT n_cols FROM {dims}) AS sizes, LATERAL arc_subsets(n_cols)
+           WHERE ell <= n_cols div 2""",
+        dims=V.sign_dims(t),
+    )
+    found = gf2.subset_entropy(_sign_spaces(t), arcs, KEY)
+    start = F.floor(F.col("subset_id") / 1000).cast("int")
+    return found.select(*KEY, start.alias("start"), (F.col("subset_id") % 1000).alias("ell"), F.col("entropy").alias("s"))
+
+
 @query(
     "entropy_profile_all_starts",
     f"""WITH RECURSIVE {V.SIGNS_SQL}, {_masked_sql(ALL_ARCS)}

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rategrid.functions.tables import register_tables
 from rategrid.operators import distances as dist
 from rategrid.operators import gf2, incidence as inc
 
@@ -354,3 +355,36 @@ def test_many_rows_per_matrix(spark):
     got = gf2.row_spaces(rows, dims, KEY).select(gf2.rank().alias("rank")).first()["rank"]
     patterns = {(i * 37 % 64, i * 11 % 16) for i in range(20_000)}
     assert got == rank([[(a >> b) & 1 for b in range(8)] + [(c >> b) & 1 for b in range(8)] for a, c in patterns])
+
+
+def test_table_functions_in_sql(spark):
+    register_tables(spark)
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (40, 6))
+    rows = [("a", 9, [int(sum(int(b) << c for c, b in enumerate(r))), 0]) for r in bits] + [("a", 9, None), ("zero", 1, [0, 0]), (None, 2, [1 << 62, -1])]
+    spark.createDataFrame(rows, "m string, i bigint, words array<bigint>").createOrReplaceTempView("udtf_rows")
+    found = spark.sql("SELECT * FROM reduced_rows(TABLE(udtf_rows) PARTITION BY m)").collect()
+    assert [r["words"] for r in found if r["m"] is None] == [[1 << 62, -1]]
+    mine = sorted((r["i"], r["words"][0]) for r in found if r["m"] == "a")
+    assert len(mine) == rank(bits) and all(r["m"] != "zero" for r in found)
+    lows = [w & -w for _, w in mine]
+    assert lows == sorted(lows) and all(sum(w & low > 0 for _, w in mine) == 1 for low in lows)
+    assert rank(bits.tolist() + [[w >> c & 1 for c in range(6)] for _, w in mine]) == rank(bits)
+    with pytest.raises(Exception, match="column words"):
+        spark.sql("SELECT * FROM reduced_rows(TABLE(SELECT 1 AS a))").collect()
+    arcs = spark.sql("SELECT n, a.* FROM VALUES (4), (1), (0), (null) AS s(n), LATERAL arc_subsets(n) AS a").collect()
+    assert len(arcs) == 12 and sorted(next(r["members"] for r in arcs if (r["start"], r["ell"]) == (3, 2))) == [0, 3]
+    pairs = [tuple(r[0]) for r in spark.sql("SELECT * FROM sized_subsets(5, 2)").collect()]
+    assert pairs == list(combinations(range(5), 2)) and spark.sql("SELECT * FROM sized_subsets(null, 2)").count() == 0
+
+
+def test_commutation_lists_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(inc, "VECTORS_PER_LIST", 3)
+    entries = spark.createDataFrame([("a", 0, 0, 1, 0), ("a", 1, 2, 0, 1)], "m string, r int, q int, x int, z int")
+    dims = spark.createDataFrame([("a", 4, 2), ("empty", 4, 2)], "m string, n_cols int, n_rows int")
+    vectors = spark.createDataFrame([(4, 2 * q + k, q, 1 - k, k) for q in range(4) for k in (0, 1)], "n_cols int, v int, q int, vx int, vz int")
+    lists = inc.commutation_lists(entries, dims, vectors, KEY).collect()
+    assert sum(r["n_listed"] for r in lists if r["m"] == "empty") == 8 and len(lists) > 2
+    named = sorted((r["m"], c["v"], c["clashes"]) for r in lists for c in r["clashing"])
+    every = inc.commutation(entries, dims, vectors, KEY).where("not commutes").collect()
+    assert named == sorted((r["m"], r["v"], r["clashes"]) for r in every) == [("a", 1, 1), ("a", 4, 1)]
