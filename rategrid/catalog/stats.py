@@ -10,6 +10,7 @@ from rategrid.catalog.base import Tables, query
 from rategrid.functions.aliases import ensure_column
 from rategrid.functions.columns import fold_dotted, numeric_columns
 from rategrid.functions.intervals import wilson_bounds
+from rategrid.functions.numeric import finite, skip_nan
 from rategrid.functions.predicates import condition, nearest
 from rategrid.operators import cellstats, curve as curves, quantiles
 from rategrid.sources import runs
@@ -347,3 +348,37 @@ def numeric_column_means(t: Tables) -> DataFrame:
     df = V.samples(t).withColumn("identity_holds", F.lit(True))
     means = df.agg(*[F.avg(c).alias(c) for c in numeric_columns(df)])
     return cellstats.tidy(means, keys=[])
+
+
+# ---------------------------------------------------------------- null, NaN and infinite values
+
+
+@query(
+    "quantiles_with_traps",
+    f"""WITH {V.TRAPS_SQL} SELECT n, p, count(*) AS n_finite, quantile_cont(y, 0.025) AS q025, quantile_cont(y, 0.5) AS q500,
+        quantile_cont(y, 0.975) AS q975 FROM traps WHERE isfinite(y) GROUP BY 1, 2""",
+    ("q025", "q500", "q975"),
+)
+def quantiles_with_traps(t: Tables) -> DataFrame:
+    """Only finite values have ranks."""
+    found = quantiles.exact_quantiles(V.traps(t), ["n", "p"], "y", cellstats.QUANTILES)
+    return found.select("n", "p", "n_finite", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("q025", "q500", "q975"))])
+
+
+@query(
+    "trap_counts",
+    f"""WITH {V.TRAPS_SQL} SELECT n, count(*) AS rows, count(CASE WHEN isfinite(y) THEN 1 END) AS finite,
+        count(CASE WHEN NOT isnan(y) THEN 1 END) AS without_nan, avg(CASE WHEN isfinite(y) THEN y END) AS mean_finite,
+        max(CASE WHEN NOT isnan(y) THEN y END) = 'Infinity'::DOUBLE AS inf_kept FROM traps GROUP BY 1""",
+    ("mean_finite",),
+)
+def trap_counts(t: Tables) -> DataFrame:
+    """What the finite filter drops and what skipping NaN keeps."""
+    y = F.col("y")
+    return V.traps(t).groupBy("n").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(finite(y)).alias("finite"),
+        F.count(skip_nan(y)).alias("without_nan"),
+        F.avg(finite(y)).alias("mean_finite"),
+        (F.max(skip_nan(y)) == float("inf")).alias("inf_kept"),
+    )

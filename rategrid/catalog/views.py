@@ -40,6 +40,22 @@ def samples(t: Tables) -> DataFrame:
     )
 
 
+TRAPS_SQL = """traps AS (
+  SELECT l_linenumber AS n, l_discount AS p, CASE WHEN l_suppkey % 19 = 0 THEN NULL WHEN l_suppkey % 11 = 0 THEN 'NaN'::DOUBLE
+         WHEN l_suppkey % 13 = 0 THEN 'Infinity'::DOUBLE WHEN l_suppkey % 17 = 0 THEN '-Infinity'::DOUBLE ELSE l_extendedprice END AS y
+  FROM lineitem)"""
+
+
+def traps(t: Tables) -> DataFrame:
+    """``lineitem`` as samples whose value is null, NaN or infinite for some suppliers."""
+    value = F.when(F.col("l_suppkey") % 19 == 0, F.lit(None))
+    for step, trap in ((11, "NaN"), (13, "Infinity"), (17, "-Infinity")):
+        value = value.when(F.col("l_suppkey") % step == 0, F.lit(float(trap)))
+    return t.lineitem.select(
+        F.col("l_linenumber").alias("n"), F.col("l_discount").alias("p"), value.otherwise(F.col("l_extendedprice")).alias("y")
+    )
+
+
 DISTANCES_SQL = """distances AS (
   SELECT o_orderkey AS sample_seed, CAST(floor(o_totalprice / 1000) AS INTEGER) AS d_cont,
          CAST(o_custkey % 5 AS INTEGER) AS d_min
