@@ -34,8 +34,9 @@ def measurements_of(realizations: DataFrame, keys: Sequence[str]) -> DataFrame:
 def nest_layers(gates: DataFrame, measured: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gate and measurement tables as one row per layer; a layer holds at most n entries."""
     at = [*keys, "t"]
-    g = gates.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("i", "u", "v", "c"))).alias("_g"))
-    m = measured.groupBy(*at).agg(F.sort_array(F.collect_list("q")).alias("meas"))
-    joined = g.join(m, at, "full_outer")
-    pairs = F.transform(F.coalesce("_g", F.array()), lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), e["c"].alias("c")))
-    return joined.select(*at, pairs.alias("gates"), F.coalesce("meas", F.array().cast("array<int>")).alias("meas"))
+    # one grouping of both tables: a join of two groupings is sized before the layers fan out and may broadcast a whole one
+    entry = F.struct("i", "u", "v", "c")
+    placed = gates.select(*at, entry.alias("_g")).unionByName(measured.select(*at, "q"), allowMissingColumns=True)
+    nested = placed.groupBy(*at).agg(F.array_sort(F.collect_list("_g")).alias("_g"), F.sort_array(F.collect_list("q")).alias("meas"))
+    pairs = F.transform("_g", lambda e: F.struct(e["u"].alias("u"), e["v"].alias("v"), e["c"].alias("c")))
+    return nested.select(*at, pairs.alias("gates"), "meas")
