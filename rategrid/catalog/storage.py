@@ -357,7 +357,7 @@ def stream_first_zero(t: Tables) -> DataFrame:
         (F.col("o_custkey") % 15).alias("stop"),
         steps,
     ).select("n", "p", "sample_seed", F.col("t").cast("bigint").alias("t"), F.when(F.col("t") >= F.col("stop"), 0).otherwise(1).alias("s"))
-    return ingest.drain(early_stop.first_zeros(trace, 11), "first-zero")
+    return ingest.drain(early_stop.first_zero_table(trace, 11), "first-zero", "update", ["n", "p", "sample_seed"])
 
 
 @query(

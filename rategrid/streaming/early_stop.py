@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "n int, p double, sample_seed bigint, tau bigint, censored boolean"
@@ -47,3 +48,16 @@ def first_zeros(trace: DataFrame, cap: int, ttl_ms: int | None = None) -> DataFr
     return trace.groupBy(*keys).applyInPandasWithState(
         watch, output, STATE, "append", timeout
     )
+
+
+def first_zero_table(trace: DataFrame, cap: int) -> DataFrame:
+    """The same decision as a running aggregate, for sinks that keep the latest row of a sample (update mode).
+
+    Rows that decide nothing are dropped before the shuffle and the state is one number per decided sample, kept by
+    Spark's own aggregation: no function runs per sample.  Rows behind ``cap`` only tell that it was reached, in whatever
+    batch they come.
+    """
+    keys = [k for k in KEYS if k in trace.columns]
+    zero = (F.col("s") == 0) & (F.col("t") <= cap)
+    found = trace.where(zero | (F.col("t") >= cap)).groupBy(*keys).agg(F.min(F.when(zero, F.col("t"))).alias("tau"))
+    return found.select(*keys, "tau", F.col("tau").isNull().alias("censored"))

@@ -28,3 +28,23 @@ def test_layers_are_nested_without_a_join(spark):
     rows = {(r["sample_seed"], r["t"]): ([tuple(g) for g in r["gates"]], r["meas"]) for r in nested.collect()}
     assert rows == {(1, 0): ([(1, 2, 5), (0, 3, 7)], [0, 3]), (2, 3): ([(0, 1, 9)], []), (2, 1): ([], [2])}
     assert series.gates_of(nested, KEYS).count() == 3 and series.measurements_of(nested, KEYS).count() == 3
+
+
+def test_first_zero_table_over_batches(spark, tmp_path):
+    folder = str(tmp_path / "arriving")
+    schema = "n int, p double, sample_seed bigint, t bigint, s int"
+    batches = [
+        [(4, 0.1, 1, 0, 1), (4, 0.1, 2, 0, 1), (4, 0.1, 2, 1, 0), (4, 0.1, 2, 2, 0), (4, 0.1, 3, 0, 1), (4, 0.1, 4, 2, 1)],
+        [(4, 0.1, 1, 1, 1), (4, 0.1, 1, 2, 0), (4, 0.1, 2, 3, 0), (4, 0.1, 3, 1, 1), (4, 0.1, 3, 2, 1), (4, 0.1, 4, 3, 0)],
+        [(4, 0.1, 3, 3, 0)],  # behind the cap: stays censored
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = ingest.file_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1)
+    table = early_stop.first_zero_table(stream, cap=2)
+    assert "FlatMapGroupsInPandasWithState" not in table._jdf.queryExecution().logical().toString()
+    found = ingest.drain(table, "zeros", "update", KEYS)
+    assert {(r["sample_seed"], r["tau"], r["censored"]) for r in found.collect()} == {
+        (1, 2, False), (2, 1, False), (3, None, True), (4, None, True)
+    }
+    assert found.count() == 4
