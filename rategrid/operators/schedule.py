@@ -197,14 +197,23 @@ def measurements(
 # ------------------------------------------------------------------ diagnostics
 
 
-def schedule_diagnostics(samples: DataFrame, gates: DataFrame, measured: DataFrame, keys: Sequence[str]) -> DataFrame:
+def schedule_diagnostics(
+    samples: DataFrame, gates: DataFrame, measured: DataFrame, keys: Sequence[str], measured_by: Sequence[str] | None = None
+) -> DataFrame:
     """Per sample: layers, gates, measurements and their actual and expected ratio.
 
-    Only the main phase counts; warm-up layers and gates do not.
+    Only the main phase counts; warm-up layers and gates do not.  Rows of ``samples`` with equal keys and depth are
+    copies of one sample: each is kept and has the gates of one.  Measurements are counted by ``measured_by`` (the
+    keys, if not given) over all rows that share it.
     """
-    gate_counts = gates.where("phase = 'main'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
-    measure_counts = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    joined = samples.join(gate_counts, list(keys), "left").join(measure_counts, list(keys), "left")
+    keys, pooled = list(keys), list(measured_by or keys)
+    # counted first, so no join multiplies the gates of a repeated sample
+    rows = samples.groupBy(*keys, "total_layers").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    gate_counts = gates.where("phase = 'main'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    measure_counts = measured.groupBy(*pooled).agg(F.count(F.lit(1)).alias("_m"))
+    each = (F.col("_all") / F.col("_copies")).cast("bigint")
+    joined = rows.join(gate_counts, keys, "left").join(measure_counts, pooled, "left").withColumn("_g", each)
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     g, m = (F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("_g", "_m"))
     inf = F.lit(INFINITY)
     return joined.select(

@@ -48,3 +48,14 @@ def test_first_zero_table_over_batches(spark, tmp_path):
         (1, 2, False), (2, 1, False), (3, None, True), (4, None, True)
     }
     assert found.count() == 4
+
+
+def test_diagnostics_of_repeated_samples(spark):
+    rows = [(1, 4, 0.5, 4), (1, 4, 0.5, 4), (1, 6, 0.25, 6), (2, 4, 0.5, 4)]
+    runs = spark.createDataFrame(rows, "sample_seed bigint, n int, p double, total_layers int")
+    layers = schedule.layers(runs, KEYS)
+    gates, measured = schedule.gate_pairs(layers, KEYS), schedule.measurements(layers, KEYS)
+    found = schedule.schedule_diagnostics(runs, gates, measured, KEYS, measured_by=["sample_seed"]).collect()
+    counts = {r["sample_seed"]: r["count"] for r in measured.groupBy("sample_seed").count().collect()}
+    assert sorted((r["sample_seed"], r["n"], r["total_gates"]) for r in found) == [(1, 4, 8), (1, 4, 8), (1, 6, 18), (2, 4, 8)]
+    assert all(r["total_measurements"] == counts.get(r["sample_seed"], 0) for r in found)
