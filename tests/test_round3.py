@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.functions.words import rowwise
-from rategrid.operators import gf2, schedule
+from rategrid.operators import gf2, graphs, schedule
 from rategrid.sources import series
 from rategrid.streaming import early_stop, ingest
 
@@ -88,3 +89,22 @@ def test_rowwise_results(spark):
         y = r["id"] % 3 - 1
         assert r["z"] == (None if y < 0 else [r["id"] + y, 1 + y])
     assert df.where("id < 0").select(calls("x", "y").alias("z")).collect() == []
+
+
+def test_pairs_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PAIRS_PER_TASK", 1000)
+    sizes = spark.range(60, 70).selectExpr("cast(id as int) as n").coalesce(1)
+    edges, rounds = graphs.edges(sizes, "complete"), graphs.rounds(sizes, "complete")
+    for table in (edges, rounds):  # about 20,000 and 10,000 pairs
+        made = table.groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) > 8 and max(r["count"] for r in made) < 4000
+    assert graphs.round_violations(edges, rounds).isEmpty()
+    broken = rounds.where("not (n = 60 and round = 1 and i = 1)").unionByName(
+        spark.createDataFrame([(62, 0, 40, 7, 70), (62, 0, 41, 0, 61)], "n int, round int, i int, u int, v int")
+    )
+    plan = graphs.round_violations(edges, broken)
+    assert "Join" not in optimized(plan)
+    assert {(r["n"], r["kind"]): r["defects"] for r in plan.collect()} == {
+        (60, "vertex_missing"): 1, (60, "edge_unused"): 1,
+        (62, "vertex_not_once"): 3, (62, "vertex_missing"): 1, (62, "edge_repeated"): 1, (62, "edge_foreign"): 1,
+    }
