@@ -177,16 +177,26 @@ def matrix_dims(t: Tables) -> DataFrame:
 
 
 def matrix_entries(t: Tables) -> DataFrame:
-    """Line items as non-zero entries: x for returned ones, z for the others."""
-    returned = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    return (
-        t.lineitem.groupBy(
-            F.col("l_suppkey").alias("sample_seed"),
-            (F.col("l_orderkey") % N_ROWS).cast("int").alias("r"),
-            (F.col("l_partkey") % N_COLS).cast("int").alias("q"),
-        )
-        .agg(F.max(returned).alias("x"), F.max(1 - returned).alias("z"))
+    """Line items as non-zero entries: x for returned ones, z for the others.
+
+    Grouped by column with a bit per row, so the grouping holds columns and not entries; a block is 64 rows.
+    """
+    # a row number that is null has the first bit of a block that is null
+    bit = F.expr("shiftleft(1L, cast(coalesce(pmod(r, 64), 0) as int))")
+    place = t.lineitem.select(
+        F.col("l_suppkey").alias("sample_seed"),
+        (F.col("l_orderkey") % N_ROWS).cast("int").alias("r"),
+        (F.col("l_partkey") % N_COLS).cast("int").alias("q"),
+        F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("returned"),
+    )
+    columns = place.groupBy("sample_seed", "q", F.floor(F.col("r") / 64).cast("int").alias("block")).agg(
+        F.coalesce(F.bit_or(F.when(F.col("returned"), bit)), F.lit(0).cast("bigint")).alias("xs"),
+        F.coalesce(F.bit_or(F.when(~F.col("returned"), bit)), F.lit(0).cast("bigint")).alias("zs"),
     )
+    rows = columns.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    x, z = (F.getbit(c, F.col("i")).cast("int") for c in ("xs", "zs"))
+    entries = rows.select("sample_seed", (F.col("block") * 64 + F.col("i")).alias("r"), "q", x.alias("x"), z.alias("z"))
+    return entries.where("x = 1 or z = 1")
 
 
 SIGNS_SQL = """vectors AS (

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from rategrid.functions.words import rowwise
 from rategrid.operators import gf2, graphs, schedule
+from rategrid.operators import incidence as incidence_ops
 from rategrid.sources import series
 from rategrid.streaming import early_stop, ingest
 
@@ -108,3 +109,25 @@ def test_pairs_are_made_by_many_tasks(spark, monkeypatch):
         (60, "vertex_missing"): 1, (60, "edge_unused"): 1,
         (62, "vertex_not_once"): 3, (62, "vertex_missing"): 1, (62, "edge_repeated"): 1, (62, "edge_foreign"): 1,
     }
+
+
+def test_clashes_of_many_rows_and_null_rows(spark):
+    entries = [(1, r, q, (r + q) % 2, 1 - (r + q) % 2) for r in range(150) for q in range(3) if (r * q) % 5 != 1] + [(1, None, 0, 1, 0)]
+    incidence = spark.createDataFrame(entries, "sample_seed bigint, r int, q int, x int, z int")
+    dims = spark.createDataFrame([(1, 3, 150), (2, 3, 150)], "sample_seed bigint, n_cols int, n_rows int")
+    listed = {10: [(0, 1, 0), (1, 1, 0), (2, 0, 1)], 11: [(0, 0, 1)], 12: [(1, 1, 1), (2, 1, 0)]}
+    rows = [(3, v, *e) for v, es in listed.items() for e in es]
+    vectors = spark.createDataFrame(rows, "n_cols int, v int, q int, vx int, vz int")
+    want = {}
+    for v, es in listed.items():
+        odd: dict = {}
+        for _, r, q, x, z in entries:
+            for vq, vx, vz in es:
+                if vq == q:
+                    odd[r] = odd.get(r, 0) ^ (x * vz + z * vx) % 2
+        want |= {(1, v): sum(odd.values()), (2, v): 0}
+    found = incidence_ops.commutation(incidence, dims, vectors, ["sample_seed"])
+    assert {(r["sample_seed"], r["v"]): r["clashes"] for r in found.collect()} == want
+    plan = optimized(incidence_ops.clashing(incidence, dims, vectors, ["sample_seed"]))
+    groups = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert groups and not any("v#" in g and ", r#" in g.split("]")[0] for g in groups)
