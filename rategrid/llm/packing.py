@@ -26,9 +26,11 @@ from rategrid.llm.storage import stage
 WINDOW = 2048
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
+FREQUENT = 8  # a term in one of so many documents of a shard is frequent there
+SHRINK = 0.8  # share of unused documents below which an index drops the postings of the others
 K1, B = 1.2, 0.75
-CACHE = 120_000  # encoded runs of a generation in each Python worker
-CHUNK = 1 << 20  # bytes whose runs are told apart together
+CACHE = 300_000  # encoded runs of a generation in each Python worker
+CHUNK = 1 << 21  # bytes whose runs are told apart together
 LOW = 0x300  # below it no character joins its neighbour when a text is normalised
 WORD_END = "</w>"
 LETTER, DIGIT, SIGN, BLANK, ODD = range(5)
@@ -86,11 +88,12 @@ class Encoder:
         """Ids of runs, which are encoded as the words of one text."""
         out: list[bytes] = []
         for at in range(0, len(runs), 4096):
-            some = [r.decode("utf-16-le") for r in runs[at : at + 4096]]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            some = runs[at : at + 4096]
+            text = b" \0".join(some).decode("utf-16-le")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
             if len(stops) != len(some):  # a tokenizer without word ends
-                out += [self._one(r) for r in some]
+                out += [self._one(r.decode("utf-16-le")) for r in some]
                 continue
             body = ids.tobytes()
             out += [body[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
@@ -101,21 +104,17 @@ class Encoder:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = []
-        for run in runs:
-            if run not in young:
-                if (known := old.get(run)) is not None:
-                    young[run] = known
-                elif self.kinds[int.from_bytes(run[:2], "little")] == BLANK:
-                    young[run] = b""
-                else:
-                    new.append(run)
-        young.update(zip(new, self._together(new), strict=True))
-        return [young[run] for run in runs]
-
-    def _starts(self, points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+        found = list(map(young.get, runs))
+        if None in found:
+            missing = [run for run, known in zip(runs, found, strict=True) if known is None]
+            young.update((run, old[run]) for run in missing if run in old)
+            new = [run for run in missing if run not in old]
+            young.update(zip(new, self._together(new), strict=True))
+            found = list(map(young.__getitem__, runs))
+        return found
+
+    def _starts(self, points: np.ndarray, kinds: np.ndarray, breaks: np.ndarray) -> np.ndarray:
         """Flags of the characters that begin a run; ``breaks`` flags the first of each text."""
-        kinds = self.kinds[points]
         start = breaks | (kinds == DIGIT)
         start[1:] |= kinds[1:] != kinds[:-1]
         marks = np.flatnonzero(start & (points == 39))
@@ -160,11 +159,18 @@ class Encoder:
         points = self.lower[points]
         breaks = np.zeros(len(points) + 1, dtype=bool)
         breaks[at] = True
-        begins = np.flatnonzero(self._starts(points, breaks[:-1]))
+        kinds = self.kinds[points]
+        solid = kinds != BLANK  # blanks part runs and have no ids
+        begins = np.flatnonzero(self._starts(points, kinds, breaks[:-1])[solid])
+        at = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(solid)])[at]
+        points = points[solid]
         places = np.append(begins, len(points)).astype(np.int32) * 2
         runs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(points.tobytes())])
         coded = runs.dictionary_encode()
-        known = self.learn(coded.dictionary.to_pylist())
+        _, marks, body = coded.dictionary.buffers()
+        ends = np.frombuffer(marks, dtype=np.int32)[: len(coded.dictionary) + 1].tolist()
+        body = body.to_pybytes() if body is not None else b""
+        known = self.learn([body[a:b] for a, b in zip(ends, ends[1:])])
         flat = np.frombuffer(b"".join(known), dtype=self.dtype)
         counts = np.array([len(k) for k in known], dtype=np.int64) // self.dtype.itemsize
         which = coded.indices.to_numpy()
@@ -223,13 +229,19 @@ def _document_counts(dtype: np.dtype):
     schema = pa.schema([("token", pa.int64()), ("df", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # all texts are encoded; the worker goes on to other operators
+        give_back()
         counts = np.zeros(65536, dtype=np.int64)
+        place = np.zeros(65536, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found = np.unique(np.frombuffer(ids, dtype=dtype))
-                if found[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(found[-1]) + 1 - len(counts), dtype=np.int64)])
-                counts[found] += 1
+            for body in batch.column(0).to_pylist():
+                ids = np.frombuffer(body, dtype=dtype).astype(np.int64)
+                if dtype.itemsize > 2 and (most := int(ids.max())) >= len(counts):
+                    more = np.zeros(most + 1 - len(counts), dtype=np.int64)
+                    counts, place = np.concatenate([counts, more]), np.concatenate([place, more])
+                order = np.arange(len(ids))
+                place[ids] = order
+                counts[ids[place[ids] == order]] += 1  # each id at one of its places
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], schema=schema)
 
@@ -237,29 +249,52 @@ def _document_counts(dtype: np.dtype):
 
 
 class Shard:
-    """Inverted index over some documents: postings by term with ready BM25 weights."""
+    """Inverted index over some documents with ready BM25 weights.
+
+    Postings of frequent terms are rows of a matrix, which has at most ``FREQUENT`` times as many cells as postings.
+    """
 
     def __init__(self, ids: list[np.ndarray], weight: np.ndarray, mean: float) -> None:
         sizes = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
         pair, count = np.unique((np.concatenate(ids).astype(np.int64) << 32) | doc, return_counts=True)
         self.n = len(ids)
-        self.term, self.doc = pair >> 32, pair & 0xFFFFFFFF
-        idf = weight[self.term]
-        length = sizes[self.doc] / mean
-        self.score = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length))
-        self.starts = np.searchsorted(self.term, np.arange(len(weight) + 1))
-        order = np.argsort(self.doc, kind="stable")
-        self.by_doc = np.searchsorted(self.doc[order], np.arange(self.n + 1))
-        self.terms_of = self.term[order]
+        term, doc = pair >> 32, pair & 0xFFFFFFFF
+        length = sizes[doc] / mean
+        score = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length))
+        order = np.argsort(doc, kind="stable")
+        self.terms = np.split(term[order], np.searchsorted(doc[order], np.arange(1, self.n)))
+        many = np.flatnonzero(np.bincount(term, minlength=len(weight)) * FREQUENT >= self.n)
+        self.row = np.full(len(weight), -1, dtype=np.int64)
+        self.row[many] = np.arange(len(many))
+        row = self.row[term]
+        self.rows, self.columns = np.zeros((len(many), self.n)), np.arange(self.n)
+        self.rows[row[row >= 0], doc[row >= 0]] = score[row >= 0]
+        self.every = np.arange(len(weight) + 1)
+        self._hold(term[row < 0], doc[row < 0], score[row < 0])
+
+    def _hold(self, term: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        """Postings of the other terms."""
+        self.term, self.doc, self.score = term, doc, score
+        self.starts = np.searchsorted(term, self.every)
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 of all documents for the seed's terms; 0 for used ones."""
+        if np.count_nonzero(unused) < SHRINK * len(self.columns):  # no later search returns what is used by now
+            kept, live = unused[self.columns], unused[self.doc]
+            self.rows, self.columns = self.rows[:, kept], self.columns[kept]
+            self._hold(self.term[live], self.doc[live], self.score[live])
+        rows = self.row[self.terms[seed]]
+        rare = self.terms[seed][rows < 0]
+        at = _places(self.starts[rare], self.starts[rare + 1] - self.starts[rare])
+        total = np.bincount(self.doc[at], weights=self.score[at], minlength=self.n).astype(float)
+        total[self.columns] += self.rows[rows[rows >= 0]].sum(axis=0)
+        return np.where(unused, total, 0.0)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """All unused documents by BM25 for the seed's terms, best first; ties by position."""
-        terms = self.terms_of[self.by_doc[seed] : self.by_doc[seed + 1]]
-        starts = self.starts[terms]
-        at = _places(starts, self.starts[terms + 1] - starts)
-        total = np.bincount(self.doc[at], weights=self.score[at], minlength=self.n)
-        found = np.flatnonzero(unused & (total > 0))
+        total = self.scores(seed, unused)
+        found = np.flatnonzero(total > 0)
         return found[np.argsort(-total[found], kind="stable")]
 
 
@@ -288,31 +323,33 @@ class Packer:
         index = Shard(ids, weight, mean)
         sizes = np.array([len(x) for x in ids])
         unused = np.ones(len(ids), dtype=bool)
-        following, near, window = 0, np.zeros(0, dtype=np.int64), -1
+        following, window = 0, -1
+        near = nothing = np.zeros(len(ids))
         last = -1
         while True:
             if window != self.sequence or last < 0:  # a new window: its first document is the seed
                 window = self.sequence
                 if self.filled and last >= 0:
-                    near = index.neighbours(last, unused)  # it was opened by what is left of a document
+                    near = index.scores(last, unused)  # it was opened by what is left of a document
                 elif not self.filled:
-                    near = np.zeros(0, dtype=np.int64)
-            near = near[unused[near]]
-            if len(near):
-                fits = np.flatnonzero(sizes[near] <= self.room())
-                pick = int(near[fits[0]] if len(fits) else near[0])
-            else:
+                    near = nothing
+            # the best that fits whole, else the best; ties by position
+            pick = int(np.argmax(np.where(sizes <= self.room(), near, 0.0)))
+            if near[pick] <= 0 or sizes[pick] > self.room():
+                pick = int(np.argmax(near))
+            if near[pick] <= 0:
                 while following < len(ids) and not unused[following]:
                     following += 1
                 if following == len(ids):
                     return
                 pick = following
+            near[pick] = 0.0
             unused[pick] = False
             opens = self.filled == 0
             self.add(doc_ids[pick], ids[pick])
             last = pick
             if opens and self.filled and self.sequence == window:
-                near = index.neighbours(pick, unused)
+                near = index.scores(pick, unused)
 
 
 def _packing(window: int, dtype: np.dtype, weight: np.ndarray, mean: float):
@@ -355,6 +392,7 @@ def pack_documents(
     empty table gives no row.  ``path`` is a tokenizer file that every executor can read.
     """
     dtype = encoder(path).dtype
+    encoder.cache_clear()  # the driver encodes nothing
     encoded = stage(encode_documents(docs, path, doc_id, text, end), "packing-ids")
     counted = encoded.select("ids").mapInArrow(_document_counts(dtype), "token long, df long")
     rows = counted.groupBy("token").agg(F.sum("df").alias("df")).collect()  # at most one row per id of the vocabulary
