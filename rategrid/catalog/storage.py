@@ -134,8 +134,10 @@ def _flat_samples(t: Tables) -> DataFrame:
 
 def _sample_distances(t: Tables) -> DataFrame:
     """One row per sample that has distances, with the sample's cell."""
-    keyed = V.samples(t).select(*runs.SAMPLE_KEY).distinct()
-    return keyed.join(V.distances(t), "sample_seed").select(*runs.SAMPLE_KEY, "distances.*")
+    # both sides are placed by sample at once: the distinct keys and the join need no other shuffle
+    keys, rows = V.samples(t).select(*runs.SAMPLE_KEY), t.lineitem.count()
+    placed = [folders.spread(df, rows, "sample_seed") for df in (keys, V.distances(t))]
+    return placed[0].distinct().join(placed[1], "sample_seed").select(*runs.SAMPLE_KEY, "distances.*")
 
 
 @query(
@@ -161,7 +163,7 @@ def run_folder_analyses(t: Tables) -> DataFrame:
     """Samples with an analysis that only some of them have, both from run folders."""
     paths = _run_folders(t, {"samples": _flat_samples(t), "analysis/distances": _sample_distances(t)})
     tables = {"distances": folders.scan_analysis(t.spark, paths, "distances")}
-    whole = runs.attach_analyses(folders.scan_samples(t.spark, paths), tables, [*runs.SAMPLE_KEY, "_source"])
+    whole = folders.attach_scanned(folders.scan_samples(t.spark, paths), tables)
     return whole.groupBy("run_id", "n", "p").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("distances.d_cont").alias("with_distances"),

@@ -6,15 +6,16 @@ files before any is opened (on the run only where no file stores a ``run_id`` of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError  # the failed merge of footers reaches Python unconverted
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import fold_dotted
-from rategrid.sources.runs import union_runs
+from rategrid.sources.runs import attach_analyses, union_runs
 
+ROWS_PER_TASK = 500_000  # sample rows that one task of a join sorts or keeps
 CELL_PATH = r"^(.*)/([^/]+)/data/n=([^/]+)/p=([^/]+)/"
 
 
@@ -80,6 +81,26 @@ def scan_analysis(spark: SparkSession, runs: Sequence[str], name: str, key: str
     return df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys]).alias(name))
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows with equal ``keys`` together, in partitions of about ``ROWS_PER_TASK`` if there are ``rows``.
+
+    Bytes of a shuffle tell little: runs, cells and paths are compressed to next to nothing, but take their length in memory.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // ROWS_PER_TASK)), *keys)
+
+
+def attach_scanned(samples: DataFrame, analyses: Mapping[str, DataFrame]) -> DataFrame:
+    """Scanned samples left joined with scanned analyses; partitions grow in number with the rows, which footers count."""
+    # rates as text (0 without sign): a join changes keys of type double, and would shuffle placed rows once more
+    rate = (F.col("p") + 0.0).cast("string").alias("_rate")
+    keys = ["run_id", "n", "_rate", "sample_seed", "_source"]
+    rows = max(df.count() for df in (samples, *analyses.values()))
+    placed = {name: spread(df.select("*", rate).drop("p"), rows, *keys) for name, df in analyses.items()}
+    whole = attach_analyses(spread(samples.select("*", rate), rows, *keys), placed, keys)
+    return whole.select(*[F.col(f"`{c}`") for c in (*samples.columns, *analyses)])
+
+
 def scan_traces(spark: SparkSession, runs: Sequence[str]) -> DataFrame | None:
     """One row per sample with its array ``s``."""
     return scan_runs(spark, runs, "timeseries.parquet")

@@ -218,3 +218,17 @@ def test_one_scan_for_many_runs(spark, run_dir):
         folders.scan_matrices(spark, everything)
     with pytest.raises(FileExistsError):
         folders.write_run_folders(samples, root, "samples")
+
+
+def test_scanned_analyses_spread_by_rows(spark, tmp_path, monkeypatch):
+    """Joins of run folders have partitions by rows, one shuffle for each side, and the rows of a plain join."""
+    monkeypatch.setattr(folders, "ROWS_PER_TASK", 10)
+    rows = [(f"r{i % 2}", 1, [0.0, 0.5, 0.25][i % 3], i, i) for i in range(300)]
+    flat = spark.createDataFrame(rows, "run_id string, n int, p double, sample_seed long, k long")
+    paths = folders.write_run_folders(flat, str(tmp_path), "samples")
+    folders.write_run_folders(flat.where("k % 3 <> 1").selectExpr("run_id", "n", "p", "sample_seed", "k * 2 AS d"), str(tmp_path), "analysis/distances")
+    whole = folders.attach_scanned(folders.scan_samples(spark, paths), {"distances": folders.scan_analysis(spark, paths, "distances")})
+    assert whole.hint("merge").rdd.getNumPartitions() == 30
+    assert {(r["sample_seed"], r["distances"] and r["distances"]["d"]) for r in whole.collect()} == {(i, None if i % 3 == 1 else 2 * i) for i in range(300)}
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") <= 2
