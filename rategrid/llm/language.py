@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rategrid.llm.hashing import give_back
+
 TRAIN_DOCS = 400  # labelled rows per label in the sample
 TRAIN_WORDS = 120_000  # words per label that training sequences are spliced from, shared evenly by its texts
 FEATURES = 1 << 16
@@ -353,7 +355,10 @@ def training_sample(docs: DataFrame, label: str = "lang", text: str = "text", mo
 
 def fit_language(docs: DataFrame, label: str = "lang", text: str = "text") -> Model:
     sample = training_sample(docs, label, text)
-    return train([t for _, t in sample], [x for x, _ in sample])
+    model = train([t for _, t in sample], [x for x, _ in sample])
+    del sample
+    give_back()  # the driver goes on with other operators
+    return model
 
 
 def identify_language(

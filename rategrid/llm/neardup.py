@@ -6,7 +6,7 @@ of retained values propose pairs, the sketch of the union estimates their simila
 Lists stay short without a cap.  Documents with equal sets are one class.  If two sketches share at least c values, they
 share one among the (size - c + 1) rarest of each, so only those enter the lists (see :func:`least_overlap`); what is
 left of a frequent value are documents made of it.  Each document is compared with one hub of its lists first, then with more
-hubs from round to round; members that then belong together need no comparison among each other.  The rest meet pair by
+hubs from round to round, as long as that links them; members that then belong together need no comparison among each other.  The rest meet pair by
 pair over lists of larger sketches, mostly whole sets, whose exact overlap bounds leave out documents that only share a
 passage.
 """
@@ -31,8 +31,9 @@ from rategrid.llm.text import digest, let
 SHINGLE = 5
 SKETCH = 64
 LARGE = 1024  # retained values where few-value sketches leave a pair open
-LEAST_YIELD = 8  # rounds with one hub go on while one of so many pairs links
+LEAST_YIELD = 8  # rounds with one hub, and with many, go on while one of so many pairs links
 BREADTHS = (4, 16, 64, 256)  # hubs that a node meets in each of the next rounds; those still apart then meet all
+FEW = 16  # up to so many hubs a round is held whatever the one before linked
 DEVIATIONS = 4.0  # a pair at the threshold shares fewer values than allowed for with probability 3e-5
 
 
@@ -282,10 +283,16 @@ def linked_classes(classes: DataFrame, sets_of, percent: int, k: int) -> DataFra
     large = large.select("node", F.size("values").cast("long").alias("n"), F.slice("values", 1, LARGE).alias("sketch"))
     longer = stage(inverted_lists(large, percent, LARGE), "neardup-lists")
     for breadth in BREADTHS:
+        # members of lists that link with few hubs gain nothing from many: a list shorter than that would be met in all
+        # its pairs, twice, where the last step meets those of the smaller set's early values only
+        if breadth > FEW and linked * LEAST_YIELD < met:
+            break
         pairs = _hub_pairs(longer, labels, tried, percent, LARGE, breadth)
-        if pairs.isEmpty():
+        links = stage(_verified(pairs, classes, sets, percent, k), "neardup-links")
+        met, linked = pairs.count(), links.count()
+        if not met:
             break
-        labels = _relabel(labels, _verified(pairs, classes, sets, percent, k))
+        labels = _relabel(labels, links)
         tried = tried.unionByName(pairs)
     # and at last pair by pair, whatever their number
     pairs = stage(_open_pairs(longer, labels, percent, LARGE).join(tried, ["a", "b"], "left_anti"), "neardup-pairs")

@@ -393,6 +393,7 @@ def pack_documents(
     """
     dtype = encoder(path).dtype
     encoder.cache_clear()  # the driver encodes nothing
+    give_back()
     encoded = stage(encode_documents(docs, path, doc_id, text, end), "packing-ids")
     counted = encoded.select("ids").mapInArrow(_document_counts(dtype), "token long, df long")
     rows = counted.groupBy("token").agg(F.sum("df").alias("df")).collect()  # at most one row per id of the vocabulary

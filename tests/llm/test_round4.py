@@ -41,3 +41,17 @@ def test_document_counts_of_repeated_ids():
     rows = [pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["ids"])]
     made = next(packing._document_counts(np.dtype("<u4"))(iter(rows))).to_pylist()
     assert made == [{"token": 1, "df": 2}, {"token": 5, "df": 2}, {"token": 70000, "df": 1}]
+
+
+def test_unlinked_members_of_a_passage_skip_wide_rounds(spark, monkeypatch):
+    """Documents that share a passage and are not linked go to the exact last step after few hubs; links stay."""
+    from rategrid.llm import neardup
+
+    shared = [f"p{i}" for i in range(56)]
+    texts = [(d, " ".join([*shared, *[f"w{d}x{i}" for i in range(16)]])) for d in range(40)]
+    texts += [(100 + d, texts[d][1] + " more") for d in range(3)]
+    breadths, before = [], neardup._hub_pairs
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda *a: breadths.append(a[-1]) or before(*a))
+    rows = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {d: d % 100 for d, _ in texts}
+    assert breadths[-1] <= neardup.FEW
