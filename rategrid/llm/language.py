@@ -31,7 +31,9 @@ SEGMENT = 24  # mean words between switches in training sequences
 LENGTH, BATCH, EPOCHS = 64, 128, 3
 UNKNOWN = "und"
 CACHE = 400_000
-CHUNK_WORDS = 1_000_000
+SPLIT_DOCS = 128  # documents whose pieces are held as strings at once
+LEARN = 8192  # new pieces whose features are held at once
+CELLS = 1 << 20  # words times labels of a batch of documents
 _LETTERS = re.compile(r"[^\W\d_]+")
 _N = 3
 
@@ -126,9 +128,11 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, s
 
 
 def _posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Label distributions only, for prediction: the same recursions without pair counts."""
-    steps, rows, _ = scores.shape
-    local = np.exp(scores - scores.max(axis=2, keepdims=True))
+    """Label distributions only, for prediction: the same recursions without pair counts.  ``scores`` is overwritten."""
+    steps = len(scores)
+    local = scores
+    local -= local.max(axis=2, keepdims=True)
+    np.exp(local, out=local)
     step = np.exp(moves - moves.max())
     alpha = np.empty_like(local)
     now = local[0] * np.exp(first - first.max())
@@ -146,7 +150,8 @@ def _posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, sizes:
         alpha[t] *= beta
         beta = (local[t] * beta) @ back
         beta /= beta.sum(axis=1, keepdims=True)
-    return alpha / alpha.sum(axis=2, keepdims=True)
+    alpha /= alpha.sum(axis=2, keepdims=True)
+    return alpha
 
 
 def _shared_pool(texts: Sequence[list[str]], most: int, rng: np.random.Generator) -> list[str]:
@@ -280,16 +285,18 @@ class Tagger:
         """Mean label distribution per document; zeros where there is no letter."""
         if len(self.known) > CACHE:
             self.reset()
-        split = [(t or "").split() for t in texts]
         known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            self.learn(new)
-        out = np.zeros((len(texts), len(self.model.labels)))
         coded = []
-        for pieces in split:
-            ids = np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            coded.append(ids[ids >= 0])
+        for at in range(0, len(texts), SPLIT_DOCS):
+            split = [(t or "").split() for t in texts[at : at + SPLIT_DOCS]]
+            new = list({p for pieces in split for p in pieces if p not in known})
+            for lo in range(0, len(new), LEARN):
+                self.learn(new[lo : lo + LEARN])
+            for pieces in split:
+                ids = np.fromiter(map(known.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+                coded.append(ids[ids >= 0])
+        k = len(self.model.labels)
+        out = np.zeros((len(texts), k))
         sizes = np.array([len(c) for c in coded])
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
@@ -297,29 +304,32 @@ class Tagger:
         while at < len(order):  # documents of like length share a batch
             low = sizes[order[at]]
             to = int(np.searchsorted(sizes[order], low * 1.3 + 8, side="right"))
-            to = max(min(to, at + max(1, CHUNK_WORDS // int(sizes[order[min(to, len(order)) - 1]]))), at + 1)
+            to = max(min(to, at + max(1, CELLS // k // int(sizes[order[min(to, len(order)) - 1]]))), at + 1)
             some = order[at:to]
             steps = int(sizes[some[-1]])
-            ids = np.zeros((steps, len(some)), dtype=np.int64)
+            ids = np.zeros((steps, len(some)), dtype=np.int32)
             for j, d in enumerate(some):
                 ids[: sizes[d], j] = coded[d]
             post = _posteriors(self.table[ids], self.model.moves.astype(np.float32), self.model.first.astype(np.float32), sizes[some])
             live = np.arange(steps)[:, None] < sizes[some][None, :]
-            out[some] = (post * live[:, :, None]).sum(axis=0) / sizes[some][:, None]
+            post *= live[:, :, None]
+            out[some] = post.sum(axis=0) / sizes[some][:, None]
             at = to
         return out
 
 
-def _tagging(model: Model):
+def _tagging(model: Model, at_text: int, passed: bool):
+    """Rows with their language beside them; column ``at_text`` is the text, which stays if ``passed``."""
     labels = [*model.labels, UNKNOWN]
     k = len(model.labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
+            kept = [i for i in range(batch.num_columns) if passed or i != at_text]
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                shares = tagger.documents(part.column(0).to_pylist()) if k else np.zeros((part.num_rows, 1))
+                shares = tagger.documents(part.column(at_text).to_pylist()) if k else np.zeros((part.num_rows, 1))
                 found = shares.sum(axis=1) > 0
                 best = np.where(found, shares.argmax(axis=1), k)
                 made = [
@@ -327,8 +337,10 @@ def _tagging(model: Model):
                     pa.array(np.clip(shares.max(axis=1), 0.0, 1.0), pa.float64()),
                     pa.array([list(x[:k]) for x in shares], pa.list_(pa.float64())),
                 ]
-                names = [*part.schema.names[1:], "lang_pred", "score", "shares"]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=names)
+                names = [*(part.schema.names[i] for i in kept), "lang_pred", "score", "shares"]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *made], names=names)
+        del tagger
+        give_back()
 
     return run
 
@@ -368,18 +380,21 @@ def identify_language(
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if the model knows no label.
     Repeated rows and null ids return as they come; ties go to the first label in order.  Columns named in ``keep``
-    pass through beside the result.
+    pass through beside the result; a text among them goes to a Python worker once.
     """
-    rows = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep])
+    columns = [F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep]]
+    passed = text in keep
+    at_text = 1 + list(keep).index(text) if passed else len(columns)
+    rows = docs.select(*columns, *([] if passed else [F.col(text).alias("_text")]))
     schema = T.StructType(
         [
-            *rows.schema.fields[1:],
+            *rows.schema.fields[: len(columns)],
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("shares", T.ArrayType(T.DoubleType())),
         ]
     )
-    return rows.mapInArrow(_tagging(model), schema)
+    return rows.mapInArrow(_tagging(model, at_text, passed), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

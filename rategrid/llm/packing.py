@@ -256,8 +256,10 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray], weight: np.ndarray, mean: float) -> None:
         sizes = np.array([len(x) for x in ids])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-        pair, count = np.unique((np.concatenate(ids).astype(np.int64) << 32) | doc, return_counts=True)
+        pair = np.concatenate(ids).astype(np.int64)  # one array in place: a shard has millions of tokens
+        pair <<= 32
+        pair |= np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
+        pair, count = np.unique(pair, return_counts=True)
         self.n = len(ids)
         term, doc = pair >> 32, pair & 0xFFFFFFFF
         length = sizes[doc] / mean
@@ -378,6 +380,8 @@ def _packing(window: int, dtype: np.dtype, weight: np.ndarray, mean: float):
         if ids:
             packer.pack(names, ids, weight, mean)
         yield out(packer)
+        del packer, names, ids
+        give_back()
 
     return run
 
